@@ -66,3 +66,93 @@ def performance(spark, sf):
 
 
 query("campaign_performance")(performance)
+
+
+@query("daily_ops_summary")
+def daily_summary(spark, sf):
+    return gold.daily_ops_summary(delivery(spark, sf), campaigns(spark, sf), AS_OF)
+
+
+@query("daily_ops_summary_calendar")
+def _daily_calendar(spark, sf):
+    return gold.daily_ops_summary(delivery(spark, sf), campaigns(spark, sf), AS_OF, calendar=True)
+
+
+@query("platform_scorecard")
+def scorecard(spark, sf):
+    return gold.platform_scorecard(campaigns(spark, sf), delivery(spark, sf), AS_OF)
+
+
+@query("ops_efficiency")
+def _ops_efficiency(spark, sf):
+    return gold.ops_efficiency(tickets(spark, sf), AS_OF)
+
+
+@query("assignee_workload")
+def _assignee_workload(spark, sf):
+    return gold.assignee_workload(tickets(spark, sf), AS_OF)
+
+
+@query("attention_list")
+def _attention_list(spark, sf):
+    return gold.attention_list(performance(spark, sf))
+
+
+@query("daily_trend")
+def _daily_trend(spark, sf):
+    return gold.daily_trend(daily_summary(spark, sf))
+
+
+@query("scorecard_view")
+def _scorecard_view(spark, sf):
+    return gold.scorecard_view(scorecard(spark, sf))
+
+
+# -- ad-hoc analytics -----------------------------------------------------------
+
+from pacewise.plans import analytics as an  # noqa: E402
+
+query("campaign_distribution")(lambda spark, sf: an.campaign_distribution(campaigns(spark, sf)))
+query("zero_delivery_all")(lambda spark, sf: an.zero_delivery_all(delivery(spark, sf), campaigns(spark, sf)))
+query("zero_delivery_latest")(lambda spark, sf: an.zero_delivery_latest(delivery(spark, sf), campaigns(spark, sf)))
+query("vast_errors_by_campaign")(
+    lambda spark, sf: an.vast_errors_by_campaign(delivery(spark, sf), campaigns(spark, sf)))
+query("vast_error_rate")(lambda spark, sf: an.vast_error_rate(delivery(spark, sf), campaigns(spark, sf)))
+query("pacing_analysis")(lambda spark, sf: an.pacing_analysis(delivery(spark, sf), campaigns(spark, sf)))
+query("sla_analysis")(lambda spark, sf: an.sla_analysis(tickets(spark, sf), AS_OF))
+query("ticket_distribution")(lambda spark, sf: an.ticket_distribution(tickets(spark, sf)))
+query("request_volume")(lambda spark, sf: an.request_volume(tickets(spark, sf)))
+query("eligible_by_stage")(lambda spark, sf: an.eligible_by_stage(tickets(spark, sf)))
+query("urgency_by_stage")(lambda spark, sf: an.urgency_by_stage(tickets(spark, sf)))
+query("breach_rate_by_assignee")(lambda spark, sf: an.breach_rate_by_assignee(tickets(spark, sf), AS_OF))
+query("dq_campaigns")(lambda spark, sf: an.dq_campaigns(campaigns(spark, sf)))
+query("dq_delivery")(lambda spark, sf: an.dq_delivery(delivery(spark, sf)))
+query("dq_sla")(lambda spark, sf: an.dq_sla(tickets(spark, sf)))
+
+# -- health and alerts -----------------------------------------------------------
+
+from pacewise.plans import health as hl  # noqa: E402
+
+
+@query("pipeline_health")
+def _pipeline_health(spark, sf):
+    return hl.pipeline_health([
+        ("Bronze", "bronze.campaigns", b.campaigns_bronze(spark, sf)),
+        ("Bronze", "bronze.delivery", b.delivery_bronze(spark, sf)),
+        ("Bronze", "bronze.tickets", b.tickets_bronze(spark, sf)),
+        ("Silver", "silver.campaigns", campaigns(spark, sf)),
+        ("Silver", "silver.delivery", delivery(spark, sf)),
+        ("Silver", "silver.tickets", tickets(spark, sf)),
+        ("Gold", "gold.campaign_performance", performance(spark, sf)),
+        ("Gold", "gold.daily_ops_summary", daily_summary(spark, sf)),
+        ("Gold", "gold.platform_scorecard", scorecard(spark, sf)),
+        ("Gold", "gold.ops_efficiency", gold.ops_efficiency(tickets(spark, sf), AS_OF)),
+    ])
+
+
+query("data_freshness")(lambda spark, sf: hl.data_freshness(
+    [("campaigns", campaigns(spark, sf)), ("delivery", delivery(spark, sf)), ("tickets", tickets(spark, sf))],
+    AS_OF))
+query("volume_trend")(lambda spark, sf: hl.volume_trend(delivery(spark, sf)))
+query("campaign_alerts")(lambda spark, sf: hl.campaign_alerts(performance(spark, sf)))
+query("sla_breach_report")(lambda spark, sf: hl.sla_breach_report(tickets(spark, sf)))
