@@ -156,3 +156,56 @@ query("data_freshness")(lambda spark, sf: hl.data_freshness(
 query("volume_trend")(lambda spark, sf: hl.volume_trend(delivery(spark, sf)))
 query("campaign_alerts")(lambda spark, sf: hl.campaign_alerts(performance(spark, sf)))
 query("sla_breach_report")(lambda spark, sf: hl.sla_breach_report(tickets(spark, sf)))
+
+# -- data quality ------------------------------------------------------------------
+
+from pacewise.functions.rules import DECLARATIVE_EXPECTATIONS, QUALITY_SUITE, rules_for  # noqa: E402
+from pacewise.operators import quality as qa  # noqa: E402
+from functools import reduce as _reduce  # noqa: E402
+
+
+def _silver_tables(spark, sf):
+    return {"campaigns": campaigns(spark, sf), "delivery": delivery(spark, sf), "tickets": tickets(spark, sf)}
+
+
+def _bronze_tables(spark, sf):
+    return {"campaigns": b.campaigns_bronze(spark, sf), "delivery": b.delivery_bronze(spark, sf),
+            "tickets": b.tickets_bronze(spark, sf)}
+
+
+@query("quality_report")
+def _quality_report(spark, sf):
+    parts = [qa.quality_report(df, t, rules_for(t, QUALITY_SUITE)) for t, df in _silver_tables(spark, sf).items()]
+    return _reduce(lambda a, c: a.unionByName(c), parts)
+
+
+@query("quality_report_bronze")
+def _quality_report_bronze(spark, sf):
+    parts = [qa.quality_report(df, t, rules_for(t, QUALITY_SUITE)) for t, df in _bronze_tables(spark, sf).items()]
+    return _reduce(lambda a, c: a.unionByName(c), parts)
+
+
+@query("table_health")
+def _table_health(spark, sf):
+    parts = [qa.table_health(df, t, rules_for(t, QUALITY_SUITE)) for t, df in _silver_tables(spark, sf).items()]
+    return _reduce(lambda a, c: a.unionByName(c), parts)
+
+
+query("quality_scoreboard")(lambda spark, sf: qa.quality_scoreboard(_silver_tables(spark, sf), AS_OF))
+query("quarantine_campaigns")(lambda spark, sf: qa.quarantine(b.campaigns_bronze(spark, sf), "campaigns", AS_OF))
+query("quarantine_delivery")(lambda spark, sf: qa.quarantine(b.delivery_bronze(spark, sf), "delivery", AS_OF))
+query("quarantine_tickets")(lambda spark, sf: qa.quarantine(b.tickets_bronze(spark, sf), "tickets", AS_OF))
+query("quarantine_split")(lambda spark, sf: qa.quarantine_split(b.delivery_bronze(spark, sf), "delivery"))
+
+
+@query("expect_metrics")
+def _expect_metrics(spark, sf):
+    parts = [qa.expectation_metrics(df, t, DECLARATIVE_EXPECTATIONS[t])
+             for t, df in _silver_tables(spark, sf).items()]
+    return _reduce(lambda a, c: a.unionByName(c), parts)
+
+
+query("expect_drop")(lambda spark, sf: qa.expect_or_drop(b.delivery_bronze(spark, sf),
+                                                         DECLARATIVE_EXPECTATIONS["delivery"]))
+query("expect_fail")(lambda spark, sf: qa.expect_or_fail(
+    delivery(spark, sf), [e for e in DECLARATIVE_EXPECTATIONS["delivery"] if e[2] == "fail"]))
