@@ -209,3 +209,72 @@ query("expect_drop")(lambda spark, sf: qa.expect_or_drop(b.delivery_bronze(spark
                                                          DECLARATIVE_EXPECTATIONS["delivery"]))
 query("expect_fail")(lambda spark, sf: qa.expect_or_fail(
     delivery(spark, sf), [e for e in DECLARATIVE_EXPECTATIONS["delivery"] if e[2] == "fail"]))
+
+# -- tickets -------------------------------------------------------------------------
+
+from pacewise.operators import tickets as tk  # noqa: E402
+
+
+def _with_payloads(spark, sf):
+    return tk.with_payloads(tickets(spark, sf), campaigns(spark, sf))
+
+
+query("ticket_queues")(lambda spark, sf: tk.ticket_queues(tickets(spark, sf), AS_OF))
+query("route_tickets")(lambda spark, sf: tk.route_by_rule(tickets(spark, sf)))
+query("route_tickets_by_type")(lambda spark, sf: tk.route_by_type(tickets(spark, sf), b.ticket_types_dim(spark)))
+query("sla_status")(lambda spark, sf: tk.sla_status(tickets(spark, sf), AS_OF))
+query("automation_version")(lambda spark, sf: tk.campaign_versions(campaigns(spark, sf)))
+query("placement_name")(lambda spark, sf: campaigns(spark, sf).select("campaign_id", tk.placement_name().alias(
+    "placement_name")))
+query("campaign_name_taxonomy")(lambda spark, sf: tk.campaign_name_taxonomy(campaigns(spark, sf)))
+query("ticket_payloads")(lambda spark, sf: tk.ticket_payloads(_with_payloads(spark, sf)))
+query("qa_results")(lambda spark, sf: tk.qa_results(_with_payloads(spark, sf)))
+query("next_stage")(lambda spark, sf: tk.next_stage(
+    tk.with_payloads(tk.pending_tickets(tickets(spark, sf)), campaigns(spark, sf))))
+query("qa_gate")(lambda spark, sf: tk.qa_gate(tickets(spark, sf), qa_checks(spark, sf)))
+query("row_tags")(lambda spark, sf: tk.row_tags(tickets(spark, sf), AS_OF))
+query("qa_mix")(lambda spark, sf: tk.qa_mix(qa_checks(spark, sf)))
+query("tracking_links")(lambda spark, sf: tk.tracking_links(campaigns(spark, sf)))
+query("platform_requests")(lambda spark, sf: tk.platform_requests(
+    tk.ticket_payloads(_with_payloads(spark, sf)), tickets(spark, sf)))
+query("view_my_queue")(lambda spark, sf: tk.view_my_queue(tickets(spark, sf), "user_05"))
+query("view_sla_dashboard")(lambda spark, sf: tk.view_sla_dashboard(tickets(spark, sf), AS_OF))
+query("view_eligible")(lambda spark, sf: tk.view_eligible(tickets(spark, sf)))
+query("view_engineer_backlog")(lambda spark, sf: tk.view_engineer_backlog(tickets(spark, sf)))
+query("view_tickets_by_region")(lambda spark, sf: tk.view_tickets_by_region(tickets(spark, sf), campaigns(spark, sf)))
+query("view_qa_gate")(lambda spark, sf: tk.view_qa_gate(tickets(spark, sf),
+                                                       tk.qa_gate(tickets(spark, sf), qa_checks(spark, sf))))
+query("view_campaign_calendar")(lambda spark, sf: tk.view_campaign_calendar(campaigns(spark, sf)))
+query("view_release_slate")(lambda spark, sf: tk.view_release_slate(campaigns(spark, sf)))
+query("view_group_counts")(lambda spark, sf: tk.view_group_counts(tickets(spark, sf), campaigns(spark, sf)))
+query("assign_round_robin")(lambda spark, sf: tk.round_robin_assignments(
+    tickets(spark, sf), tk.roster_from_tickets(tickets(spark, sf))))
+
+# alert lines including QA failures
+query("alert_messages")(lambda spark, sf: hl.alert_messages(
+    delivery(spark, sf), campaigns(spark, sf), tickets(spark, sf), performance(spark, sf),
+    tk.qa_results(tk.with_payloads(tk.pending_tickets(tickets(spark, sf)), campaigns(spark, sf))), AS_OF))
+
+# -- conversions ---------------------------------------------------------------------
+
+from pacewise.operators import conversions as cv  # noqa: E402
+
+query("hash_pii")(lambda spark, sf: cv.hashed_events(b.conversion_events(spark, sf)))
+query("conversion_payloads")(lambda spark, sf: cv.conversion_payloads(b.conversion_events(spark, sf)))
+query("conversion_dedup")(lambda spark, sf: cv.conversion_dedup(b.conversion_events(spark, sf)))
+query("url_attribution")(lambda spark, sf: cv.url_attribution(b.landing_urls(spark, sf)))
+
+# -- dashboard KPIs ------------------------------------------------------------------
+
+from pacewise.plans import kpis as kp  # noqa: E402
+
+query("dashboard_kpis")(lambda spark, sf: kp.dashboard_kpis(kp.performance_frame(delivery(spark, sf),
+                                                                                 campaigns(spark, sf))))
+query("dashboard_kpis_filtered")(lambda spark, sf: kp.dashboard_kpis(kp.performance_frame(
+    delivery(spark, sf), campaigns(spark, sf), segment="AUTOMOBILE", channel="Social")))
+query("spend_by_segment")(lambda spark, sf: kp.spend_by_segment(kp.performance_frame(delivery(spark, sf),
+                                                                                     campaigns(spark, sf))))
+query("tickets_by_status")(lambda spark, sf: kp.tickets_by_status(tickets(spark, sf)))
+query("recent_jobs")(lambda spark, sf: kp.recent_jobs(tickets(spark, sf)))
+query("load_summary")(lambda spark, sf: kp.load_summary(campaigns(spark, sf), tickets(spark, sf),
+                                                        delivery(spark, sf), qa_checks(spark, sf)))
