@@ -278,3 +278,36 @@ query("tickets_by_status")(lambda spark, sf: kp.tickets_by_status(tickets(spark,
 query("recent_jobs")(lambda spark, sf: kp.recent_jobs(tickets(spark, sf)))
 query("load_summary")(lambda spark, sf: kp.load_summary(campaigns(spark, sf), tickets(spark, sf),
                                                         delivery(spark, sf), qa_checks(spark, sf)))
+
+# -- sources, sinks, history, streaming ------------------------------------------------
+
+from pacewise.plans import maintenance as mt  # noqa: E402
+
+query("read_csv_by_name")(mt.read_csv_by_name_job)
+query("read_csv_inferred")(mt.read_csv_inferred_job)
+query("bronze_stamp")(mt.bronze_stamp_job)
+query("sink_overwrite")(mt.sink_overwrite_job)
+query("sink_append")(mt.sink_append_job)
+query("sink_partitioned")(mt.sink_partitioned_job)
+query("bulk_load_once")(mt.bulk_load_once_job)
+query("ingest_manifest")(mt.ingest_manifest_job)
+query("schema_evolve")(mt.schema_evolve_job)
+query("create_bronze_tables")(mt.create_bronze_tables_job)
+query("compact_cluster")(mt.compact_cluster_job)
+query("as_of_snapshot")(mt.as_of_snapshot_job)
+query("batch_history")(mt.batch_history_job)
+query("scd2_campaign_status")(mt.scd2_campaign_status)
+query("active_on_date")(lambda spark, sf: mt.active_on_date(spark, sf))
+query("stream_ingest")(mt.stream_ingest_job)
+query("stream_ingest_incremental")(mt.stream_ingest_incremental_job)
+query("stream_delivery_refresh")(mt.stream_delivery_refresh_job)
+query("stream_conversion_dedup")(mt.stream_conversion_dedup_job)
+
+
+@query("pacing_lookup")
+def _pacing_lookup(spark, sf):
+    """S-17: parameterised point lookup over the pacing result (named parameter, no string splicing)."""
+    return spark.sql(
+        "SELECT campaign_id, campaign_name, status, delivery_pct, time_elapsed_pct, pacing_status, pacing_ratio "
+        "FROM {pacing} WHERE campaign_id = :campaign_id",
+        args={"campaign_id": "CMP-0000007"}, pacing=performance(spark, sf))
