@@ -2,6 +2,14 @@
 
 Only the named columns are selected so the scan's ReadSchema is pruned at the
 source; filters applied later are pushed into the Parquet reader by Catalyst.
+
+Scan parallelism: Spark splits Parquet input by row group. A table stored as
+one file with one row group is read by ONE task, and everything before the
+first shuffle (join probe, projections, the partial dedup limit) runs in that
+task. On a cluster the inputs are many multi-row-group files and no action is
+needed. For small single-row-group inputs (the local test tables) set
+``pacewise.scan.partitions`` to spread rows round-robin right after the scan;
+unset (the default) adds nothing to the plan.
 """
 
 from __future__ import annotations
@@ -13,6 +21,10 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# TPC-H fixed-size dimensions (25 and 5 rows at every scale): never repartitioned, safe to broadcast.
+FIXED_SIZE = {"region", "nation"}
+SCAN_PARTITIONS_CONF = "pacewise.scan.partitions"
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -20,4 +32,9 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    parts = int(spark.conf.get(SCAN_PARTITIONS_CONF, "0") or 0)
+    if parts > 0 and name not in FIXED_SIZE:
+        df = df.repartition(parts)
+    return df
