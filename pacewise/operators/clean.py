@@ -158,3 +158,9 @@ def silver_qa_checks(bronze: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFram
         "_ingested_at",
         as_of_ts(as_of).alias("_silver_processed_at"),
     )
+
+
+def standardize_platform(bronze_campaigns: DataFrame) -> DataFrame:
+    """C-03 on its own: raw platform value → canonical name (one row per bronze row)."""
+    return bronze_campaigns.select("campaign_id", "_batch_id", F.col("platform").alias("raw_platform"),
+                                   canonical_platform("platform").alias("platform"))

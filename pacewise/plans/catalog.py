@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pacewise.config import AS_OF
 from pacewise.operators import clean
@@ -311,3 +312,35 @@ def _pacing_lookup(spark, sf):
         "SELECT campaign_id, campaign_name, status, delivery_pct, time_elapsed_pct, pacing_status, pacing_ratio "
         "FROM {pacing} WHERE campaign_id = :campaign_id",
         args={"campaign_id": "CMP-0000007"}, pacing=performance(spark, sf))
+
+# -- conformance, QA log, pipeline composition ---------------------------------------
+
+from pacewise.operators import conform as cf  # noqa: E402
+from pacewise.plans import pipeline as pl  # noqa: E402
+from pacewise.session import scratch_path  # noqa: E402
+
+query("standardize_platform")(lambda spark, sf: clean.standardize_platform(b.campaigns_bronze(spark, sf)))
+query("conform_campaigns")(lambda spark, sf: cf.conform_campaigns(campaigns(spark, sf), cf.markets_dim(spark, sf)))
+query("orphan_keys")(lambda spark, sf: cf.orphan_keys(campaigns(spark, sf), delivery(spark, sf), tickets(spark, sf),
+                                                      cf.markets_dim(spark, sf)))
+
+
+@query("qa_log_append")
+def _qa_log_append(spark, sf):
+    """T-16: QA rows appended to the QA log, one append per processing run (here: pending, then the rest)."""
+    path = scratch_path(spark, "qa-log")
+    w = _with_payloads(spark, sf)
+    pending = (F.col("stage") == "Trafficking") & F.col("assignee").isNotNull() & (F.col("assignee") != "")
+    tk.qa_results(w.where(pending)).write.mode("append").parquet(path)
+    tk.qa_results(w.where(~pending | pending.isNull())).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("daily_pipeline")
+def _daily_pipeline(spark, sf):
+    return pl.layer_counts(pl.run_daily(spark, sf, scratch_path(spark, "daily-run")))
+
+
+@query("hourly_refresh")
+def _hourly_refresh(spark, sf):
+    return pl.run_hourly(spark, sf, scratch_path(spark, "hourly-run"))
