@@ -29,22 +29,39 @@ def query(name: str):
 
 
 # -- silver ------------------------------------------------------------------
+#
+# Shared frames are built once per (session, tables, scan setting) and reused:
+# a composite query (e.g. alert lines over delivery, tickets and campaign
+# performance) then holds ONE plan per silver table, so Spark can reuse its
+# exchanges, and the driver does not rebuild and re-analyse the same plan.
+
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def _memo(kind: str, spark, sf, build):
+    from pacewise.sources.tables import SCAN_PARTITIONS_CONF
+
+    key = (kind, id(spark), sf, spark.conf.get(SCAN_PARTITIONS_CONF, "0"))
+    df = _MEMO.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _MEMO[key] = build()
+    return df
 
 
 def campaigns(spark, sf):
-    return clean.silver_campaigns(b.campaigns_bronze(spark, sf), AS_OF)
+    return _memo("campaigns", spark, sf, lambda: clean.silver_campaigns(b.campaigns_bronze(spark, sf), AS_OF))
 
 
 def delivery(spark, sf):
-    return clean.silver_delivery(b.delivery_bronze(spark, sf), AS_OF)
+    return _memo("delivery", spark, sf, lambda: clean.silver_delivery(b.delivery_bronze(spark, sf), AS_OF))
 
 
 def tickets(spark, sf):
-    return clean.silver_tickets(b.tickets_bronze(spark, sf), AS_OF)
+    return _memo("tickets", spark, sf, lambda: clean.silver_tickets(b.tickets_bronze(spark, sf), AS_OF))
 
 
 def qa_checks(spark, sf):
-    return clean.silver_qa_checks(b.qa_checks_bronze(spark, sf), AS_OF)
+    return _memo("qa_checks", spark, sf, lambda: clean.silver_qa_checks(b.qa_checks_bronze(spark, sf), AS_OF))
 
 
 query("silver_campaigns")(campaigns)
@@ -63,7 +80,8 @@ def _delivery_metrics(spark, sf):
 
 
 def performance(spark, sf):
-    return gold.campaign_performance(campaigns(spark, sf), delivery(spark, sf), AS_OF)
+    return _memo("performance", spark, sf,
+                 lambda: gold.campaign_performance(campaigns(spark, sf), delivery(spark, sf), AS_OF))
 
 
 query("campaign_performance")(performance)

@@ -21,6 +21,22 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Declared schemas of the given tables. A declared schema means the reader runs no
+# footer-inference job when a DataFrame is built (at cluster scale: no driver-side
+# footer reads across thousands of files). Tables not listed are inferred.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
 # TPC-H fixed-size dimensions (25 and 5 rows at every scale): never repartitioned, safe to broadcast.
 FIXED_SIZE = {"region", "nation"}
 SCAN_PARTITIONS_CONF = "pacewise.scan.partitions"
@@ -30,8 +46,13 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(table_path(sf_dir, name))
+
+
 def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    df = read_table(spark, sf_dir, name)
     if columns:
         df = df.select(*columns)
     parts = int(spark.conf.get(SCAN_PARTITIONS_CONF, "0") or 0)
