@@ -446,7 +446,7 @@ def round_robin_assignments(tickets: DataFrame, roster: DataFrame) -> DataFrame:
     from pacewise.operators.dedup import assign_round_robin
 
     work = tickets.where(_blank("assignee")).select("ticket_id", "routed_to_role")
-    return assign_round_robin(work, roster, "routed_to_role", [F.col("ticket_id")])
+    return assign_round_robin(work, roster, "routed_to_role", ["ticket_id"])
 
 
 def roster_from_tickets(tickets: DataFrame) -> DataFrame:

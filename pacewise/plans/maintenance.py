@@ -182,7 +182,8 @@ def scd2_campaign_status(spark: SparkSession, sf: str) -> DataFrame:
     """W-03: status history (first version and every change) with validity intervals."""
     bronze = b.campaigns_bronze(spark, sf).withColumn("status", allowed_or_default("status", CAMPAIGN_STATUSES,
                                                                                    "Unknown"))
-    return scd2_history(bronze.select("campaign_id", "status", "_ingested_at", "_batch_id"), "campaign_id", "status")
+    return scd2_history(bronze.select("campaign_id", "status", "_ingested_at", "_batch_id"), "campaign_id", "status",
+                        tie_breakers=["_batch_id"])
 
 
 def active_on_date(spark: SparkSession, sf: str, at: _dt.datetime = _dt.datetime(1999, 3, 1)) -> DataFrame:
