@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacewise.config import AS_OF
@@ -40,10 +40,10 @@ TAXONOMY_DEFAULTS = {
 }
 DEFAULT_TICKET_PLATFORM = "DV360"
 DEFAULT_LANDING_PAGE = "https://www.example.com"
-NATIVE_DEFAULTS = {"main_image": "1200x627_default.jpg", "logo": "logo_200x200.jpg",
+# Native-ad components when the ticket supplies none (the headline falls back to the title).
+NATIVE_DEFAULTS = {"main_image": "1200x627_default.jpg", "logo": "logo_200x200.jpg", "headline": "Original",
                    "body": "Stream now.", "call_to_action": "Sign Up Now", "caption_url": "example.com"}
 QA_ISSUES = ["Fail", "Needs Review"]
-TAG_RULES = ["Breached", "At Risk", "Blocked", "Eligible", "Unassigned"]
 
 
 # -- routing / SLA -------------------------------------------------------------------
@@ -159,13 +159,21 @@ _CAMPAIGN_COLS = ["campaign_name", "targeting_geo", "language", "brand_code", "t
                   "channel_mapped", "start_date", "budget_usd", "audience_detailed", "landing_page"]
 
 
+def native_components() -> Column:
+    """Native-ad components: fixed defaults, with the campaign's title as the headline when present."""
+    parts = {k: F.lit(v) for k, v in NATIVE_DEFAULTS.items()}
+    parts["headline"] = F.coalesce(F.col("title_name"), F.lit(NATIVE_DEFAULTS["headline"]))
+    return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+
 def _payload(platform: Column, action: str, **fields) -> Column:
     cols = {"placement_name": None, "site": None, "budget": None, "targeting": None, "geo": None,
-            "name": None, "start_date": None, "new_assets": None, "native_headline": None, "conversion_type": None}
+            "name": None, "start_date": None, "new_assets": None, "native_components": None, "conversion_type": None}
     cols.update(fields)
     typed = {"placement_name": "string", "site": "string", "budget": "double", "targeting": "string",
              "geo": "string", "name": "string", "start_date": "date", "new_assets": "array<string>",
-             "native_headline": "string", "conversion_type": "string"}
+             "native_components": ", ".join(f"{k}: string" for k in NATIVE_DEFAULTS).join(("struct<", ">")),
+             "conversion_type": "string"}
     parts = [platform.alias("platform"), F.lit(action).alias("action")]
     for k, t in typed.items():
         v = cols[k]
@@ -195,7 +203,7 @@ def with_payloads(tickets: DataFrame, campaigns: DataFrame) -> DataFrame:
     payloads = (
         F.when(is_new & native, F.array(
             shell, _payload(cm, "CREATE_NATIVE_PLACEMENT", placement_name=name, site=plat,
-                            native_headline=F.col("title_name")), io))
+                            native_components=native_components()), io))
         .when(is_new, F.array(shell, _payload(cm, "CREATE_PLACEMENT", placement_name=name, site=plat), io))
         .when(rt.contains("Creative Rotation") | rt.contains("Retrafficking"), F.array(
             _payload(cm, "ROTATE_CREATIVES", placement_name=name,

@@ -27,8 +27,7 @@ from pacewise.functions.columns import as_of_date, as_of_ts, count_if, pct_text,
 DEC = "decimal(28,10)"
 MONEY = "decimal(18,2)"
 
-# Labels of the pacing and alert classifications, and the alert rank order.
-PACING_LABELS = ("N/A", "Unknown", "Not Started", "Under-Pacing", "Over-Pacing", "On Track")
+# Alert labels, in alert-rank order.
 ALERT_ORDER = [
     "Critical: No Delivery",
     "Critical: Severe Under-Pacing",

@@ -94,3 +94,11 @@ def test_nine_checks_with_valid_results(spark):
 def test_no_payloads_single_fail(spark):
     rows = tk.qa_results(_run(spark, "URL Change", "DV360")).collect()
     assert [(r.check_name, r.result) for r in rows] == [("Spec Compliance", "Fail")]
+
+
+def test_native_payload_components_and_json(spark):
+    w = _run(spark, "New Campaign", "Meta", channel_mapped="ProgNative")
+    comp = w.select(F.col("payloads")[1]["native_components"].alias("c")).first().c
+    assert comp.headline == "Title" and comp.call_to_action == "Sign Up Now"
+    bodies = tk.payload_json(w).orderBy("position").collect()
+    assert len(bodies) == 3 and '"action":"CREATE_NATIVE_PLACEMENT"' in bodies[1].payload

@@ -67,3 +67,26 @@ def test_expect_or_fail_raises(spark):
     assert ok.count() == 1
     with pytest.raises(Exception):
         qa.expect_or_fail(df, [("has_id", "id IS NOT NULL", "fail")]).collect()
+
+
+def test_conversion_bodies_and_union_evolving(spark):
+    from pacewise.operators import conversions as cv
+    from pacewise.session import cut_lineage
+    from pacewise.sources.sinks import union_evolving
+
+    ev = spark.createDataFrame(
+        [("meta", "Purchase", "evt_1", dt.datetime(2024, 1, 1), "browser", " A@B.com ", None, "1.1.1.1", "ua", 1.0,
+          "USD"),
+         ("pinterest", "Purchase", "evt_2", dt.datetime(2024, 1, 1), "browser", "x", "1", "ip", "ua", 2.0, "USD")],
+        "publisher string, event_name string, event_id string, event_time timestamp, source_channel string, "
+        "email string, phone string, ip_address string, user_agent string, value double, currency string")
+    p = cv.conversion_payloads(ev)
+    assert {r.route for r in p.collect()} == {"meta", "rejected"}
+    body = cv.conversion_bodies(p).first().body
+    import hashlib
+
+    assert hashlib.sha256(b"a@b.com").hexdigest() in body and '"ph":[""]' in body
+    a = spark.createDataFrame([(1,)], "x int")
+    b = spark.createDataFrame([(2, "n")], "x int, y string")
+    u = cut_lineage(union_evolving(a, b))
+    assert sorted((r.x, r.y) for r in u.collect()) == [(1, None), (2, "n")]
