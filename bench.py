@@ -44,9 +44,9 @@ def main() -> None:
     from pacewise.plans.catalog import QUERIES
     from pacewise.session import get_session
 
-    spark = get_session(f"local[{cpus}]", app="pacewise-bench", shuffle_partitions=max(8, 2 * int(cpus)))
+    spark = get_session(f"local[{cpus}]", app="pacewise-bench", shuffle_partitions=int(cpus))
     # The test tables are single-row-group files: spread them after the scan (see pacewise.sources.tables).
-    spark.conf.set("pacewise.scan.partitions", str(2 * int(cpus)))
+    spark.conf.set("pacewise.scan.partitions", cpus)
     # Session warm-up (JIT, class loading) on the smallest tables, excluded from every timing.
     for warm in ("silver_delivery", "silver_tickets"):
         QUERIES[warm](spark, "/root/testdata/sf0.001" if os.path.isdir("/root/testdata/sf0.001") else sf_dir) \

@@ -318,6 +318,7 @@ query("batch_history")(mt.batch_history_job)
 query("scd2_campaign_status")(mt.scd2_campaign_status)
 query("active_on_date")(lambda spark, sf: mt.active_on_date(spark, sf))
 query("stream_ingest")(mt.stream_ingest_job)
+query("stream_ingest_csv")(mt.stream_ingest_csv_job)
 query("stream_ingest_incremental")(mt.stream_ingest_incremental_job)
 query("stream_delivery_refresh")(mt.stream_delivery_refresh_job)
 query("stream_conversion_dedup")(mt.stream_conversion_dedup_job)

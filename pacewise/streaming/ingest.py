@@ -28,6 +28,12 @@ def stream_files(spark: SparkSession, landing: str, schema: T.StructType, sink:
                  fmt: str = "parquet", max_files_per_trigger: int | None = None) -> None:
     """Append every not-yet-seen file under ``landing`` to the Parquet ``sink``; stop when caught up."""
     reader = spark.readStream.format(fmt).schema(schema)
+    if fmt == "csv":
+        from pacewise.sources.csv import CSV_OPTIONS
+
+        # enforceSchema=false: the header must name the schema's columns, so a file whose columns are in
+        # another order or have an extra column fails the batch instead of shifting values silently.
+        reader = reader.options(**CSV_OPTIONS).option("enforceSchema", "false")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     src = reader.load(landing).select("*", F.col("_metadata.file_path").alias("_source_file_path"))

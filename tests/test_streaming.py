@@ -37,3 +37,18 @@ def test_stream_dedup_keeps_one_copy_per_event(spark):
     assert out.count() == out.select("publisher", "event_id").distinct().count()
     assert out.count() == b.conversion_events(spark, SF0001).select("publisher", "event_id").distinct().count()
     assert out.where(F.col("event_id").isNull()).count() == 0
+
+
+def test_csv_stream_rejects_shifted_header(spark):
+    import pytest
+
+    from pacewise.sources import csv as csvsrc
+
+    landing = scratch_path(spark, "t-csv-shift")
+    spark.createDataFrame([("C1", "dis", "DET", "1.5")], "campaign_id string, brand_code string, segment string, "
+                          "budget_usd string").transform(lambda d: csvsrc.write_csv(d, landing) or d)
+    schema = T.StructType([T.StructField("campaign_id", T.StringType()), T.StructField("brand_code", T.StringType()),
+                           T.StructField("budget_usd", T.DoubleType())])
+    with pytest.raises(Exception):
+        ingest.stream_files(spark, landing, schema, scratch_path(spark, "t-csv-sink"), scratch_path(spark, "t-csv-ck"),
+                            fmt="csv")
