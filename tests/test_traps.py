@@ -90,3 +90,24 @@ def test_conversion_bodies_and_union_evolving(spark):
     b = spark.createDataFrame([(2, "n")], "x int, y string")
     u = cut_lineage(union_evolving(a, b))
     assert sorted((r.x, r.y) for r in u.collect()) == [(1, None), (2, "n")]
+
+
+def test_rounding_is_identical_in_spark_and_duckdb(spark):
+    import random
+
+    import duckdb
+
+    from pacewise.oracle import rnd
+
+    rng = random.Random(7)
+    vals = [rng.uniform(-1e6, 1e6) for _ in range(500)] + [rng.randint(-10**6, 10**6) / 1000 + 0.0005
+                                                           for _ in range(500)]
+    vals += [1.005, 2.675, -0.125, 0.5, -0.5, 1e-7, 123456.78949999999]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+    got = {r.i: (r.r2, r.r4) for r in df.select("i", round_half_up("x", 2).alias("r2"),
+                                                round_half_up("x", 4).alias("r4")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
+    want = {i: (a, b) for i, a, b in con.execute(f"SELECT i, {rnd('x', 2)}, {rnd('x', 4)} FROM t").fetchall()}
+    assert got == want
