@@ -113,7 +113,7 @@ def bulk_load_once_job(spark: SparkSession, sf: str) -> DataFrame:
     target, manifest = scratch_path(spark, "delivery-bronze"), scratch_path(spark, "delivery-manifest")
     sinks.bulk_load_once(spark, landing, target, manifest, "delivery")
     sinks.bulk_load_once(spark, landing, target, manifest, "delivery")
-    return spark.read.parquet(target).drop("ship_year")
+    return spark.read.parquet(target).drop("ship_year", "_load")
 
 
 def ingest_manifest_job(spark: SparkSession, sf: str) -> DataFrame:

@@ -74,16 +74,19 @@ def bulk_load_once(spark: SparkSession, landing: str, target: str, manifest: str
         new = files.join(done, files["path"] == done["file_path"], "left_anti")
     except Exception:  # no manifest yet: every file is new
         new = files
-    paths = [r.path for r in new.select("path").collect()]
+    paths = sorted(r.path for r in new.select("path").collect())
     if not paths:
         return 0
+    # The load writes into a folder named by its file set, in overwrite mode: if the job dies after the data
+    # write but before the manifest write, the retry selects the same files and replaces that folder instead
+    # of appending the rows a second time.
+    import hashlib
+
+    load_id = hashlib.sha1("\n".join(paths).encode()).hexdigest()[:16]
     batch = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_landed_file"))
-    batch = batch.cache()
-    try:
-        write_append(batch.drop("_landed_file"), target)
-        write_append(ingest_manifest(batch, table, as_of), manifest)
-    finally:
-        batch.unpersist()
+    batch.drop("_landed_file").write.mode("overwrite").parquet(f"{target}/_load={load_id}")
+    write_append(ingest_manifest(spark.read.parquet(*paths).select(
+        F.col("_metadata.file_path").alias("_landed_file")), table, as_of), manifest)
     return len(paths)
 
 

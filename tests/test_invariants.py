@@ -67,3 +67,17 @@ def test_conversion_counts(spark):
     assert urls.count() == 50
     assert urls.where(F.col("source").isNotNull()).count() == 9
     assert urls.where("is_https").count() == 33
+
+
+def test_bulk_load_retry_after_lost_manifest_does_not_duplicate(spark):
+    from pacewise.plans import maintenance as mt
+    from pacewise.session import scratch_path
+    from pacewise.sources import sinks
+
+    landing, _ = mt._land_delivery(spark, SF0001, "t-bulk-landing")
+    target = scratch_path(spark, "t-bulk-target")
+    assert sinks.bulk_load_once(spark, landing, target, scratch_path(spark, "t-manifest-a"), "delivery") > 0
+    first = spark.read.parquet(target).count()
+    # The manifest write was lost: a retry against an empty manifest selects the same files again.
+    sinks.bulk_load_once(spark, landing, target, scratch_path(spark, "t-manifest-b"), "delivery")
+    assert spark.read.parquet(target).count() == first
