@@ -41,16 +41,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster's ``spark.checkpoint.dir`` is used as-is; only when it is unset
     (local runs, tests) a private folder under the system temp dir is created.
+    Sessions without a SparkContext handle (Spark Connect) rely on the conf alone.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="pacewise-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no JVM context on the client
+        sc = None
+    current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
+    if not current:
+        current = tempfile.mkdtemp(prefix="pacewise-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
