@@ -89,13 +89,18 @@ def quality_scoreboard(tables: dict[str, DataFrame], as_of: _dt.datetime = AS_OF
     return reduce(DataFrame.unionByName, parts)
 
 
+def _failed(r: Rule, null_fails: bool) -> Column:
+    bad = ~F.expr(r.predicate)
+    return F.coalesce(bad, F.lit(null_fails))
+
+
 def failed_checks(rules: list[Rule], null_fails: bool = False) -> Column:
-    """Array of the names of rules the row actually fails, in rule order."""
-    def failed(r: Rule) -> Column:
-        bad = ~F.expr(r.predicate)
-        return F.coalesce(bad, F.lit(True)) if null_fails else F.coalesce(bad, F.lit(False))
+    """Names of the rules the row actually fails, in rule order, joined by ', ' ('' = passes all).
 
-    return F.filter(F.array(*[F.when(failed(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+    ``concat_ws`` skips the NULLs of passing rules, so this stays a plain
+    codegen expression (no per-row lambda over an array).
+    """
+    return F.concat_ws(", ", *[F.when(_failed(r, null_fails), F.lit(r.name)) for r in rules])
 
 
 def with_failed_checks(df: DataFrame, table: str, registry=QUARANTINE_RULES, null_fails: bool = False) -> DataFrame:
@@ -107,15 +112,14 @@ def quarantine(df: DataFrame, table: str, as_of: _dt.datetime = AS_OF, registry=
                null_fails: bool = False) -> DataFrame:
     """Q-07: rows failing at least one error rule, stamped with time and the comma-joined failed names."""
     x = with_failed_checks(df, table, registry, null_fails)
-    return x.where(F.size("_failed") > 0).select(
-        *df.columns, as_of_ts(as_of).alias("_quarantined_at"),
-        F.concat_ws(", ", "_failed").alias("_failed_checks")).drop("_failed")
+    return x.where(F.col("_failed") != "").select(
+        *df.columns, as_of_ts(as_of).alias("_quarantined_at"), F.col("_failed").alias("_failed_checks"))
 
 
 def quarantine_split(df: DataFrame, table: str, registry=QUARANTINE_RULES, null_fails: bool = False) -> DataFrame:
     """Q-08: every input row tagged promoted / quarantined (promoted + quarantined = input)."""
     x = with_failed_checks(df, table, registry, null_fails)
-    return x.select(*df.columns, F.when(F.size("_failed") > 0, F.lit("quarantined")).otherwise(F.lit("promoted"))
+    return x.select(*df.columns, F.when(F.col("_failed") != "", F.lit("quarantined")).otherwise(F.lit("promoted"))
                     .alias("_route"))
 
 

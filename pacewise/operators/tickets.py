@@ -107,7 +107,7 @@ def ticket_queues(tickets: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
         F.when((sla_status_col(as_of) == "Breached") & (stage != "Completed"), F.lit("breached")),
         F.when(_blank("assignee"), F.lit("unassigned")),
     )
-    return tickets.select("ticket_id", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("queue"))
+    return tickets.select("ticket_id", F.explode(tags).alias("queue")).where(F.col("queue").isNotNull())
 
 
 def pending_tickets(tickets: DataFrame) -> DataFrame:
