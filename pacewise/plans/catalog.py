@@ -363,3 +363,24 @@ def _daily_pipeline(spark, sf):
 @query("hourly_refresh")
 def _hourly_refresh(spark, sf):
     return pl.run_hourly(spark, sf, scratch_path(spark, "hourly-run"))
+
+
+def materialize_silver(spark, sf, tables=("campaigns", "delivery", "tickets", "qa_checks")) -> str:
+    """Write the silver tables once under the shared checkpoint folder and serve later queries from them.
+
+    For sessions that run many gold/report queries: each query then starts
+    from the written silver table (lineage cut, no re-dedup) instead of the
+    raw tables. Returns the folder. The registered queries themselves never
+    call this, so each one still runs end to end over the given tables.
+    """
+    builders = {"campaigns": campaigns, "delivery": delivery, "tickets": tickets, "qa_checks": qa_checks}
+    base = scratch_path(spark, "silver")
+    for t in tables:
+        builders[t](spark, sf).write.mode("overwrite").parquet(f"{base}/{t}")
+    from pacewise.sources.tables import SCAN_PARTITIONS_CONF
+
+    for t in tables:
+        key = (t, id(spark), sf, spark.conf.get(SCAN_PARTITIONS_CONF, "0"))
+        _MEMO[key] = spark.read.parquet(f"{base}/{t}")
+    _MEMO.pop(("performance", id(spark), sf, spark.conf.get(SCAN_PARTITIONS_CONF, "0")), None)
+    return base

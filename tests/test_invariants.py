@@ -81,3 +81,17 @@ def test_bulk_load_retry_after_lost_manifest_does_not_duplicate(spark):
     # The manifest write was lost: a retry against an empty manifest selects the same files again.
     sinks.bulk_load_once(spark, landing, target, scratch_path(spark, "t-manifest-b"), "delivery")
     assert spark.read.parquet(target).count() == first
+
+
+def test_materialized_silver_gives_the_same_gold(spark):
+    from pacewise.plans import catalog
+
+    before = sorted(tuple(r) for r in q(spark, "platform_scorecard").drop("_gold_refreshed_at").collect())
+    catalog.materialize_silver(spark, SF0001)
+    try:
+        after = sorted(tuple(r) for r in q(spark, "platform_scorecard").drop("_gold_refreshed_at").collect())
+        plan = q(spark, "campaign_performance")._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan  # served from the written silver tables
+    finally:
+        catalog._MEMO.clear()
+    assert before == after
