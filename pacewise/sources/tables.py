@@ -8,7 +8,7 @@ one file with one row group is read by ONE task, and everything before the
 first shuffle (join probe, projections, the partial dedup limit) runs in that
 task. On a cluster the inputs are many multi-row-group files and no action is
 needed. For small single-row-group inputs (the local test tables) set
-``pacewise.scan.partitions`` to spread rows round-robin right after the scan;
+``pacewise.scan.partitions`` to spread rows by a hash of the leading key column right after the scan;
 unset (the default) adds nothing to the plan.
 """
 
@@ -57,5 +57,7 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
         df = df.select(*columns)
     parts = int(spark.conf.get(SCAN_PARTITIONS_CONF, "0") or 0)
     if parts > 0 and name not in FIXED_SIZE:
-        df = df.repartition(parts)
+        # Hash on the leading (key) column: deterministic on task retry without the local sort a
+        # round-robin split needs for that guarantee.
+        df = df.repartition(parts, df.columns[0])
     return df
