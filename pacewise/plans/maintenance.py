@@ -139,15 +139,18 @@ def create_bronze_tables_job(spark: SparkSession, sf: str) -> DataFrame:
     """S-11/S-12/S-13: database + typed partitioned tables created if absent, loaded, listed, counted."""
     import uuid
 
-    db = f"bronze_{uuid.uuid4().hex[:8]}"
+    suffix = uuid.uuid4().hex[:8]
     base = scratch_path(spark, "warehouse")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{base}'")
+    for layer in ("bronze", "silver", "gold", "quarantine"):  # S-12: one database per layer
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}_{suffix} LOCATION '{base}/{layer}'")
+    db = f"bronze_{suffix}"
     tables = {"campaigns": b.campaigns_bronze(spark, sf), "delivery": b.delivery_bronze(spark, sf),
               "tickets": b.tickets_bronze(spark, sf)}
     for name, df in tables.items():
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         part = " PARTITIONED BY (date)" if name == "delivery" else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.{name} ({cols}) USING parquet{part}")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.{name} ({cols}) USING parquet{part} "
+                  f"TBLPROPERTIES ('layer' = 'bronze', 'source_table' = '{name}')")
         ordered = df.select(*[F.col(c) for c in spark.table(f"{db}.{name}").columns])
         if part:
             ordered = ordered.hint("rebalance", "date")  # few files per day; AQE splits a hot day
