@@ -9,29 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "pacewise", shuffle_partitions: int | None = None) -> SparkSession:
-    """Session for local runs and tests; on a cluster the submitter's config wins.
+    """Session for local runs, tests and cluster submits.
 
-    AQE is on so shuffle partition counts coalesce at runtime and skewed join
-    partitions are split; ``shuffle_partitions`` is the upper bound AQE starts from.
+    Local (``master`` given, e.g. ``local[8]``): shuffle partitions sized to the
+    cores. Cluster (no ``master``: the submitter's environment decides): the
+    submitter's settings are kept; unset options get scale-ready defaults —
+    AQE on (runtime coalescing from a large initial partition count, skew-join
+    splitting), 256 MB input splits, UTC session time zone.
     """
     builder = SparkSession.builder.appName(app)
-    if master:
+    local = master is not None
+    if local:
         builder = builder.master(master)
-    cpus = os.cpu_count() or 8
-    parts = shuffle_partitions or max(8, cpus * 2)
-    builder = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("PACEWISE_DRIVER_MEMORY", "16g"))
-    )
+        cpus = os.cpu_count() or 8
+        builder = (builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or max(8, cpus)))
+                   .config("spark.driver.memory", os.environ.get("PACEWISE_DRIVER_MEMORY", "16g"))
+                   .config("spark.ui.enabled", "false")
+                   .config("spark.ui.showConsoleProgress", "false"))
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    defaults = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
+    if not local:
+        defaults.update({
+            # Start wide and let AQE coalesce: at 100 TB, 200 shuffle partitions would be ~500 GB each.
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+            "spark.sql.files.maxPartitionBytes": "256m",
+        })
+    for k, v in defaults.items():
+        if local or spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+    try:
+        spark.sparkContext.setLogLevel("ERROR" if local else "WARN")
+    except Exception:  # Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
