@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,8 +58,9 @@ def get_session(master: str | None = None, app: str = "pacewise", shuffle_partit
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster's ``spark.checkpoint.dir`` is used as-is; only when it is unset
-    (local runs, tests) a private folder under the system temp dir is created.
+    The cluster's ``spark.checkpoint.dir`` is used as-is. Where it is unset, a
+    local session gets a private folder under the system temp dir; on a cluster
+    that folder would be a different one on every machine, so this raises.
     Sessions without a SparkContext handle (Spark Connect) rely on the conf alone.
     """
     try:
@@ -67,6 +69,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; "
+                               f"a machine-local temp folder cannot serve master {master!r}")
         current = tempfile.mkdtemp(prefix="pacewise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and not sc.getCheckpointDir():
