@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewise.llm import chat, exact_dedup, mixing, sharding
+from pacewise.llm import chat, exact_dedup, mixing, packing, sharding
 from pacewise.llm.common import table
 from pacewise.session import scratch_path
 
@@ -17,6 +17,18 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), sharding.ShardTree.regular(2, 2, 2))
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file, which every machine has with the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids of the word-BPE tokenizer."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as the first batch of a fresh index in the shared folder."""
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"))
@@ -39,6 +51,7 @@ def op10_prefix_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
+    "op5_complement_packing": op5_complement_packing,
     "op7_digest_index_dedup": op7_digest_index_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_prefix_chat": op10_prefix_chat,
