@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewise.llm import chat, exact_dedup, mixing, packing, sharding
+from pacewise.llm import chat, exact_dedup, mixing, packing, sharding, simhash_dedup
 from pacewise.llm.common import table
 from pacewise.session import scratch_path
 
@@ -17,6 +17,11 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), sharding.ShardTree.regular(2, 2, 2))
 
 
+def op2_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_dedup.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer's vocabulary file, which every machine has with the package."""
     import public_tokenizers
@@ -51,6 +56,7 @@ def op10_prefix_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
+    "op2_pigeonhole_simhash": op2_pigeonhole_simhash,
     "op5_complement_packing": op5_complement_packing,
     "op7_digest_index_dedup": op7_digest_index_dedup,
     "op9_source_mixing": op9_source_mixing,
