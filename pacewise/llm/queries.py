@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewise.llm import chat, exact_dedup, mixing, packing, sharding, simhash_dedup
+from pacewise.llm import chat, exact_dedup, mixing, packing, sharding, simhash_dedup, substring_dedup
 from pacewise.llm.common import table
 from pacewise.session import scratch_path
 
@@ -41,6 +41,11 @@ def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pigeonhole_simhash": op2_pigeonhole_simhash,
     "op5_complement_packing": op5_complement_packing,
     "op7_digest_index_dedup": op7_digest_index_dedup,
+    "op8_super_kmer_dedup": op8_super_kmer_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_prefix_chat": op10_prefix_chat,
 }
