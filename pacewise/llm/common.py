@@ -28,6 +28,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table with more rows than this is joined by shuffle instead of broadcast (rows of these tables are some 100 bytes).
+BROADCAST_ROWS = 20_000
+
+
+def look_up(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Left-join ``rows`` with the row of ``small`` for their ``key`` (null is a key like any other).
+
+    ``small`` has a row per key and comes last, without its key. It is staged
+    and counted: up to BROADCAST_ROWS it is broadcast, else both sides are
+    shuffled and AQE splits keys that hold many of the rows.
+    """
+    small = stage(small, "lookup").withColumnRenamed(key, "_key")
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(small) if few else small, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

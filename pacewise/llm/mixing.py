@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pacewise.llm.common import stage, whole_row, word_count
+from pacewise.llm.common import look_up, stage, whole_row, word_count
 
-#: Sources beyond this many are joined by shuffle instead of broadcast (a row is some 100 bytes).
-BROADCAST_SOURCES = 20_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -59,13 +57,6 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def with_rates(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Join documents to their source's row; null is a source like any other."""
-    targets = stage(targets, "source-targets").withColumnRenamed("source", "_source")
-    few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return docs.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-
-
 def copies(rate: Column, doc_id: Column) -> Column:
     whole = F.floor(rate)
     return (whole + F.when(draw(doc_id) < rate - whole, 1).otherwise(0)).cast("int")
@@ -78,7 +69,7 @@ def mix_counts(docs: DataFrame) -> DataFrame:
     draw; repeated rows share theirs. Sources of size 0 have target 0.
     """
     sized = stage(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
-    rated = with_rates(sized, source_targets(sized.select("source", "size")))
+    rated = look_up(sized, source_targets(sized.select("source", "size")), "source")
     return rated.select("doc_id", "size", "source_size", "target",
                         (F.col("size") * copies(F.col("rate"), F.col("doc_id"))).cast("long").alias("taken"))
 
@@ -87,7 +78,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with all its columns and no others."""
     targets = source_targets(docs.select("source", word_count().alias("size")))
     rows = docs.select(whole_row(docs), "doc_id", "source")
-    rated = with_rates(rows, targets)
+    rated = look_up(rows, targets, "source")
     times = F.sequence(F.lit(1), copies(F.col("rate"), F.col("doc_id")))
     return (rated.where(copies(F.col("rate"), F.col("doc_id")) > 0).select("_row", F.explode(times).alias("_copy"))
             .select("_row.*"))
