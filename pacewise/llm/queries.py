@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewise.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash_dedup, substring_dedup
+from pacewise.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, toxicity
 from pacewise.llm.common import table
 from pacewise.session import scratch_path
 
@@ -26,6 +26,10 @@ def op3_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer's vocabulary file, which every machine has with the package."""
     import public_tokenizers
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_pigeonhole_simhash": op2_pigeonhole_simhash,
     "op3_perplexity_quality": op3_perplexity_quality,
+    "op4_noisy_channel_toxicity": op4_noisy_channel_toxicity,
     "op5_complement_packing": op5_complement_packing,
     "op7_digest_index_dedup": op7_digest_index_dedup,
     "op8_super_kmer_dedup": op8_super_kmer_dedup,
