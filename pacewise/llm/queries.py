@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewise.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, toxicity
+from pacewise.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
 from pacewise.llm.common import table
 from pacewise.session import scratch_path
 
@@ -42,6 +42,28 @@ def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each.
+
+    The first word's first characters give way to the source's name, the
+    language and a space go into the middle, and the last seven characters go.
+    """
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    length = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(at: Column, removed: int, inserted: Column) -> Column:
+        return F.struct(at.cast("long").alias("at"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
+
+    planned = docs.select("doc_id", "text", F.array(
+        edit(F.lit(0), 2, F.coalesce("source", F.lit(""))),
+        edit(F.floor(length / 2), 0, F.concat(F.coalesce("lang", F.lit("")), F.lit(" "))),
+        edit(F.greatest(length - 7, F.lit(0)), 7, F.lit(""))).alias("edits"))
+    counted = token_counts.apply_edits(token_counts.build_trees(planned, path), path)
+    return counted.select("doc_id", "n_before", "n_tokens", "n_edits", "recounted_chars", F.length("text").cast("long").alias("text_chars"),
+                          F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as the first batch of a fresh index in the shared folder."""
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"))
@@ -73,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_perplexity_quality": op3_perplexity_quality,
     "op4_noisy_channel_toxicity": op4_noisy_channel_toxicity,
     "op5_complement_packing": op5_complement_packing,
+    "op6_edit_aware_counts": op6_edit_aware_counts,
     "op7_digest_index_dedup": op7_digest_index_dedup,
     "op8_super_kmer_dedup": op8_super_kmer_dedup,
     "op9_source_mixing": op9_source_mixing,
