@@ -56,3 +56,13 @@ def word_count(col: str = "text") -> Column:
 def whole_row(df: DataFrame, name: str = "_row") -> Column:
     """All columns of ``df`` as one struct, so that added columns can never clash with its names."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose row id is in ``kept`` (rid), with all their columns and no others.
+
+    Row ids are ``monotonically_increasing_id`` over ``docs``, which must be a
+    table read from files: reading it again numbers its rows alike.
+    """
+    rows = docs.select(whole_row(docs), F.monotonically_increasing_id().alias("rid"))
+    return rows.join(stage(kept.select("rid"), "kept-rows"), "rid", "left_semi").select("_row.*")

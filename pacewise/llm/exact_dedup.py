@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import stage, text_or_empty
+from pacewise.llm.common import keep_rows, stage, text_or_empty
 
 NO_ID = -(1 << 63)  # sorts a missing doc_id below every other
 
@@ -96,3 +96,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     return (rows.join(verdicts, "digest")
             .select("doc_id", "rid", "digest", "keep_id", "group_size",
                     F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept")))
+
+
+def keep_one(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    return keep_rows(docs, exact_dedup(docs, index, batch).where("kept"))

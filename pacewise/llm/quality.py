@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pacewise.llm import char_lm
-from pacewise.llm.common import look_up, stage, whole_row
+from pacewise.llm.common import keep_rows, look_up, stage, whole_row
 from pacewise.llm.substring_dedup import split_words
 
 MIN_WORDS = 50
@@ -163,7 +163,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     limits = bands(scored)
     if models is None:
         verdict = look_up(scored, limits, "lang").where(~F.col("base_failed") & in_band(F.col("log_perplexity"))).select("rid")
-        rows = docs.select(whole_row(docs), F.monotonically_increasing_id().alias("rid"))
-        return rows.join(stage(verdict, "kept-rows"), "rid", "left_semi").select("_row.*")
+        return keep_rows(docs, verdict)
     rows = docs.select(whole_row(docs), char_lm.language().alias("lang"), scorer(models)(F.col("text"), char_lm.language()).alias("s"))
     return look_up(rows, limits, "lang").where(~base_failed() & in_band(F.col("s.log_perplexity"))).select("_row.*")

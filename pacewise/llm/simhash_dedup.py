@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import stage
+from pacewise.llm.common import keep_rows, stage
 from pacewise.llm.components import components
 
 BITS = 64
@@ -33,7 +33,7 @@ PROBE_COST = 4.0
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of every text's word shingles, as a signed long.
+    """(doc_id, rid, fp): the 64-bit SimHash of every text's word shingles, as a signed long.
 
     A-Z are lower-cased; words are runs of non-white-space; shingles of
     ``width`` words, repeats included, are joined by one space and hashed with
@@ -62,10 +62,11 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [simhash(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [simhash(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc_id", "rid", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("rid"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, rid bigint, fp bigint")
 
 
 def bit_counts(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -205,7 +206,10 @@ def near_links(classes: DataFrame, plan: list[Partition], radius: int = RADIUS)
 
 
 def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable by links, itself included) for every row of ``docs``.
+    """doc_id, rid, fp, root, component_id (the smallest doc_id reachable by links, itself included) per row of ``docs``.
+
+    ``root`` names the component by its smallest fingerprint; ``rid`` numbers
+    the rows.
 
     Texts with one fingerprint are one node, however many they are. Null and
     empty texts share fingerprint zero; repeated rows stay; a null doc_id is
@@ -219,11 +223,19 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "rooted-classes")
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stage(rooted.select("fp", "root").join(stage(names, "component-names"), "root").select("fp", "component_id"), "class-components")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stage(rooted.select("fp", "root").join(stage(names, "component-names"), "root").select("fp", "root", "component_id"), "class-components")
+    return fps.join(named, "fp").select("doc_id", "rid", "fp", "root", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), BITS // 4, "0"))
 
 
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` per component, the one with the smallest doc_id, with all its columns."""
+    found = near_components(docs, radius)
+    last = F.lit((1 << 63) - 1)
+    kept = found.groupBy("root").agg(F.min_by("rid", F.coalesce("doc_id", last)).alias("rid"))
+    return keep_rows(docs, kept)
