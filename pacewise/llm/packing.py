@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pacewise.llm.common import stage
 from pacewise.llm.sharding import gapless_slots
-from pacewise.llm.word_ids import TextIds
+from pacewise.llm.word_ids import text_ids
 
 CAPACITY = 2048
 END_ID = 0
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     """doc_id, piece, start, length, ids_crc32 for ``docs`` (doc_id, text): the text's ids and a closing id 0, cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextIds(tokenizer_path)
+        encoder = text_ids(tokenizer_path)
         for batch in batches:
             doc_ids, rows = batch.column(0).to_pylist(), ([], [], [], [], [])
             for doc_id, ids in zip(doc_ids, encoder.texts(batch.column(1)), strict=True):

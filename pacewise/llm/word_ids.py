@@ -8,7 +8,9 @@ the worker has not met. The memory for words is bounded; it starts anew when ful
 
 from __future__ import annotations
 
+import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow.compute as pc
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 #: The tokenizer's pre-token pattern, restricted to those characters.
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 SLICE_BYTES = 4 << 20
 
 
@@ -31,38 +33,52 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+@functools.cache
+def text_ids(path: str) -> TextIds:
+    """The encoder of this Python worker, which keeps the words it knows from task to task."""
+    return TextIds(path)
+
+
 class TextIds:
-    """Encodes texts with the tokenizer file at ``path``; one object per Python worker and task."""
+    """Encodes texts with the tokenizer file at ``path``."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.remembered = self.tokenizer.model, remembered
-        self.letters, self.words = _byte_letters(), {}
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.letters, self.words, self.parts = _byte_letters(), {}, {}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or r"(?!)")
 
-    def word(self, word: str) -> bytes:
-        """The ids of one word as little-endian uint32; words out of the ordinary take the whole tokenizer."""
-        found = self.words.get(word)
+    def part(self, pre_token: str) -> bytes:
+        found = self.parts.get(pre_token)
         if found is None:
-            if PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-                pre = PRE_TOKEN.findall(word.lower().translate(self.letters) if word.isascii() else word.lower())
-                if not word.isascii():
-                    pre = [p.translate(self.letters) for p in pre]
-                ids = [t.id for p in pre for t in self.model.tokenize(p)]
-            else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            if len(self.words) >= self.remembered:
-                self.words.clear()
-            found = self.words[word] = np.asarray(ids, dtype="<u4").tobytes()
+            spelled = pre_token if pre_token.isascii() else pre_token.translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(self.parts) >= self.remembered:
+                self.parts.clear()
+            self.parts[pre_token] = found
+        return found
+
+    def word(self, word: str) -> bytes:
+        """The ids of one word as uint32; words out of the ordinary take the whole tokenizer."""
+        if PLAIN.fullmatch(word) and not self.special.search(word):
+            low = word.lower()
+            found = self.part(low) if low.isalpha() else b"".join(map(self.part, PRE_TOKEN.findall(low)))
+        else:
+            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self.words) >= self.remembered:
+            self.words.clear()
+        self.words[word] = found
         return found
 
     def slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, each text's end in them)."""
         words = pc.ascii_split_whitespace(texts)
         flat = words.flatten().dictionary_encode()
-        known = [self.word(w) for w in flat.dictionary.to_pylist()]
+        met = self.words.get
+        known = [met(w) or self.word(w) for w in flat.dictionary.to_pylist()]
         size = np.fromiter((len(k) // 4 for k in known), dtype=np.int64, count=len(known))
         start = np.cumsum(size) - size
         pool = np.frombuffer(b"".join(known), dtype="<u4")
