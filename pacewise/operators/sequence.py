@@ -6,11 +6,14 @@ job in one task. ``positions_within`` computes the same numbers with work
 spread by ranges:
 
 1. ``repartitionByRange(g, o)``: a hot group is split into several
-   contiguous range partitions (the range bounds come from a sample);
+   contiguous range partitions (the range bounds come from a sample), whose
+   number follows the session's shuffle settings and AQE;
 2. sort within each partition and take ``monotonically_increasing_id`` —
    (partition id << 33) + row index, so ids increase along the sort order;
-3. per (partition, group) segment: the first id and the row count — at most
-   (partitions + groups) rows;
+   the numbered rows are written ONCE into the shared folder, because a second
+   evaluation would draw other range bounds from another sample;
+3. from that copy, per (partition, group) segment: the first id and the row
+   count — at most (partitions + groups) rows;
 4. a segment's offset = rows of the same group in earlier partitions (a
    running sum over that small table; at most one row per partition per group);
 5. position = offset + (id − first id of the segment).
@@ -27,13 +30,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pacewise.session import written_once
+
 
 def positions_within(df: DataFrame, group_cols: list[str], order_cols: list[str], pos_col: str = "_pos",
                      partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *group_cols, *order_cols).sortWithinPartitions(*group_cols, *order_cols)
-              .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    keys = [*group_cols, *order_cols]
+    numbered = (df.repartitionByRange(*([partitions] if partitions else []), *keys).sortWithinPartitions(*keys)
+                .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = written_once(numbered, "positions")
     seg = ranged.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_offset", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))

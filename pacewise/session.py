@@ -80,12 +80,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     import uuid
 
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(f"{base}/{name}-{uuid.uuid4().hex[:12]}")
+    return _SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every folder that ``scratch_path`` gave out so far; call it once their results are no longer read.
+
+    Returns the number of folders that existed. Goes through Hadoop's file
+    system, so it reaches whatever store the checkpoint folder is in.
+    """
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        found += path.getFileSystem(conf).delete(path, True)
+    return found
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into a scratch folder and read back: later reads see one evaluation of it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

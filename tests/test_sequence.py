@@ -1,5 +1,6 @@
 """positions_within against ROW_NUMBER on a fixture where one group holds most rows (brute-force check)."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -27,3 +28,36 @@ def test_scd2_keeps_first_and_changes(spark):
         ("j", "X", True), ("k", "A", False), ("k", "B", False), ("k", "A", True)]
     k = [r for r in h if r.key == "k"]
     assert k[0]._valid_to == k[1]._valid_from and k[1]._valid_to == k[2]._valid_from
+
+
+SF01 = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize("partitions", [4, 8, 32])
+def test_positions_and_history_at_sf01_equal_windows(spark, partitions):
+    """W-03 and W-05 carry extra columns and must not depend on how ranges were sampled."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        orders = spark.read.parquet(f"{SF01}/orders.parquet").select(
+            F.when(F.col("o_orderkey") % 10 < 6, F.lit("hot")).otherwise(F.col("o_orderpriority")).alias("g"), "o_orderkey",
+            "o_custkey", "o_totalprice")
+        got = positions_within(orders, ["g"], ["o_orderkey"], "_pos")
+        want = orders.withColumn("_pos", F.row_number().over(Window.partitionBy("g").orderBy("o_orderkey")).cast("long") - 1)
+        assert got.count() == orders.count()
+        assert got.select(*want.columns).exceptAll(want).count() == 0
+
+        versions = spark.read.parquet(f"{SF01}/orders.parquet").select(
+            F.when(F.col("o_custkey") % 3 == 0, F.lit(-1)).otherwise(F.col("o_custkey")).alias("key"),
+            F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("_ingested_at"),
+            F.col("o_orderkey").alias("_batch_id"), F.col("o_orderpriority").alias("extra"))
+        got = scd2_history(versions, "key", "status", tie_breakers=["_batch_id"])
+        w = Window.partitionBy("key").orderBy("_ingested_at", "_batch_id")
+        kept = (versions.withColumn("_prev", F.lag("status").over(w)).withColumn("_n", F.row_number().over(w))
+                .where((F.col("_n") == 1) | ~F.col("_prev").eqNullSafe(F.col("status"))).drop("_prev", "_n"))
+        want = kept.withColumn("_valid_from", F.col("_ingested_at")).withColumn("_valid_to", F.lead("_ingested_at").over(w))
+        want = want.withColumn("_is_current", F.col("_valid_to").isNull())
+        assert got.count() == want.count()
+        assert got.select(*want.columns).exceptAll(want).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
