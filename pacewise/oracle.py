@@ -63,5 +63,11 @@ def xavg(expr: str, scale: int = 10) -> str:
     return f"(CASE WHEN COUNT({d}) > 0 THEN CAST(SUM({d}) AS DOUBLE) / COUNT({d}) END)"
 
 
+def digits(k: str) -> str:
+    """The number with leading zeros up to seven digits, never shortened."""
+    text = f"CAST({k} AS VARCHAR)"
+    return f"(repeat('0', greatest(0, 7 - length({text}))) || {text})"
+
+
 def camp_key(k: str) -> str:
-    return f"('CMP-' || lpad(CAST({k} AS VARCHAR), 7, '0'))"
+    return f"('CMP-' || {digits(k)})"
