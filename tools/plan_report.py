@@ -46,7 +46,7 @@ def main() -> None:
         df = QUERIES[n](spark, sf)
         df.write.format("noop").mode("overwrite").save()
         qe = df._jdf.queryExecution()
-        df.collect() if df.count() < 50000 else None
+        qe.toRdd().count()  # runs this execution on the executors, so that its adaptive plan is the final one
         s = summarize(qe.executedPlan().toString())
         if cols is None:
             cols = list(s)
