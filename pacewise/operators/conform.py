@@ -3,7 +3,8 @@
 The market dimension is derived from nation ⋈ region — 25 rows at every
 scale — so broadcasting it is bounded. Orphan detection is a left-anti join;
 fact-to-campaign checks (delivery, tickets) are shuffle anti-joins on the
-campaign key because both sides grow with the data.
+campaign key and a salt, because both sides grow with the data and a campaign
+(or the missing key) may hold much of it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pacewise.operators.skew import spread_join
 from pacewise.sources.tables import scan
 
 
@@ -36,10 +38,10 @@ def orphan_keys(campaigns: DataFrame, delivery: DataFrame, tickets: DataFrame, m
     geo = campaigns.join(F.broadcast(markets), F.col("targeting_geo") == F.col("market_code"), "left_anti").select(
         F.lit("campaigns").alias("entity"), F.lit("targeting_geo").alias("key_name"),
         F.col("targeting_geo").alias("key_value"), F.col("campaign_id").alias("row_key"))
-    d = delivery.select("delivery_id", "campaign_id").join(c_keys, "campaign_id", "left_anti").select(
+    d = spread_join(delivery.select("delivery_id", "campaign_id"), c_keys, "campaign_id", "delivery_id", "left_anti").select(
         F.lit("delivery").alias("entity"), F.lit("campaign_id").alias("key_name"), F.col("campaign_id").alias("key_value"),
         F.col("delivery_id").alias("row_key"))
-    t = tickets.select("ticket_id", "campaign_id").join(c_keys, "campaign_id", "left_anti").select(
+    t = spread_join(tickets.select("ticket_id", "campaign_id"), c_keys, "campaign_id", "ticket_id", "left_anti").select(
         F.lit("tickets").alias("entity"), F.lit("campaign_id").alias("key_name"), F.col("campaign_id").alias("key_value"),
         F.col("ticket_id").alias("row_key"))
     return geo.unionByName(d).unionByName(t)

@@ -14,9 +14,10 @@ PUBLISHER_ROUTES = ["meta", "tiktok", "snapchat"]
 
 
 def hash_pii(c) -> Column:
-    """E-01: SHA-256 hex of lower(trim(x)); empty or missing input gives ''."""
+    """E-01: SHA-256 hex of the lower-cased value without white space around it; empty or missing input gives ''."""
     x = F.col(c) if isinstance(c, str) else c
-    return F.when(x.isNull() | (x == ""), F.lit("")).otherwise(F.sha2(F.lower(F.trim(x)), 256))
+    bare = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")  # trim() strips spaces only
+    return F.when(x.isNull() | (x == ""), F.lit("")).otherwise(F.sha2(F.lower(bare), 256))
 
 
 def hashed_events(events: DataFrame) -> DataFrame:

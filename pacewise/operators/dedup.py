@@ -14,13 +14,22 @@ from pyspark.sql import functions as F
 
 
 def dedup_latest(df: DataFrame, key: str | list[str], order: list[Column] | None = None) -> DataFrame:
-    """Latest row per key by ``_ingested_at`` desc; ``order`` adds tie-breakers for a total order."""
+    """Latest row per key by ``_ingested_at`` desc, or by ``order``, which must be a total order.
+
+    Versions of one ingestion time go by batch, source file and a hash of the
+    whole row, so the same row wins however the data are dealt out.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    order = order or [F.col("_ingested_at").desc()]
+    order = order or latest_first(df)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_row_num", F.row_number().over(w)).where(F.col("_row_num") == 1).drop("_row_num")
 
 
+def latest_first(df: DataFrame, ts: str = "_ingested_at") -> list[Column]:
+    stamps = [c for c in ("_batch_id", "_source_file") if c in df.columns]
+    return [F.col(ts).desc(), *[F.col(c).desc() for c in stamps], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+
+
 def scd2_history(df: DataFrame, key: str, tracked: str, ts: str = "_ingested_at",
                  tie_breakers: list[str] | None = None) -> DataFrame:
     """SCD-2 rows: the first version of each key and every version whose tracked value changed.

@@ -1,8 +1,8 @@
 """Ticket work: queues, routing, SLA states, payload generation, automated QA, gates, views.
 
 The original processed one ticket at a time with a lookup per ticket. Here it
-is one set-based job: tickets ⟕ campaigns (one shuffle join; AQE splits a hot
-campaign) → a per-ticket payload ARRAY built by CASE → payload rows by
+is one set-based job: tickets ⟕ campaigns (one shuffle join on campaign and
+salt, so a hot campaign spans tasks) → a per-ticket payload ARRAY built by CASE → payload rows by
 ``posexplode`` → QA results computed from the same array (at most three
 elements per ticket, so no regrouping is needed) → QA rows by ``posexplode``.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pacewise.config import AS_OF
 from pacewise.functions.columns import as_of_ts, rank_of
+from pacewise.operators.skew import spread_join
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the original automation for results to match).
@@ -190,7 +191,7 @@ def with_payloads(tickets: DataFrame, campaigns: DataFrame) -> DataFrame:
     """
     t = tickets.select("ticket_id", "campaign_id", "request_type", "platform", "stage", "assignee",
                        F.col("targeting_geo").alias("ticket_geo"), F.col("brand").alias("ticket_brand"))
-    t = t.join(campaigns.select("campaign_id", *_CAMPAIGN_COLS), "campaign_id", "left")
+    t = spread_join(t, campaigns.select("campaign_id", *_CAMPAIGN_COLS), "campaign_id", "ticket_id")
     rt = F.coalesce(F.col("request_type"), F.lit(""))
     plat = F.coalesce(F.col("platform"), F.lit(DEFAULT_TICKET_PLATFORM))
     channel = F.coalesce(F.col("channel_mapped"), F.lit(TAXONOMY_DEFAULTS["channel_mapped"]))
@@ -406,8 +407,9 @@ def view_engineer_backlog(tickets: DataFrame) -> DataFrame:
 
 def view_tickets_by_region(tickets: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Region is a lookup through the ticket's campaign (left join; counts per region)."""
-    j = tickets.select("ticket_id", "campaign_id").join(campaigns.select("campaign_id", "region"), "campaign_id", "left")
-    return j.groupBy("region").agg(F.count(F.lit(1)).alias("tickets"))
+    per_campaign = tickets.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n"))
+    j = per_campaign.join(campaigns.select("campaign_id", "region"), "campaign_id", "left")
+    return j.groupBy("region").agg(F.sum("n").alias("tickets"))
 
 
 def view_qa_gate(tickets: DataFrame, gate: DataFrame) -> DataFrame:

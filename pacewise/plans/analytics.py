@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pacewise.config import AS_OF
 from pacewise.functions.columns import as_of_date, as_of_ts, count_if, round_half_up
+from pacewise.operators.skew import spread_join
 
 MONEY = "decimal(18,2)"
 
@@ -31,7 +32,7 @@ def zero_delivery_all(delivery: DataFrame, campaigns: DataFrame) -> DataFrame:
     d = delivery.where(F.col("impressions") == 0).select("delivery_id", "campaign_id", "delivery_date",
                                                           "impressions", "clicks")
     c = campaigns.where(F.col("status") == "Active").select("campaign_id", "campaign_name", "platform", "status")
-    return d.join(c, "campaign_id").select(
+    return spread_join(d, c, "campaign_id", "delivery_id", "inner").select(
         F.col("delivery_date").alias("date"), "campaign_name", "platform", "status", "impressions", "clicks",
         "delivery_id",
     ).orderBy(F.col("date").desc(), "delivery_id")
@@ -48,7 +49,7 @@ def zero_delivery_latest(delivery: DataFrame, campaigns: DataFrame) -> DataFrame
         F.broadcast(last), F.col("delivery_date") == F.col("last_date")).select("campaign_id", "delivery_id")
     c = campaigns.where(F.col("status") == "Active").select(
         "campaign_id", "campaign_name", F.col("brand").alias("advertiser"), "platform", "budget_usd")
-    return d.join(c, "campaign_id").select("campaign_name", "advertiser", "platform", "budget_usd",
+    return spread_join(d, c, "campaign_id", "delivery_id", "inner").select("campaign_name", "advertiser", "platform", "budget_usd",
                                            "delivery_id").orderBy(F.col("budget_usd").desc_nulls_last())
 
 

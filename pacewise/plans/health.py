@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pacewise.config import AS_OF
 from pacewise.functions.columns import as_of_date, as_of_ts, rank_of
+from pacewise.operators.skew import spread_join
 from pacewise.plans.gold import ALERT_ORDER
 
 
@@ -48,11 +49,14 @@ def df_missing(layer: str, name: str) -> DataFrame:
 
 
 def data_freshness(tables: list[tuple[str, DataFrame]], as_of: _dt.datetime = AS_OF) -> DataFrame:
-    """H-02: last processing time and whole hours since, per silver table."""
+    """H-02: last processing time, newest ingested row and whole hours from that row to ``as_of``, per silver table.
+
+    The age is that of the newest data, so a table whose processing ran on time over old data shows as old.
+    """
     parts = [
-        df.agg(F.max("_silver_processed_at").alias("last_processed")).select(
-            F.lit(name).alias("table_name"), "last_processed",
-            F.timestamp_diff("HOUR", F.col("last_processed"), as_of_ts(as_of)).alias("hours_since_refresh"))
+        df.agg(F.max("_silver_processed_at").alias("last_processed"), F.max("_ingested_at").alias("last_ingested")).select(
+            F.lit(name).alias("table_name"), "last_processed", "last_ingested",
+            F.timestamp_diff("HOUR", F.col("last_ingested"), as_of_ts(as_of)).alias("hours_since_refresh"))
         for name, df in tables
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -87,11 +91,14 @@ def sla_breach_report(tickets: DataFrame) -> DataFrame:
 
     The count is a partial/final aggregate; it is joined back to the breached
     rows, so a hot assignee (NULL holds a large share) never becomes one
-    collected list. AQE's skew-join split handles the hot join key.
+    collected list, and the join goes by assignee and salt, so it never becomes
+    one task either.
     """
     breached = tickets.where(F.col("is_breached")).select("assignee", "ticket_id")
-    counts = breached.groupBy(F.col("assignee").alias("_assignee")).agg(F.count(F.lit(1)).alias("breached_count"))
-    return breached.join(counts, F.col("assignee").eqNullSafe(F.col("_assignee"))).select(
+    counts = breached.groupBy("assignee").agg(F.count(F.lit(1)).alias("breached_count"))
+    # A NULL assignee is a group like any other: the join goes by an array, whose equality holds for a NULL element.
+    one = F.array("assignee").alias("_who")
+    return spread_join(breached.select("*", one), counts.select(one, "breached_count"), "_who", "ticket_id", "inner").select(
         "assignee", "breached_count", "ticket_id")
 
 

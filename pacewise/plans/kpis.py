@@ -1,8 +1,8 @@
 """Dashboard KPIs over the joined performance frame.
 
-The campaign dimension is joined after delivery has been reduced to the
-columns the KPIs need; optional filters (None = "All") sit above the join so
-Catalyst pushes them to the campaign side.
+Delivery is summed per campaign before it meets the campaign dimension, so a
+hot campaign is one row in the join; optional filters (None = "All") sit above
+the join so Catalyst pushes them to the campaign side.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ MONEY = "decimal(18,2)"
 
 def performance_frame(delivery: DataFrame, campaigns: DataFrame, segment: str | None = None,
                       brand: str | None = None, channel: str | None = None) -> DataFrame:
-    perf = delivery.select("campaign_id", "delivery_date", "impressions", "clicks", "spend_usd").join(
-        campaigns.select("campaign_id", "segment", "brand_code", "channel_mapped"), "campaign_id", "left")
+    per_campaign = delivery.groupBy("campaign_id").agg(
+        F.sum(F.col("impressions").cast("long")).alias("impressions"), F.sum(F.col("clicks").cast("long")).alias("clicks"),
+        F.sum(F.col("spend_usd").cast(MONEY)).alias("spend_usd"))
+    perf = per_campaign.join(campaigns.select("campaign_id", "segment", "brand_code", "channel_mapped"), "campaign_id", "left")
     if segment is not None:
         perf = perf.where(F.col("segment") == segment)
     if brand is not None:
@@ -29,7 +31,7 @@ def performance_frame(delivery: DataFrame, campaigns: DataFrame, segment: str |
 def dashboard_kpis(perf: DataFrame) -> DataFrame:
     """K-01: spend, impressions, clicks, CTR %, CPC, estimated conversions = int(clicks × 0.15); zero-safe."""
     g = perf.agg(
-        F.coalesce(F.sum(F.col("spend_usd").cast(MONEY)).cast("double"), F.lit(0.0)).alias("total_spend"),
+        F.coalesce(F.sum("spend_usd").cast("double"), F.lit(0.0)).alias("total_spend"),
         F.coalesce(F.sum(F.col("impressions").cast("long")), F.lit(0).cast("long")).alias("total_impressions"),
         F.coalesce(F.sum(F.col("clicks").cast("long")), F.lit(0).cast("long")).alias("total_clicks"),
     )
@@ -45,7 +47,7 @@ def dashboard_kpis(perf: DataFrame) -> DataFrame:
 def spend_by_segment(perf: DataFrame) -> DataFrame:
     """K-02: spend per segment (rows without a segment are dropped, as a pandas groupby does)."""
     return perf.where(F.col("segment").isNotNull()).groupBy("segment").agg(
-        F.sum(F.col("spend_usd").cast(MONEY)).cast("double").alias("spend_usd"))
+        F.sum("spend_usd").cast("double").alias("spend_usd"))
 
 
 def tickets_by_status(tickets: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def _land_delivery(spark: SparkSession, sf: str, name: str) -> tuple[str, T.Stru
 
 def _years(spark: SparkSession, landing: str) -> list[str]:
     return sorted(r.path for r in sinks.list_files(spark, landing).select(
-        F.regexp_extract("path", r"^(.*ship_year=\d+)/", 1).alias("path")).distinct().collect())
+        F.regexp_extract("path", r"^(.*ship_year=[^/]+)/", 1).alias("path")).distinct().collect())
 
 
 CAMPAIGN_SCHEMA = T.StructType([
@@ -89,11 +89,12 @@ def sink_overwrite_job(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sink_append_job(spark: SparkSession, sf: str) -> DataFrame:
-    """S-05: two appended batches (before / from 1998) hold every bronze delivery row once."""
+    """S-05: two appended batches (before 1998 / the rest, rows without a date included) hold every bronze row once."""
     path = scratch_path(spark, "bronze-delivery")
     d = b.delivery_bronze(spark, sf)
-    sinks.write_append(d.where(F.col("date") < F.lit("1998-01-01").cast("date")), path)
-    sinks.write_append(d.where(F.col("date") >= F.lit("1998-01-01").cast("date")), path)
+    early = F.coalesce(F.col("date") < F.lit("1998-01-01").cast("date"), F.lit(False))
+    sinks.write_append(d.where(early), path)
+    sinks.write_append(d.where(~early), path)
     return spark.read.parquet(path)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pacewise.config import AS_OF
+from pacewise.operators.dedup import latest_first
 
 
 def bronze_stamp(df: DataFrame, batch_id: str, as_of: _dt.datetime = AS_OF, file_name_only: bool = True) -> DataFrame:
@@ -97,7 +98,7 @@ def compact_cluster(df: DataFrame, path: str, key: str, files: int) -> None:
 
 def as_of_snapshot(history: DataFrame, key: str, at: Column, ts: str = "_ingested_at") -> DataFrame:
     """S-16: the table as it was at ``at``: rows ingested by then, latest version per key."""
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc())
+    w = Window.partitionBy(key).orderBy(*latest_first(history, ts))
     return (history.where(F.col(ts) <= at).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
             .drop("_rn"))
 
