@@ -44,6 +44,19 @@ def look_up(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(small) if few else small, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
+#: Rows of one Arrow batch that carries whole texts: some megabytes, several times which a Python worker holds.
+TEXT_BATCH = 1_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have at most TEXT_BATCH rows; a smaller setting is kept."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS, "0")) <= TEXT_BATCH:
+        conf.set(ARROW_ROWS, str(TEXT_BATCH))
+    return df
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
