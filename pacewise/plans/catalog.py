@@ -303,6 +303,7 @@ query("load_summary")(lambda spark, sf: kp.load_summary(campaigns(spark, sf), ti
 from pacewise.plans import maintenance as mt  # noqa: E402
 
 query("read_csv_by_name")(mt.read_csv_by_name_job)
+query("csv_header_report")(mt.csv_header_report_job)
 query("read_csv_inferred")(mt.read_csv_inferred_job)
 query("bronze_stamp")(mt.bronze_stamp_job)
 query("sink_overwrite")(mt.sink_overwrite_job)

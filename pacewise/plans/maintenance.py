@@ -67,6 +67,17 @@ def read_csv_by_name_job(spark: SparkSession, sf: str) -> DataFrame:
     return csvsrc.read_csv_by_name(spark, path, CAMPAIGN_SCHEMA)
 
 
+def csv_header_report_job(spark: SparkSession, sf: str) -> DataFrame:
+    """S-01: campaigns land with an extra column, without a landing page and with a budget that is no number for k % 50 = 0."""
+    path = scratch_path(spark, "campaigns-csv-odd")
+    bronze = b.campaigns_bronze(spark, sf)
+    number = F.regexp_extract("campaign_id", r"(\d+)$", 1).cast("long")
+    odd = bronze.drop("landing_page").withColumn("reviewed_by", F.lit("nobody")).withColumn(
+        "budget_usd", F.when(number % 50 == 0, F.lit("n/a")).otherwise(F.col("budget_usd").cast("string")))
+    csvsrc.write_csv(odd, path)
+    return csvsrc.csv_header_report(spark, path, CAMPAIGN_SCHEMA)
+
+
 def read_csv_inferred_job(spark: SparkSession, sf: str) -> DataFrame:
     """S-02: tickets land as CSV and are read with an inferred schema."""
     path = scratch_path(spark, "tickets-csv")
@@ -114,7 +125,7 @@ def bulk_load_once_job(spark: SparkSession, sf: str) -> DataFrame:
     target, manifest = scratch_path(spark, "delivery-bronze"), scratch_path(spark, "delivery-manifest")
     sinks.bulk_load_once(spark, landing, target, manifest, "delivery")
     sinks.bulk_load_once(spark, landing, target, manifest, "delivery")
-    return spark.read.parquet(target).drop("ship_year", "_load")
+    return sinks.loaded_rows(spark, target, manifest, "delivery").drop("ship_year")
 
 
 def ingest_manifest_job(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +133,7 @@ def ingest_manifest_job(spark: SparkSession, sf: str) -> DataFrame:
     landing, _ = _land_delivery(spark, sf, "delivery-landing")
     target, manifest = scratch_path(spark, "delivery-bronze"), scratch_path(spark, "delivery-manifest")
     sinks.bulk_load_once(spark, landing, target, manifest, "delivery")
-    m = spark.read.parquet(manifest)
+    m = sinks.ingest_manifest(spark, manifest)
     return m.groupBy("table_name", F.regexp_extract("file_path", r"(ship_year=\d+)", 1).alias("source_folder"),
                      "status").agg(F.sum("rows_loaded").alias("rows_loaded"))
 
@@ -166,9 +177,10 @@ def create_bronze_tables_job(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compact_cluster_job(spark: SparkSession, sf: str) -> DataFrame:
-    """S-15: bronze delivery rewritten as 4 files range-clustered on campaign_id; content unchanged."""
-    path = scratch_path(spark, "delivery-compacted")
-    sinks.compact_cluster(b.delivery_bronze(spark, sf), path, "campaign_id", 4)
+    """S-15: bronze delivery rewritten in files range-clustered on campaign, day and id; content unchanged."""
+    source, path = scratch_path(spark, "delivery-small-files"), scratch_path(spark, "delivery-compacted")
+    sinks.write_overwrite(b.delivery_bronze(spark, sf), source)
+    sinks.compact_cluster(spark, source, path, ["campaign_id", "date", "delivery_id"])
     return spark.read.parquet(path)
 
 

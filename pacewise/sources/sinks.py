@@ -3,8 +3,9 @@
 * snapshot overwrite, append, and date-partitioned writes with dynamic
   partition overwrite (only the partitions present in the batch are replaced);
 * lineage stamping with the file each row came from (``_metadata.file_path``);
-* an ingestion manifest (rows per source file) and an idempotent bulk load
-  that skips files already in the manifest (left-anti join on the path);
+* an ingestion manifest (state, rows and error per source file) and an
+  idempotent bulk load that skips files already in the manifest (left-anti
+  join on the path) and resumes batches that a dead load left pending;
 * compaction with range clustering on a key;
 * as-of reads and batch history over append-only bronze tables.
 
@@ -15,7 +16,10 @@ splits a hot partition value into several tasks instead of one writer task.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,48 +56,118 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataF
             .load(path).select("path", "length", "modificationTime"))
 
 
-def ingest_manifest(df_with_source: DataFrame, table: str, as_of: _dt.datetime = AS_OF,
-                    file_col: str = "_landed_file") -> DataFrame:
-    """S-14: one manifest row per source file: table, file, load time, rows, status."""
-    return df_with_source.groupBy(file_col).agg(F.count(F.lit(1)).alias("rows_loaded")).select(
-        F.lit(table).alias("table_name"), F.col(file_col).alias("file_path"),
-        F.lit(as_of).cast("timestamp").alias("loaded_at"), "rows_loaded",
-        F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
+MANIFEST = ("table_name string, batch string, file_path string, attempt int, status string, rows_loaded bigint, "
+            "loaded_at timestamp, error string")
+#: Files that one batch of a bulk load holds at most: its paths are what the driver hands to the reader.
+FILES_PER_BATCH = 10_000
 
 
-def bulk_load_once(spark: SparkSession, landing: str, target: str, manifest: str, table: str,
-                   as_of: _dt.datetime = AS_OF) -> int:
-    """S-08: append only the files not yet in the manifest, then record them. Returns files loaded.
+def read_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, or no rows where there is none yet; any other error is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def ingest_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """S-14: the state of every file of the manifest at ``path``: pending, success (with rows) or failed (with its error).
+
+    The manifest is only appended to. A file's state is that of its last
+    attempt; within an attempt an outcome replaces ``pending``.
+    """
+    rows = read_if_present(spark, path, MANIFEST)
+    last = F.max(F.struct("attempt", (F.col("status") != "pending").alias("done"), "status", "rows_loaded", "loaded_at", "error"))
+    states = rows.groupBy("table_name", "batch", "file_path").agg(last.alias("s"))
+    return states.select("table_name", "batch", "file_path", "s.attempt", "s.status", "s.rows_loaded", "s.loaded_at", "s.error")
+
 
-    The anti-join runs on file paths (one row per file). The new paths are
-    handed to the reader as a list — metadata sized by the number of files,
-    which is what any file source does at planning time.
+def bulk_load_once(spark: SparkSession, landing: str, target: str, manifest: str, table: str,
+                   as_of: _dt.datetime = AS_OF, retry_failed: bool = False, files_per_batch: int = FILES_PER_BATCH) -> int:
+    """S-08: append only files that no earlier load has taken, each exactly once. Returns the files loaded.
+
+    New files are taken in batches of at most ``files_per_batch``. A batch is
+    recorded as ``pending`` with its files BEFORE its data are written, into a
+    folder of its own, in overwrite mode; then its files are recorded as
+    ``success`` with their rows, or ``failed`` with the error. A load that
+    finds pending batches (an earlier one died) first writes those again, same
+    files and same folder, so files that landed meanwhile cannot change them.
+    Failed batches stay failed until ``retry_failed``.
     """
-    files = list_files(spark, landing)
+    loaded = 0
+    known = ingest_manifest(spark, manifest).where(F.col("table_name") == table)
+    again = ["pending", "failed"] if retry_failed else ["pending"]
+    open_batches = known.where(F.col("status").isin(again)).groupBy("batch").agg(F.max("attempt").alias("attempt")).collect()
+    for r in sorted(open_batches):
+        loaded += _load_batch(spark, known, r["batch"], r["attempt"] + 1, target, manifest, table, as_of)
+    while True:
+        known = ingest_manifest(spark, manifest).where(F.col("table_name") == table)
+        new = list_files(spark, landing).join(known, F.col("path") == F.col("file_path"), "left_anti")
+        paths = [r["path"] for r in new.select("path").orderBy("path").limit(files_per_batch).collect()]
+        if not paths:
+            return loaded
+        batch = hashlib.sha256("\n".join(paths).encode()).hexdigest()[:16]
+        rows = spark.createDataFrame([(p,) for p in paths], "file_path string")
+        _record(rows, manifest, table, batch, 1, "pending", as_of)
+        loaded += _load_batch(spark, rows, batch, 1, target, manifest, table, as_of)
+
+
+def _record(files: DataFrame, manifest: str, table: str, batch: str, attempt: int, status: str, as_of: _dt.datetime,
+            rows: Column | None = None, error: str | None = None) -> None:
+    """Append one manifest row for each of ``files`` (file_path)."""
+    write_append(files.select(
+        F.lit(table).alias("table_name"), F.lit(batch).alias("batch"), "file_path", F.lit(attempt).alias("attempt"), F.lit(status).alias("status"),
+        (rows if rows is not None else F.lit(None)).cast("long").alias("rows_loaded"), F.lit(as_of).cast("timestamp").alias("loaded_at"),
+        F.lit(error).cast("string").alias("error")), manifest)
+
+
+def _load_batch(spark: SparkSession, files: DataFrame, batch: str, attempt: int, target: str, manifest: str, table: str,
+                as_of: _dt.datetime) -> int:
+    if "batch" in files.columns:  # an earlier load's batch: its files as they were recorded
+        files = files.where(F.col("batch") == batch).select("file_path")
+    paths = [r["file_path"] for r in files.orderBy("file_path").collect()]  # at most a batch
+    if attempt > 1:
+        _record(spark.createDataFrame([(p,) for p in paths], "file_path string"), manifest, table, batch, attempt, "pending", as_of)
+    held = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    folder = f"{target}/_load={batch}"
     try:
-        done = spark.read.parquet(manifest).select("file_path")
-        new = files.join(done, files["path"] == done["file_path"], "left_anti")
-    except Exception:  # no manifest yet: every file is new
-        new = files
-    paths = sorted(r.path for r in new.select("path").collect())
-    if not paths:
+        data = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_landed_file"))
+        data.write.mode("overwrite").parquet(folder)
+        # Rows per file from the written copy's one column; the landed files are read once.
+        counts = spark.read.parquet(folder).groupBy("_landed_file").agg(F.count(F.lit(1)).alias("n"))
+        counted = held.join(counts, F.col("file_path") == F.col("_landed_file"), "left")
+        _record(counted, manifest, table, batch, attempt, "success", as_of, F.coalesce("n", F.lit(0)))
+    except (PySparkException, Py4JJavaError) as e:
+        _record(held, manifest, table, batch, attempt, "failed", as_of, error=str(e)[:2_000])
         return 0
-    # The load writes into a folder named by its file set, in overwrite mode: if the job dies after the data
-    # write but before the manifest write, the retry selects the same files and replaces that folder instead
-    # of appending the rows a second time.
-    import hashlib
-
-    load_id = hashlib.sha1("\n".join(paths).encode()).hexdigest()[:16]
-    batch = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_landed_file"))
-    batch.drop("_landed_file").write.mode("overwrite").parquet(f"{target}/_load={load_id}")
-    write_append(ingest_manifest(spark.read.parquet(*paths).select(
-        F.col("_metadata.file_path").alias("_landed_file")), table, as_of), manifest)
     return len(paths)
 
 
-def compact_cluster(df: DataFrame, path: str, key: str, files: int) -> None:
-    """S-15: rewrite into ``files`` range-partitioned files sorted by ``key`` (min/max stats then skip files)."""
-    df.repartitionByRange(files, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+def loaded_rows(spark: SparkSession, target: str, manifest: str, table: str) -> DataFrame:
+    """The rows of successful batches, without the load's own columns."""
+    good = ingest_manifest(spark, manifest).where((F.col("table_name") == table) & (F.col("status") == "success"))
+    batches = good.select("batch").distinct()
+    return (spark.read.parquet(target).withColumn("batch", F.col("_load").cast("string"))
+            .join(batches, "batch", "left_semi").drop("batch", "_load", "_landed_file"))
+
+
+#: Size that compaction aims at for a file.
+FILE_BYTES = 256 << 20
+
+
+def compact_cluster(spark: SparkSession, source: str, path: str, keys: list[str], file_bytes: int = FILE_BYTES) -> int:
+    """S-15: rewrite the Parquet table at ``source`` into range-partitioned files sorted by ``keys`` (min/max stats then skip files).
+
+    The number of files follows the table's bytes. ``keys`` should end with a
+    column that differs from row to row: a value of the first key that holds
+    much of the table then spans files and tasks. Returns the number of files asked for.
+    """
+    size = list_files(spark, source).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    files = max(1, -(-size // file_bytes))
+    spark.read.parquet(source).repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    return files
 
 
 def as_of_snapshot(history: DataFrame, key: str, at: Column, ts: str = "_ingested_at") -> DataFrame:

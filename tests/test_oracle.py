@@ -31,7 +31,7 @@ def test_inferred_csv_types(spark):
 
 # Jobs that write scratch tables before returning are type-checked through the tables they write
 # (bronze/silver), which the queries below already cover.
-WRITES = {"sink_partitioned", "create_bronze_tables", "daily_pipeline", "stream_delivery_refresh", "bulk_load_once",
+WRITES = {"csv_header_report", "sink_partitioned", "create_bronze_tables", "daily_pipeline", "stream_delivery_refresh", "bulk_load_once",
           "stream_ingest", "stream_ingest_incremental", "stream_ingest_csv", "ingest_manifest", "compact_cluster",
           "sink_append", "sink_overwrite", "read_csv_by_name", "read_csv_inferred", "schema_evolve", "qa_log_append",
           "hourly_refresh", "stream_conversion_dedup"}

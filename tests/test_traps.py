@@ -26,7 +26,9 @@ def test_csv_binds_by_header_name_not_position(spark):
     assert positional.product == "DET"  # the silent shift a positional schema produces
     by_name = csvsrc.read_csv_by_name(spark, d, schema).first()
     assert by_name.product == "Product" and by_name.budget_usd == 1000.5
-    assert csvsrc.csv_header_report(spark, d, schema) == {"missing": [], "extra": ["segment"]}
+    report = {r.column_name: (r.in_schema, r.in_file) for r in csvsrc.csv_header_report(spark, d, schema).collect()}
+    assert report == {"campaign_id": (True, True), "brand_code": (True, True), "product": (True, True),
+                      "budget_usd": (True, True), "segment": (False, True)}
 
 
 def test_null_rule_is_neither_pass_nor_fail(spark):
