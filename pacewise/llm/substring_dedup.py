@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import stage
+from pacewise.llm.common import small_batches, stage
 
 WINDOW = 13
 SEED = 3
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Super-k-mers that a bucket holds on average.
-BUCKET_ROWS = 150_000
+BUCKET_ROWS = 80_000
 #: A minimiser leaves its bucket beyond this many super-k-mers, or beyond this share of all: the list of such
 #: minimisers that tasks get never exceeds HEAVY_LIST entries of 8 bytes.
 HEAVY_ROWS = 20_000
@@ -114,7 +114,7 @@ def super_kmers(texts: pa.Array, window: int = WINDOW, seed: int = SEED) -> Slic
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Slice]]:
     """(doc_ids, slice) of (doc_id, text) batches, some megabytes of text at a time."""
     for batch in batches:
-        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        texts = batch.column(1).cast(pa.large_string())
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
@@ -147,11 +147,31 @@ def minimiser_load(docs: DataFrame) -> tuple[int, np.ndarray]:
     return total, np.sort(np.asarray(heavy, dtype=np.int64).view(np.uint64))
 
 
+def pack_block(doc: np.ndarray, start: np.ndarray, strings: list[memoryview]) -> tuple[int, bytes]:
+    """Some super-k-mers as (size, compressed bytes): doc_ids, first words, string sizes, strings."""
+    sizes = np.fromiter(map(len, strings), dtype="<i4", count=len(strings))
+    raw = b"".join((doc.astype("<i8").tobytes(), start.astype("<i4").tobytes(), sizes.tobytes(), *strings))
+    return len(raw), pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def open_blocks(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(doc_ids, first words, packed strings) of a bucket's blocks (n, size, block)."""
+    codec, parts = pa.Codec("zstd"), ([], [], [], [])
+    for n, size, block in zip(*(blocks[c].to_pylist() for c in ("n", "size", "block")), strict=True):
+        raw = codec.decompress(block, size, asbytes=True)
+        for part, kind, at in zip(parts, ("<i8", "<i4", "<i4"), (0, 8 * n, 12 * n), strict=False):
+            part.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
+        parts[3].append(memoryview(raw)[16 * n:])
+    doc, start, sizes = map(np.concatenate, parts[:3])
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    packed = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(b"".join(parts[3])))
+    return doc, start.astype(np.int64), packed
+
+
 def packed_blocks(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, block): the super-k-mers of each slice of documents, one compressed Arrow block per bucket."""
+    """(bucket, n, size, block): the super-k-mers of each slice of documents, one compressed block per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for ids, s in slices(batches):
             light = np.flatnonzero(~np.isin(s.mini, heavy))
             to = (mix64(s.mini[light] + MIX[0]) % np.uint64(buckets)).astype(np.int64)
@@ -159,18 +179,15 @@ def packed_blocks(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame
             to = np.sort(to)
             text, offset = s.packed()
             begin, end = s.begin[light], s.end[light]
-            strings = pa.array([text[a:b] for a, b in zip(offset[begin].tolist(), (offset[end] - 1).tolist(), strict=True)], pa.binary())
-            rows = pa.RecordBatch.from_arrays([pa.array(ids[s.doc[begin]]), pa.array(s.at[begin].astype(np.int64)), strings],
-                                              names=["doc_id", "start", "packed"])
+            doc, start = ids[s.doc[begin]], s.at[begin]
+            strings = [text[a:b] for a, b in zip(offset[begin].tolist(), (offset[end] - 1).tolist(), strict=True)]
             cuts = np.flatnonzero(np.diff(to, prepend=-1, append=-2))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
-                    out.write_batch(rows.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array([to[a]]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                                                 names=["bucket", "block"])
+            blocks = [pack_block(doc[a:b], start[a:b], strings[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to[cuts[:-1]], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array([x[0] for x in blocks], pa.int64()),
+                 pa.array([x[1] for x in blocks], pa.binary())], names=["bucket", "n", "size", "block"])
 
-    return docs.mapInArrow(run, "bucket bigint, block binary")
+    return docs.mapInArrow(run, "bucket bigint, n bigint, size bigint, block binary")
 
 
 def repeated_ranges(doc: np.ndarray, start: np.ndarray, packed: pa.Array, window: int = WINDOW) -> pa.Table:
@@ -185,7 +202,7 @@ def repeated_ranges(doc: np.ndarray, start: np.ndarray, packed: pa.Array, window
     hashed, word = np.zeros(len(owner), dtype=np.uint64), mix64(code.astype(np.uint64) + MIX[0])
     for j in range(window):
         hashed = hashed * MIX[1] + word[first + j]
-    order = np.lexsort((doc[owner], mix64(hashed)))
+    order = np.lexsort((doc[owner], hashed))
     same = np.concatenate([[False], hashed[order][1:] == hashed[order][:-1]]) if len(order) else np.zeros(0, dtype=bool)
     pairs = np.flatnonzero(same)
     left, right = first[order[pairs - 1]], first[order[pairs]]
@@ -204,10 +221,8 @@ def repeated_ranges(doc: np.ndarray, start: np.ndarray, packed: pa.Array, window
 
 
 def light_ranges(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    def bucket(table: pa.Table) -> pa.Table:
-        rows = pa.concat_tables([pa.ipc.open_stream(b.as_py()).read_all() for b in table["block"]]).combine_chunks()
-        packed = rows["packed"].combine_chunks().cast(pa.large_binary()).cast(pa.large_string())
-        return repeated_ranges(rows["doc_id"].to_numpy(), rows["start"].to_numpy(), packed)
+    def bucket(blocks: pa.Table) -> pa.Table:
+        return repeated_ranges(*open_blocks(blocks))
 
     return packed_blocks(docs, heavy, buckets).groupBy("bucket").applyInArrow(bucket, RANGES)
 
@@ -235,7 +250,7 @@ def heavy_ranges(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
 
 def repeated_word_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop): all word ranges of ``docs`` (doc_id, text) to remove; they may overlap."""
-    named = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    named = small_batches(docs).select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     total, heavy = minimiser_load(named)
     found = light_ranges(named, heavy, 1 + total // BUCKET_ROWS)
     return found.unionByName(heavy_ranges(named, heavy)) if len(heavy) else found
