@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
             df.show(args.show or 20, truncate=False)
         return 0
 
-    from pacewise.plans import pipeline
+    from pacewise.plans import maintenance, pipeline
 
     if not args.out:
         print("--out is required", file=sys.stderr)
@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
         tables = args.tables.split(",") if args.tables else None
         pipeline.layer_counts(pipeline.run_daily(spark, args.sf, args.out, tables)).show(truncate=False)
     else:
-        print(pipeline.run_hourly(spark, args.sf, args.out).count(), "campaign rows refreshed")
+        print(maintenance.hourly_refresh_job(spark, args.sf, args.out).count(), "campaign rows refreshed")
     return 0
 
 

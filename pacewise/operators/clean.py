@@ -79,7 +79,9 @@ def delivery_order():
     return [F.col("_ingested_at").desc(), F.col("_src_partkey").asc(), F.col("_src_suppkey").asc()]
 
 
-def silver_delivery(bronze: DataFrame, as_of: _dt.datetime = AS_OF, clamped: bool = False) -> DataFrame:
+def silver_delivery(bronze: DataFrame, as_of: _dt.datetime = AS_OF, clamped: bool = False,
+                    keep_order: bool = False) -> DataFrame:
+    """``keep_order`` also keeps the columns that order a key's versions, for tables that are merged into."""
     order = delivery_order() if "_src_partkey" in bronze.columns else None
     d = dedup_latest(bronze.where(F.col("delivery_id").isNotNull() & F.col("campaign_id").isNotNull()),
                      "delivery_id", order)
@@ -109,6 +111,7 @@ def silver_delivery(bronze: DataFrame, as_of: _dt.datetime = AS_OF, clamped: boo
         "_ingested_at",
         "_source_file",
         as_of_ts(as_of).alias("_silver_processed_at"),
+        *(["_src_partkey", "_src_suppkey"] if keep_order else []),
     )
 
 

@@ -361,9 +361,7 @@ def _daily_pipeline(spark, sf):
     return pl.layer_counts(pl.run_daily(spark, sf, scratch_path(spark, "daily-run")))
 
 
-@query("hourly_refresh")
-def _hourly_refresh(spark, sf):
-    return pl.run_hourly(spark, sf, scratch_path(spark, "hourly-run"))
+query("hourly_refresh")(mt.hourly_refresh_job)
 
 
 def materialize_silver(spark, sf, tables=("campaigns", "delivery", "tickets", "qa_checks")) -> str:

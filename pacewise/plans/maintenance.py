@@ -242,7 +242,7 @@ def stream_ingest_incremental_job(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_delivery_refresh_job(spark: SparkSession, sf: str) -> DataFrame:
-    """X-03: hourly refresh — stream into bronze, silver for touched buckets, then campaign pacing."""
+    """X-03: hourly refresh — stream into bronze, silver for the touched days, then campaign pacing."""
     from pacewise.plans import gold
 
     src, schema = _land_delivery(spark, sf, "refresh-source")
@@ -255,10 +255,19 @@ def stream_delivery_refresh_job(spark: SparkSession, sf: str) -> DataFrame:
         for y in chunk:
             spark.read.parquet(y).write.mode("append").parquet(f"{landing}/{y.rsplit('/', 1)[1]}")
         ingest.refresh_delivery(spark, landing, schema, bronze, silver, ckpt)
-    s = spark.read.parquet(silver).drop("_bucket")
+    s = ingest.read_delivery(spark, silver)
     return gold.campaign_performance(clean.silver_campaigns(b.campaigns_bronze(spark, sf), AS_OF), s, AS_OF)
 
 
+def hourly_refresh_job(spark: SparkSession, sf: str, out: str | None = None) -> DataFrame:
+    """L-02: the table-scoped hourly run over the delivery files landed so far."""
+    from pacewise.plans import pipeline
+
+    landing, schema = _land_delivery(spark, sf, "hourly-landing")
+    campaigns = clean.silver_campaigns(b.campaigns_bronze(spark, sf), AS_OF)
+    return pipeline.run_hourly(spark, landing, schema.add("ship_year", T.IntegerType()), campaigns, out or scratch_path(spark, "hourly-run"))
+
+
 def stream_conversion_dedup_job(spark: SparkSession, sf: str) -> DataFrame:
     """X-04: event-id dedup in a stream with a 10-minute watermark (copies arrive 2 minutes apart)."""
     landing = scratch_path(spark, "events-landing")

@@ -15,12 +15,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pacewise.config import AS_OF
 from pacewise.functions.rules import QUALITY_SUITE, rules_for
 from pacewise.operators import clean, quality
 from pacewise.plans import gold
 from pacewise.sources import bindings as b
+from pacewise.streaming import ingest
 
 BRONZE = {"campaigns": b.campaigns_bronze, "delivery": b.delivery_bronze, "tickets": b.tickets_bronze,
           "qa_checks": b.qa_checks_bronze}
@@ -60,12 +62,17 @@ def run_daily(spark: SparkSession, sf_dir: str, out_dir: str, tables: list[str]
     return out
 
 
-def run_hourly(spark: SparkSession, sf_dir: str, out_dir: str, as_of: _dt.datetime = AS_OF) -> DataFrame:
-    """L-02: the table-scoped hourly run — delivery bronze → silver delivery → campaign pacing only."""
-    bronze = _write(b.delivery_bronze(spark, sf_dir), f"{out_dir}/bronze/delivery")
-    silver = _write(clean.silver_delivery(bronze, as_of), f"{out_dir}/silver/delivery")
-    campaigns = clean.silver_campaigns(b.campaigns_bronze(spark, sf_dir), as_of)
-    return _write(gold.campaign_performance(campaigns, silver, as_of), f"{out_dir}/gold/campaign_performance")
+def run_hourly(spark: SparkSession, landing: str, schema: StructType, campaigns: DataFrame, out_dir: str,
+               as_of: _dt.datetime = AS_OF) -> DataFrame:
+    """L-02: the table-scoped hourly run — newly landed delivery files → touched days of silver → campaign pacing.
+
+    Bronze, silver and the stream's checkpoint live below ``out_dir``, so a run
+    handles only the files that landed since the last one.
+    """
+    silver = f"{out_dir}/silver/delivery"
+    ingest.refresh_delivery(spark, landing, schema, f"{out_dir}/bronze/delivery", silver, f"{out_dir}/checkpoint", as_of)
+    performance = gold.campaign_performance(campaigns, ingest.read_delivery(spark, silver), as_of)
+    return _write(performance, f"{out_dir}/gold/campaign_performance")
 
 
 def layer_counts(tables: dict[str, DataFrame]) -> DataFrame:

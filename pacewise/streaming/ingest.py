@@ -4,10 +4,8 @@
   processed once (the checkpoint remembers it), ``availableNow`` processes
   what is there and stops; a rerun on the same checkpoint sees only new files.
 * ``refresh_delivery``: the hourly job. Each micro-batch is appended to
-  bronze, then silver is recomputed only for the key buckets the batch
-  touched (bucket = hash(delivery_id) mod N) and written with dynamic
-  partition overwrite, so a changed row can never survive in a stale
-  partition. Work per batch is proportional to the touched buckets.
+  bronze and merged into silver by day: only the batch's days and the days
+  where its keys lived are read and rewritten, by dynamic partition overwrite.
 * ``dedup_events``: event-id dedup with a watermark, so dedup state is
   bounded by the watermark delay instead of growing forever.
 """
@@ -21,7 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacewise.config import AS_OF
-from pacewise.operators.clean import silver_delivery
+from pacewise.operators.clean import delivery_order, silver_delivery
+from pacewise.operators.dedup import dedup_latest
+from pacewise.session import written_once
+from pacewise.sources.sinks import read_if_present, write_partitioned
 
 
 def stream_files(spark: SparkSession, landing: str, schema: T.StructType, sink: str, checkpoint: str,
@@ -42,24 +43,51 @@ def stream_files(spark: SparkSession, landing: str, schema: T.StructType, sink:
     q.awaitTermination()
 
 
-def bucket_of(key: str, buckets: int):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+ORDER_COLUMNS = ["_src_partkey", "_src_suppkey"]
+
+
+def merge_delivery(spark: SparkSession, batch: DataFrame, silver: str, as_of: _dt.datetime = AS_OF) -> list:
+    """Merge raw delivery rows into the silver table at ``silver``, partitioned by day; returns the days rewritten.
+
+    Touched are the batch's days and the days on which its keys live so far
+    (found by reading two columns). Their rows and the batch's are reduced to
+    the newest version per key and replace those days only; a day that loses
+    its last row to another is removed. The merged rows are written aside
+    first, because they are read from the days that they replace, and a merge
+    that died is simply run again: a key that is on two days is on touched days.
+    """
+    new = written_once(silver_delivery(batch, as_of, keep_order=True), "silver-batch")
+    old = read_if_present(spark, silver, new.schema.simpleString()[7:-1].replace(":", " "))
+    held = old.select("delivery_id", "delivery_date").join(new.select("delivery_id"), "delivery_id", "left_semi")
+    days = [r[0] for r in held.select("delivery_date").union(new.select("delivery_date")).distinct().collect()]  # the calendar bounds them
+    known = [d for d in days if d is not None]
+    touched = F.col("delivery_date").isin(known)
+    if None in days:
+        touched = touched | F.col("delivery_date").isNull()
+    rows = old.where(touched).select(*new.columns).unionByName(new)
+    merged = written_once(dedup_latest(rows, "delivery_id", delivery_order()), "silver-merged")
+    write_partitioned(merged, silver, "delivery_date")
+    filled = {r[0] for r in merged.select("delivery_date").distinct().collect()}
+    for day in set(days) - filled:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{silver}/delivery_date={day or '__HIVE_DEFAULT_PARTITION__'}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return days
+
+
+def read_delivery(spark: SparkSession, silver: str) -> DataFrame:
+    """The silver delivery table that ``merge_delivery`` keeps, without the columns that only order versions."""
+    return spark.read.parquet(silver).drop(*ORDER_COLUMNS)
 
 
 def refresh_delivery(spark: SparkSession, landing: str, schema: T.StructType, bronze: str, silver: str,
-                     checkpoint: str, buckets: int = 64, as_of: _dt.datetime = AS_OF) -> None:
-    """Hourly refresh: landed delivery files → bronze (append) → silver for touched buckets (overwrite)."""
+                     checkpoint: str, as_of: _dt.datetime = AS_OF) -> None:
+    """Hourly refresh: newly landed delivery files → bronze (append) → silver for the touched days (overwrite)."""
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.withColumn("_bucket", bucket_of("delivery_id", buckets))
         # One folder per epoch, overwritten: a replayed epoch rewrites the same rows instead of appending twice.
-        b.write.mode("overwrite").partitionBy("_bucket").parquet(f"{bronze}/_epoch={epoch_id}")
-        # At most ``buckets`` small ints: the filter below prunes bronze to the touched partitions.
-        touched = [r[0] for r in b.select("_bucket").distinct().collect()]
-        affected = spark.read.parquet(bronze).where(F.col("_bucket").isin(touched))
-        s = silver_delivery(affected.drop("_bucket", "_epoch"), as_of).withColumn("_bucket", bucket_of("delivery_id", buckets))
-        (s.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket")
-         .parquet(silver))
+        folder = f"{bronze}/_epoch={epoch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        merge_delivery(spark, spark.read.schema(batch.schema).parquet(folder), silver, as_of)
 
     q = (spark.readStream.format("parquet").schema(schema).load(landing).writeStream
          .foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
