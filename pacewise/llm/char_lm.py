@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import small_batches, stage
+from pacewise.llm.common import stage, text_session
 
 ORDER = 4
 #: N-grams and contexts that tasks may hold as arrays (16 bytes each); a larger model is joined instead.
@@ -111,7 +111,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     if order > 4:
         raise ValueError("keys hold at most four letters")
-    found = small_batches(docs).select("text", language().alias("lang")).mapInArrow(run, "lang string, gram string, c bigint")
+    found = text_session(docs).select("text", language().alias("lang")).mapInArrow(run, "lang string, gram string, c bigint")
     return found.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
@@ -239,7 +239,7 @@ def joined_scores(docs: DataFrame, probabilities: DataFrame, order: int = ORDER)
                                                   pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
                                                  names=["rid", "lang", "gram", "times"])
 
-    grams = small_batches(docs).select("rid", "text", language().alias("lang")).mapInArrow(run, "rid bigint, lang string, gram string, times bigint")
+    grams = text_session(docs).select("rid", "text", language().alias("lang")).mapInArrow(run, "rid bigint, lang string, gram string, times bigint")
     whole = probabilities.where(F.length("gram") == order)
     return (grams.join(whole, ["lang", "gram"]).groupBy("rid")
             .agg((-F.sum(F.col("times") * F.col("logp")) / F.sum("times")).alias("log_perplexity")))

@@ -47,13 +47,21 @@ def look_up(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
 #: Rows of one Arrow batch that carries whole texts: some megabytes, several times which a Python worker holds.
 TEXT_BATCH = 1_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches have at most TEXT_BATCH rows; a smaller setting is kept."""
+def text_session(df: DataFrame) -> DataFrame:
+    """``df``, in a session set up for operators that move whole texts in several written steps.
+
+    Arrow batches have at most TEXT_BATCH rows (a smaller setting is kept), and
+    the shuffle files of a step go when its table is written, so that disks hold
+    one step's shuffles at a time; a setting of the user's is kept.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(ARROW_ROWS, "0")) <= TEXT_BATCH:
         conf.set(ARROW_ROWS, str(TEXT_BATCH))
+    if conf.get(DROP_SHUFFLES, None) is None:
+        conf.set(DROP_SHUFFLES, "true")
     return df
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import small_batches, stage
+from pacewise.llm.common import stage, text_session
 from pacewise.llm.sharding import gapless_slots
 from pacewise.llm.word_ids import text_ids
 
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return text_session(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

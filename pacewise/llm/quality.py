@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pacewise.llm import char_lm
-from pacewise.llm.common import keep_rows, look_up, small_batches, stage, whole_row
+from pacewise.llm.common import keep_rows, look_up, stage, text_session, whole_row
 from pacewise.llm.substring_dedup import split_words
 
 MIN_WORDS = 50
@@ -129,7 +129,7 @@ def language_models(docs: DataFrame) -> tuple[dict[str, char_lm.LanguageModel] |
 
 def score_documents(docs: DataFrame) -> tuple[DataFrame, dict | None, DataFrame | None]:
     """doc_id, lang, the statistics, base_failed and log_perplexity per row; the models or the joined scores."""
-    models, table = language_models(small_batches(docs))
+    models, table = language_models(text_session(docs))
     rows = docs.select("doc_id", char_lm.language().alias("lang"), "text", F.monotonically_increasing_id().alias("rid"))
     scored = rows.select("doc_id", "lang", "rid", scorer(models)("text", "lang").alias("s"))
     scored = scored.select("doc_id", "lang", "rid", "s.*", base_failed().alias("base_failed"))

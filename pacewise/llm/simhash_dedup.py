@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import keep_rows, small_batches, stage
+from pacewise.llm.common import keep_rows, stage, text_session
 from pacewise.llm.components import components
 
 BITS = 64
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fps = [simhash(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc_id", "rid", "fp"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("rid"), "text")
+    rows = text_session(docs).select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("rid"), "text")
     return rows.mapInArrow(run, "doc_id bigint, rid bigint, fp bigint")
 
 

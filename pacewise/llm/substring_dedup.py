@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import small_batches, stage
+from pacewise.llm.common import stage, text_session
 
 WINDOW = 13
 SEED = 3
@@ -250,7 +250,7 @@ def heavy_ranges(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
 
 def repeated_word_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop): all word ranges of ``docs`` (doc_id, text) to remove; they may overlap."""
-    named = small_batches(docs).select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    named = text_session(docs).select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     total, heavy = minimiser_load(named)
     found = light_ranges(named, heavy, 1 + total // BUCKET_ROWS)
     return found.unionByName(heavy_ranges(named, heavy)) if len(heavy) else found

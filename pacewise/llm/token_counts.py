@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import small_batches
+from pacewise.llm.common import text_session
 
 #: Pre-tokens per leaf of a new tree; a leaf that edits fill to more than twice that makes the tree anew.
 LEAF = 64
@@ -167,7 +167,7 @@ def build_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("chars", "tokens")]
     udf = F.arrow_udf(trees, f"struct<{TREE.replace(' array', ':array')}>")
-    return small_batches(docs).select(*others, udf("text").alias("_tree")).select(*others, "_tree.chars", "_tree.tokens")
+    return text_session(docs).select(*others, udf("text").alias("_tree")).select(*others, "_tree.chars", "_tree.tokens")
 
 
 def state_batch(doc_ids: pa.Array, texts: list[str], trees: list[TokenTree], **more: list[int]) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacewise.llm import char_lm
-from pacewise.llm.common import small_batches, stage
+from pacewise.llm.common import stage, text_session
 from pacewise.llm.substring_dedup import split_words
 
 #: Labelled rows that the classifier is fitted on, at most, per class (toxic, clean); taken by hash of the doc_id.
@@ -144,7 +144,7 @@ class Restorer:
 
 def restorer(docs: DataFrame) -> Callable[[], Restorer]:
     """Counts the decoder's trigram model over all of ``docs`` (text); makes a Restorer where it is called."""
-    pooled = small_batches(docs).select(F.lower("text").alias("text"), F.lit("").alias("lang"))
+    pooled = text_session(docs).select(F.lower("text").alias("text"), F.lit("").alias("lang"))
     probabilities, backoffs = char_lm.kneser_ney(char_lm.count_grams(pooled, ORDER), ORDER)
     logp = {r["gram"]: r["logp"] for r in probabilities.where(F.col("gram").rlike(ALPHABET)).collect()}
     backoff = {r["context"]: r["backoff"] for r in backoffs.where(F.col("context").rlike(ALPHABET)).collect()}
