@@ -34,6 +34,9 @@ HEADLINE = [
     "load_summary",
 ]
 
+# Queries that write silver tables while they are built: each timed run builds them anew.
+WRITES_FIRST = {"alert_messages"}
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -42,7 +45,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
 
     from pacewise.plans.catalog import QUERIES
-    from pacewise.session import get_session
+    from pacewise.session import drop_scratch, get_session
 
     spark = get_session(f"local[{cpus}]", app="pacewise-bench", shuffle_partitions=int(cpus))
     # The test tables are single-row-group files: spread them after the scan (see pacewise.sources.tables).
@@ -62,9 +65,12 @@ def main() -> None:
         for _ in range(repeat):
             # Each run re-executes the whole plan from the Parquet files (nothing is cached).
             t0 = time.perf_counter()
+            if name in WRITES_FIRST:
+                df = QUERIES[name](spark, sf_dir)
             df.write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - t0)
         timings[name] = round(statistics.median(runs), 3)
+    drop_scratch(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "headline_query_seconds_total",

@@ -9,10 +9,13 @@ campaign key and a salt, because both sides grow with the data and a campaign
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacewise.operators.skew import spread_join
+from pacewise.sources.bindings import CHANNELS
 from pacewise.sources.tables import scan
 
 
@@ -45,3 +48,37 @@ def orphan_keys(campaigns: DataFrame, delivery: DataFrame, tickets: DataFrame, m
         F.lit("tickets").alias("entity"), F.lit("campaign_id").alias("key_name"), F.col("campaign_id").alias("key_value"),
         F.col("ticket_id").alias("row_key"))
     return geo.unionByName(d).unionByName(t)
+
+
+# Reference data of fixed size: channels, titles and users of the bindings (FIXTURES.md §2).
+def channels_dim(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in CHANNELS], "channel string")
+
+
+def titles_dim(spark: SparkSession, titles: int = 40) -> DataFrame:
+    return spark.range(titles).select(F.concat(F.lit("TTL-"), F.col("id").cast("string")).alias("title_id"))
+
+
+def users_dim(spark: SparkSession, users: int = 12) -> DataFrame:
+    return spark.range(2, users + 1).select(F.concat(F.lit("user_"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("user"))
+
+
+def brands_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, sf_dir, "customer", "c_mktsegment").select(F.upper(F.substring("c_mktsegment", 1, 3)).alias("brand_code")).distinct()
+
+
+def link_report(links: list[tuple[str, str, DataFrame, DataFrame]]) -> DataFrame:
+    """(entity, link, total_rows, linked_rows, orphan_rows) for links given as (entity, key, rows, one-column dimension).
+
+    Rows are counted per key before the join, so a key that many rows share is
+    one row in it. A NULL key is an orphan.
+    """
+    parts = []
+    for entity, key, rows, dim in links:
+        per_key = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+        known = dim.select(F.col(dim.columns[0]).alias("_key"), F.lit(True).alias("_known"))
+        sums = per_key.join(known, "_key", "left").agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum(F.when(F.col("_known"), F.col("n"))), F.lit(0)).alias("linked_rows"))
+        parts.append(sums.select(F.lit(entity).alias("entity"), F.lit(key).alias("link"), "total_rows", "linked_rows",
+                                 (F.col("total_rows") - F.col("linked_rows")).alias("orphan_rows")))
+    return reduce(DataFrame.unionByName, parts)

@@ -66,6 +66,15 @@ def conversion_bodies(payloads: DataFrame) -> DataFrame:
         F.when(F.col("route") == "meta", meta).otherwise(tiktok).alias("body"))
 
 
+def body_fields(bodies: DataFrame) -> DataFrame:
+    """The scalar fields of request bodies (``conversion_bodies``), read back from their text under either shape."""
+    field = lambda *names: F.coalesce(*[F.get_json_object("body", f"$.{n}") for n in names])
+    return bodies.select("publisher", "event_id", "source_channel", "route", field("event_name", "event").alias("body_event"),
+                         field("user_data.em[0]", "user.email").alias("body_email_hash"),
+                         field("user_data.client_ip_address", "context.ip").alias("body_ip"),
+                         field("custom_data.value", "properties.value").cast("double").alias("body_value"))
+
+
 def conversion_dedup(events: DataFrame) -> DataFrame:
     """E-03: one event per (publisher, event_id) — the earliest copy (browser before server on ties).
 

@@ -45,6 +45,9 @@ DEFAULT_LANDING_PAGE = "https://www.example.com"
 NATIVE_DEFAULTS = {"main_image": "1200x627_default.jpg", "logo": "logo_200x200.jpg", "headline": "Original",
                    "body": "Stream now.", "call_to_action": "Sign Up Now", "caption_url": "example.com"}
 QA_ISSUES = ["Fail", "Needs Review"]
+# What stands in for a campaign that the ticket's id does not resolve to.
+ABSENT_CAMPAIGN = {"campaign_name": "Demo Campaign", "targeting_geo": "US", "budget_usd": 1000.0}
+COUNTING_METHOD = "STANDARD"
 
 
 # -- routing / SLA -------------------------------------------------------------------
@@ -160,21 +163,25 @@ _CAMPAIGN_COLS = ["campaign_name", "targeting_geo", "language", "brand_code", "t
                   "channel_mapped", "start_date", "budget_usd", "audience_detailed", "landing_page"]
 
 
-def native_components() -> Column:
-    """Native-ad components: fixed defaults, with the campaign's title as the headline when present."""
+def native_components(supplied: list[str] | None = None) -> Column:
+    """Native-ad components: the ticket's own (columns ``_own_<name>`` for the names in ``supplied``), else fixed
+    defaults, with the campaign's title as the headline when present."""
     parts = {k: F.lit(v) for k, v in NATIVE_DEFAULTS.items()}
     parts["headline"] = F.coalesce(F.col("title_name"), F.lit(NATIVE_DEFAULTS["headline"]))
+    for k in supplied or ():
+        parts[k] = F.coalesce(F.col(f"_own_{k}"), parts[k])
     return F.struct(*[c.alias(k) for k, c in parts.items()])
 
 
 def _payload(platform: Column, action: str, **fields) -> Column:
     cols = {"placement_name": None, "site": None, "budget": None, "targeting": None, "geo": None,
-            "name": None, "start_date": None, "new_assets": None, "native_components": None, "conversion_type": None}
+            "name": None, "start_date": None, "new_assets": None, "native_components": None, "conversion_type": None,
+            "counting_method": None}
     cols.update(fields)
     typed = {"placement_name": "string", "site": "string", "budget": "double", "targeting": "string",
              "geo": "string", "name": "string", "start_date": "date", "new_assets": "array<string>",
              "native_components": ", ".join(f"{k}: string" for k in NATIVE_DEFAULTS).join(("struct<", ">")),
-             "conversion_type": "string"}
+             "conversion_type": "string", "counting_method": "string"}
     parts = [platform.alias("platform"), F.lit(action).alias("action")]
     for k, t in typed.items():
         v = cols[k]
@@ -187,34 +194,41 @@ def with_payloads(tickets: DataFrame, campaigns: DataFrame) -> DataFrame:
 
     Every campaign column is passed through; a missing or NULL part of the
     placement name falls back to the ticket's value where it has one, then to
-    a fixed default.
+    a fixed default. A campaign id that resolves to no campaign gets the
+    values of ABSENT_CAMPAIGN, and a missing budget is 0. Native components
+    that the tickets carry as columns win over the defaults.
     """
+    supplied = [k for k in NATIVE_DEFAULTS if k in tickets.columns]
     t = tickets.select("ticket_id", "campaign_id", "request_type", "platform", "stage", "assignee",
-                       F.col("targeting_geo").alias("ticket_geo"), F.col("brand").alias("ticket_brand"))
-    t = spread_join(t, campaigns.select("campaign_id", *_CAMPAIGN_COLS), "campaign_id", "ticket_id")
+                       F.col("targeting_geo").alias("ticket_geo"), F.col("brand").alias("ticket_brand"),
+                       *[F.col(k).alias(f"_own_{k}") for k in supplied])
+    known = campaigns.select("campaign_id", *_CAMPAIGN_COLS, F.lit(True).alias("_known"))
+    t = spread_join(t, known, "campaign_id", "ticket_id")
+    t = t.withColumns({c: F.when(F.col("_known"), F.col(c)).otherwise(F.lit(v)) for c, v in ABSENT_CAMPAIGN.items()}).drop("_known")
     rt = F.coalesce(F.col("request_type"), F.lit(""))
     plat = F.coalesce(F.col("platform"), F.lit(DEFAULT_TICKET_PLATFORM))
     channel = F.coalesce(F.col("channel_mapped"), F.lit(TAXONOMY_DEFAULTS["channel_mapped"]))
     name = placement_name(F.col("ticket_geo"), F.col("ticket_brand"))
-    cm = F.lit("CM360")
+    cm, budget = F.lit("CM360"), F.coalesce(F.col("budget_usd"), F.lit(0.0))
     shell = _payload(cm, "CREATE_CAMPAIGN_SHELL", name=F.col("campaign_name"), start_date=F.col("start_date"))
-    io = _payload(plat, "CREATE_INSERTION_ORDER", budget=F.col("budget_usd"), targeting=F.col("audience_detailed"))
+    io = _payload(plat, "CREATE_INSERTION_ORDER", budget=budget, targeting=F.col("audience_detailed"))
     is_new = rt.contains("New Campaign") | rt.contains("New Placements")
     native = channel.isin(*NATIVE_CHANNELS)
     payloads = (
         F.when(is_new & native, F.array(
             shell, _payload(cm, "CREATE_NATIVE_PLACEMENT", placement_name=name, site=plat,
-                            native_components=native_components()), io))
+                            native_components=native_components(supplied)), io))
         .when(is_new, F.array(shell, _payload(cm, "CREATE_PLACEMENT", placement_name=name, site=plat), io))
         .when(rt.contains("Creative Rotation") | rt.contains("Retrafficking"), F.array(
             _payload(cm, "ROTATE_CREATIVES", placement_name=name,
                      new_assets=F.array(*[F.lit(a) for a in ROTATION_ASSETS]))))
-        .when(rt == "Budget Change", F.array(_payload(plat, "UPDATE_BUDGET", budget=F.col("budget_usd"))))
+        .when(rt == "Budget Change", F.array(_payload(plat, "UPDATE_BUDGET", budget=budget)))
         .when(rt == "New Line Item", F.array(_payload(plat, "CREATE_LINE_ITEM", targeting=F.col("audience_detailed"))))
         .when(rt == "Targeting Update", F.array(_payload(plat, "UPDATE_TARGETING", targeting=F.col("audience_detailed"),
                                                          geo=F.col("targeting_geo"))))
         .when((rt == "Site Tagging") | (rt == "Kochava"), F.array(
-            _payload(cm, "CREATE_FLOODLIGHT_TAG", conversion_type=F.lit("Subscription"))))
+            _payload(cm, "CREATE_FLOODLIGHT_TAG", conversion_type=F.lit("Subscription"),
+                                                              counting_method=F.lit(COUNTING_METHOD))))
     )
     empty = F.filter(F.array(_payload(cm, "NONE")), lambda x: F.lit(False))
     return t.withColumn("payloads", F.coalesce(payloads, empty)).withColumn("_geo_for_qa", F.col("targeting_geo"))
@@ -224,7 +238,7 @@ def ticket_payloads(with_p: DataFrame) -> DataFrame:
     """T-07: one row per payload (ticket, position, platform, action, fields), status Pending."""
     x = with_p.select("ticket_id", "campaign_id", F.posexplode("payloads").alias("position", "p"))
     return x.select("ticket_id", "position", "campaign_id", "p.platform", "p.action", "p.placement_name", "p.site",
-                    "p.budget", "p.targeting", "p.geo", F.lit("Pending").alias("status"))
+                    "p.budget", "p.targeting", "p.geo", "p.conversion_type", "p.counting_method", F.lit("Pending").alias("status"))
 
 
 def payload_json(with_p: DataFrame) -> DataFrame:
@@ -233,6 +247,14 @@ def payload_json(with_p: DataFrame) -> DataFrame:
     return x.select("ticket_id", "position", "p.action", F.to_json(F.col("p")).alias("payload"))
 
 
+def payload_fields(bodies: DataFrame) -> DataFrame:
+    """The scalar fields of payload bodies (``payload_json``), read back from their text."""
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return bodies.select("ticket_id", "position", "action", field("platform").alias("platform"), field("placement_name").alias("placement_name"),
+                         field("budget").cast("double").alias("budget"), field("counting_method").alias("counting_method"),
+                         field("native_components.headline").alias("headline"), field("new_assets[0]").alias("first_asset"))
+
+
 def _is_sponsorship(name: Column) -> Column:
     n = F.coalesce(name, F.lit(""))
     return n.contains("BES") | n.contains("Sponsorship")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pacewise.config import AS_OF
 from pacewise.operators import clean
 from pacewise.plans import gold
+from pacewise.session import scratch_path, written_once
 from pacewise.sources import bindings as b
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -155,18 +156,12 @@ from pacewise.plans import health as hl  # noqa: E402
 
 @query("pipeline_health")
 def _pipeline_health(spark, sf):
-    return hl.pipeline_health([
-        ("Bronze", "bronze.campaigns", b.campaigns_bronze(spark, sf)),
-        ("Bronze", "bronze.delivery", b.delivery_bronze(spark, sf)),
-        ("Bronze", "bronze.tickets", b.tickets_bronze(spark, sf)),
-        ("Silver", "silver.campaigns", campaigns(spark, sf)),
-        ("Silver", "silver.delivery", delivery(spark, sf)),
-        ("Silver", "silver.tickets", tickets(spark, sf)),
-        ("Gold", "gold.campaign_performance", performance(spark, sf)),
-        ("Gold", "gold.daily_ops_summary", daily_summary(spark, sf)),
-        ("Gold", "gold.platform_scorecard", scorecard(spark, sf)),
-        ("Gold", "gold.ops_efficiency", gold.ops_efficiency(tickets(spark, sf), AS_OF)),
-    ])
+    """H-01 over the layers that a daily run writes: counts come from the written tables."""
+    from pacewise.plans import pipeline
+
+    tables = pipeline.run_daily(spark, sf, scratch_path(spark, "health-run"), ["campaigns", "delivery", "tickets"])
+    names = [n for n in tables if n != "gold.assignee_workload" and not n.startswith("quality")]
+    return hl.pipeline_health([(n.split(".")[0].capitalize(), n, tables[n]) for n in names])
 
 
 query("data_freshness")(lambda spark, sf: hl.data_freshness(
@@ -247,6 +242,7 @@ query("placement_name")(lambda spark, sf: campaigns(spark, sf).select("campaign_
     "placement_name")))
 query("campaign_name_taxonomy")(lambda spark, sf: tk.campaign_name_taxonomy(campaigns(spark, sf)))
 query("ticket_payloads")(lambda spark, sf: tk.ticket_payloads(_with_payloads(spark, sf)))
+query("payload_bodies")(lambda spark, sf: tk.payload_fields(tk.payload_json(_with_payloads(spark, sf))))
 query("qa_results")(lambda spark, sf: tk.qa_results(_with_payloads(spark, sf)))
 query("next_stage")(lambda spark, sf: tk.next_stage(
     tk.with_payloads(tk.pending_tickets(tickets(spark, sf)), campaigns(spark, sf))))
@@ -270,9 +266,12 @@ query("assign_round_robin")(lambda spark, sf: tk.round_robin_assignments(
     tickets(spark, sf), tk.roster_from_tickets(tickets(spark, sf))))
 
 # alert lines including QA failures
-query("alert_messages")(lambda spark, sf: hl.alert_messages(
-    delivery(spark, sf), campaigns(spark, sf), tickets(spark, sf), performance(spark, sf),
-    tk.qa_results(tk.with_payloads(tk.pending_tickets(tickets(spark, sf)), campaigns(spark, sf))), AS_OF))
+@query("alert_messages")
+def _alert_messages(spark, sf):
+    """H-06 over written silver tables: each is built once, and the alert kinds read what they need of it."""
+    d = written_once(delivery(spark, sf), "alert-delivery")
+    c, t = written_once(campaigns(spark, sf), "alert-campaigns"), written_once(tickets(spark, sf), "alert-tickets")
+    return hl.alert_messages(d, c, t, gold.campaign_performance(c, d, AS_OF), tk.qa_results(tk.with_payloads(tk.pending_tickets(t), c)), AS_OF)
 
 # -- conversions ---------------------------------------------------------------------
 
@@ -280,6 +279,8 @@ from pacewise.operators import conversions as cv  # noqa: E402
 
 query("hash_pii")(lambda spark, sf: cv.hashed_events(b.conversion_events(spark, sf)))
 query("conversion_payloads")(lambda spark, sf: cv.conversion_payloads(b.conversion_events(spark, sf)))
+query("conversion_bodies")(lambda spark, sf: cv.body_fields(cv.conversion_bodies(cv.conversion_payloads(
+    b.conversion_events(spark, sf)))))
 query("conversion_dedup")(lambda spark, sf: cv.conversion_dedup(b.conversion_events(spark, sf)))
 query("url_attribution")(lambda spark, sf: cv.url_attribution(b.landing_urls(spark, sf)))
 
@@ -327,17 +328,21 @@ query("stream_conversion_dedup")(mt.stream_conversion_dedup_job)
 
 @query("pacing_lookup")
 def _pacing_lookup(spark, sf):
-    """S-17: parameterised point lookup over the pacing result (named parameter, no string splicing)."""
+    """S-17: parameterised point lookup in the written pacing table (named parameter, no string splicing).
+
+    The table is sorted by campaign, so the lookup's filter skips by the files' statistics.
+    """
+    p = performance(spark, sf)
+    pacing = written_once(p.repartitionByRange("campaign_id").sortWithinPartitions("campaign_id"), "gold-performance")
     return spark.sql(
         "SELECT campaign_id, campaign_name, status, delivery_pct, time_elapsed_pct, pacing_status, pacing_ratio "
         "FROM {pacing} WHERE campaign_id = :campaign_id",
-        args={"campaign_id": "CMP-0000007"}, pacing=performance(spark, sf))
+        args={"campaign_id": "CMP-0000007"}, pacing=pacing)
 
 # -- conformance, QA log, pipeline composition ---------------------------------------
 
 from pacewise.operators import conform as cf  # noqa: E402
 from pacewise.plans import pipeline as pl  # noqa: E402
-from pacewise.session import scratch_path  # noqa: E402
 
 query("standardize_platform")(lambda spark, sf: clean.standardize_platform(b.campaigns_bronze(spark, sf)))
 query("conform_campaigns")(lambda spark, sf: cf.conform_campaigns(campaigns(spark, sf), cf.markets_dim(spark, sf)))
@@ -345,6 +350,16 @@ query("orphan_keys")(lambda spark, sf: cf.orphan_keys(campaigns(spark, sf), deli
                                                       cf.markets_dim(spark, sf)))
 
 
+@query("link_report")
+def _link_report(spark, sf):
+    c, t = campaigns(spark, sf), tickets(spark, sf)
+    return cf.link_report([
+        ("campaigns", "brand_code", c, cf.brands_dim(spark, sf)), ("campaigns", "title_id", c, cf.titles_dim(spark)),
+        ("campaigns", "channel", c, cf.channels_dim(spark)), ("campaigns", "targeting_geo", c, cf.markets_dim(spark, sf).select("market_code")),
+        ("tickets", "campaign_id", t, c.select("campaign_id")), ("tickets", "request_type", t, b.ticket_types_dim(spark).select("type")),
+        ("tickets", "assignee", t, cf.users_dim(spark)), ("qa_checks", "ticket_id", qa_checks(spark, sf), t.select("ticket_id"))])
+
+
 @query("qa_log_append")
 def _qa_log_append(spark, sf):
     """T-16: QA rows appended to the QA log, one append per processing run (here: pending, then the rest)."""
@@ -364,22 +379,12 @@ def _daily_pipeline(spark, sf):
 query("hourly_refresh")(mt.hourly_refresh_job)
 
 
-def materialize_silver(spark, sf, tables=("campaigns", "delivery", "tickets", "qa_checks")) -> str:
-    """Write the silver tables once under the shared checkpoint folder and serve later queries from them.
+def materialize_silver(spark, sf, tables=("campaigns", "delivery", "tickets", "qa_checks")) -> dict[str, DataFrame]:
+    """Silver tables written once under the shared checkpoint folder, by name, to build reports on.
 
-    For sessions that run many gold/report queries: each query then starts
-    from the written silver table (lineage cut, no re-dedup) instead of the
-    raw tables. Returns the folder. The registered queries themselves never
-    call this, so each one still runs end to end over the given tables.
+    For sessions that run many reports: ``gold.*``, ``analytics.*`` and the
+    ticket operators take these frames and start from the written tables
+    (lineage cut, no repeated dedup). Registered queries never read them.
     """
     builders = {"campaigns": campaigns, "delivery": delivery, "tickets": tickets, "qa_checks": qa_checks}
-    base = scratch_path(spark, "silver")
-    for t in tables:
-        builders[t](spark, sf).write.mode("overwrite").parquet(f"{base}/{t}")
-    from pacewise.sources.tables import SCAN_PARTITIONS_CONF
-
-    for t in tables:
-        key = (t, id(spark), sf, spark.conf.get(SCAN_PARTITIONS_CONF, "0"))
-        _MEMO[key] = spark.read.parquet(f"{base}/{t}")
-    _MEMO.pop(("performance", id(spark), sf, spark.conf.get(SCAN_PARTITIONS_CONF, "0")), None)
-    return base
+    return {t: written_once(builders[t](spark, sf), f"silver-{t}") for t in tables}

@@ -18,7 +18,7 @@ from pacewise.operators import clean
 from pacewise.operators.dedup import active_on, scd2_history
 from pacewise.functions.columns import allowed_or_default
 from pacewise.operators.clean import CAMPAIGN_STATUSES
-from pacewise.session import scratch_path
+from pacewise.session import scratch_path, written_once
 from pacewise.sources import bindings as b
 from pacewise.sources import csv as csvsrc
 from pacewise.sources import sinks
@@ -173,7 +173,10 @@ def create_bronze_tables_job(spark: SparkSession, sf: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    counts = written_once(out, "table-counts")
+    for layer in ("bronze", "silver", "gold", "quarantine"):  # the demonstration leaves no databases behind
+        spark.sql(f"DROP DATABASE IF EXISTS {layer}_{suffix} CASCADE")
+    return counts
 
 
 def compact_cluster_job(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,6 +29,9 @@ def spark():
         spark.sparkContext.setCheckpointDir(d)
     spark.conf.set("pacewise.scan.partitions", "8")
     yield spark
+    from pacewise.session import drop_scratch
+
+    drop_scratch(spark)
 
 
 @pytest.fixture(scope="session")

@@ -22,10 +22,14 @@ def _campaign(**kw):
     return base
 
 
+def _campaign_frame(spark, **campaign):
+    return spark.createDataFrame([tuple(_campaign(**campaign).values())], CAMPAIGN_SCHEMA)
+
+
 def _run(spark, request_type, platform, **campaign):
     t = spark.createDataFrame([("T1", "C1", request_type, platform, "Trafficking", "user_02", "US", "BRD")],
                               TICKET_SCHEMA)
-    c = spark.createDataFrame([tuple(_campaign(**campaign).values())], CAMPAIGN_SCHEMA)
+    c = _campaign_frame(spark, **campaign)
     return tk.with_payloads(t, c)
 
 
@@ -102,3 +106,26 @@ def test_native_payload_components_and_json(spark):
     assert comp.headline == "Title" and comp.call_to_action == "Sign Up Now"
     bodies = tk.payload_json(w).orderBy("position").collect()
     assert len(bodies) == 3 and '"action":"CREATE_NATIVE_PLACEMENT"' in bodies[1].payload
+
+
+def test_a_ticket_without_its_campaign_gets_the_stand_in(spark):
+    t = spark.createDataFrame([("T1", "CMP-GONE", "New Placements", "Meta", "New", "u", None, None), ("T2", None, "Budget Change", "Meta", "New", "u", "DE", "b")],
+                              "ticket_id string, campaign_id string, request_type string, platform string, stage string, assignee string, "
+                              "targeting_geo string, brand string")
+    c = _campaign_frame(spark).where("false")
+    w = tk.with_payloads(t, c)
+    budgets = {(r.ticket_id, r.action): r.budget for r in tk.ticket_payloads(w).collect()}
+    assert budgets["T1", "CREATE_INSERTION_ORDER"] == 1000.0 and budgets["T2", "UPDATE_BUDGET"] == 1000.0
+    checks = {(r.ticket_id, r.check_name): r for r in tk.qa_results(w).collect()}
+    assert checks["T1", "Targeting"].details == "Geo targeting found: US"
+
+
+def test_native_components_of_the_ticket_win(spark):
+    t = spark.createDataFrame([("T1", "C1", "New Campaign", "Meta", "New", "u", "US", "b", "own.jpg", None)],
+                              "ticket_id string, campaign_id string, request_type string, platform string, stage string, assignee string, "
+                              "targeting_geo string, brand string, main_image string, headline string")
+    c = _campaign_frame(spark, channel_mapped="ProgNative", budget_usd=None)
+    parts = {p["action"]: p for p in tk.with_payloads(t, c).first()["payloads"]}
+    native = parts["CREATE_NATIVE_PLACEMENT"]["native_components"]
+    assert native["main_image"] == "own.jpg" and native["headline"] == "Title" and native["call_to_action"] == "Sign Up Now"
+    assert parts["CREATE_INSERTION_ORDER"]["budget"] == 0.0
