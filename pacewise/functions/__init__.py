@@ -1,15 +1 @@
-from pacewise.functions.columns import (  # noqa: F401
-    allowed_or_default,
-    as_of_date,
-    as_of_ts,
-    canonical_platform,
-    count_if,
-    exact_avg,
-    exact_sum_money,
-    flag,
-    long_sum,
-    pct_text,
-    rank_of,
-    round_half_up,
-    safe_div,
-)
+"""Column helpers (columns.py) and quality rule registries (rules.py)."""

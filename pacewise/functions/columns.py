@@ -31,32 +31,6 @@ def round_half_up(c, digits: int) -> Column:
     return (F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))
 
 
-def safe_div(num, den) -> Column:
-    """num / den as double, NULL when den is 0 or NULL (ANSI mode throws on /0)."""
-    n = col_or_lit(num).cast("double")
-    d = col_or_lit(den).cast("double")
-    return F.when(d != 0, n / d)
-
-
-def exact_sum_money(c) -> Column:
-    """Sum of a money column through DECIMAL(18,2): order-independent, returned as double."""
-    return F.sum(col_or_lit(c).cast("decimal(18,2)")).cast("double")
-
-
-def exact_avg(c, scale: int = 10) -> Column:
-    """Average through a fixed-scale decimal sum so the result does not depend on summation order.
-
-    Equals CAST(SUM(CAST(x AS DECIMAL(28,s))) AS DOUBLE) / COUNT(x); NULL when no value.
-    """
-    dec = col_or_lit(c).cast(f"decimal(28,{scale})")
-    n = F.count(dec)
-    return F.when(n > 0, F.sum(dec).cast("double") / n)
-
-
-def long_sum(c) -> Column:
-    return F.sum(col_or_lit(c).cast("long"))
-
-
 def as_of_ts(as_of: _dt.datetime = AS_OF) -> Column:
     return F.lit(as_of).cast("timestamp")
 

@@ -45,6 +45,19 @@ DEFAULT_LANDING_PAGE = "https://www.example.com"
 NATIVE_DEFAULTS = {"main_image": "1200x627_default.jpg", "logo": "logo_200x200.jpg", "headline": "Original",
                    "body": "Stream now.", "call_to_action": "Sign Up Now", "caption_url": "example.com"}
 QA_ISSUES = ["Fail", "Needs Review"]
+# Checks in order: (text, result where the check finds something, text then).
+QA_TEXTS = {
+    "Spec Compliance": ("Creative matches spec.", None, None),
+    "Tracking": ("Tracking tags configured.", None, None),
+    "Targeting": ("Geo targeting found: ", "Fail", "Missing geo targeting."),
+    "Frequency Cap": ("Frequency cap standard.", "Pass", "Frequency cap set for Sponsorship."),
+    "Content Exclusions": ("Standard exclusions applied.", "Needs Review", "Sponsorship requires S&P review."),
+    "Landing Page": ("Click-through URLs act recursively.", "Fail", "Non-HTTPS URL provided: "),
+    "Taxonomy Validation": ("Taxonomy valid.", "Fail", "Placement name does not follow pipe-delimited convention."),
+    "Floodlight Tags": ("Conversion tags correctly assigned.", None, None),
+    "Privacy Compliance": ("GDPR & US_Privacy macros enforced in tags.", None, None),
+}
+NOTHING_TO_QA = ("Spec Compliance", "Fail", "No payloads to QA.")
 # What stands in for a campaign that the ticket's id does not resolve to.
 ABSENT_CAMPAIGN = {"campaign_name": "Demo Campaign", "targeting_geo": "US", "budget_usd": 1000.0}
 COUNTING_METHOD = "STANDARD"
@@ -274,27 +287,20 @@ def qa_results_array(check_native_placements: bool = False) -> Column:
     placements = F.filter(pay, lambda p: p["action"].isin(*actions))
     bad_tax = F.exists(placements, lambda p: (
         F.size(F.split(F.coalesce(p["placement_name"], F.lit("")), r"\|", -1)) - 1) < 6)
-    checks = F.array(
-        _qa("Spec Compliance", F.lit("Pass"), F.lit("Creative matches spec.")),
-        _qa("Tracking", F.lit("Pass"), F.lit("Tracking tags configured.")),
-        _qa("Targeting", F.when(geo.isNull() | (geo == ""), F.lit("Fail")).otherwise(F.lit("Pass")),
-            F.when(geo.isNull() | (geo == ""), F.lit("Missing geo targeting."))
-            .otherwise(F.concat(F.lit("Geo targeting found: "), geo))),
-        _qa("Frequency Cap", F.lit("Pass"), F.when(sponsor, F.lit("Frequency cap set for Sponsorship."))
-            .otherwise(F.lit("Frequency cap standard."))),
-        _qa("Content Exclusions", F.when(sponsor, F.lit("Needs Review")).otherwise(F.lit("Pass")),
-            F.when(sponsor, F.lit("Sponsorship requires S&P review.")).otherwise(F.lit("Standard exclusions applied."))),
-        _qa("Landing Page", F.when(url.startswith("https://"), F.lit("Pass")).otherwise(F.lit("Fail")),
-            F.when(url.startswith("https://"), F.lit("Click-through URLs act recursively."))
-            .otherwise(F.concat(F.lit("Non-HTTPS URL provided: "), url))),
-        _qa("Taxonomy Validation", F.when(bad_tax, F.lit("Fail")).otherwise(F.lit("Pass")),
-            F.when(bad_tax, F.lit("Placement name does not follow pipe-delimited convention."))
-            .otherwise(F.lit("Taxonomy valid."))),
-        _qa("Floodlight Tags", F.lit("Pass"), F.lit("Conversion tags correctly assigned.")),
-        _qa("Privacy Compliance", F.lit("Pass"), F.lit("GDPR & US_Privacy macros enforced in tags.")),
-    )
-    none = F.array(_qa("Spec Compliance", F.lit("Fail"), F.lit("No payloads to QA.")))
-    return F.when(F.size(pay) > 0, checks).otherwise(none)
+    # Where a check finds something, and what its text names.
+    found = {"Targeting": geo.isNull() | (geo == ""), "Frequency Cap": sponsor, "Content Exclusions": sponsor,
+             "Landing Page": ~url.startswith("https://"), "Taxonomy Validation": bad_tax}
+    named = {"Targeting": (geo, F.lit("")), "Landing Page": (F.lit(""), url)}
+    checks = []
+    for check, (text, finding, finding_text) in QA_TEXTS.items():
+        result, details = F.lit("Pass"), F.lit(text)
+        if check in found:
+            of_text, of_finding = named.get(check, (F.lit(""), F.lit("")))
+            result = F.when(found[check], F.lit(finding)).otherwise(result)
+            details = F.when(found[check], F.concat(F.lit(finding_text), of_finding)).otherwise(F.concat(details, of_text))
+        checks.append(_qa(check, result, details))
+    none = F.array(_qa(*(F.lit(x) if k else x for k, x in enumerate(NOTHING_TO_QA))))
+    return F.when(F.size(pay) > 0, F.array(*checks)).otherwise(none)
 
 
 def qa_results(with_p: DataFrame, check_native_placements: bool = False) -> DataFrame:
