@@ -4,6 +4,7 @@ import importlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import AWKWARD, SF, docs, given, words, written
@@ -27,8 +28,13 @@ def _stages(spark, frame, tmp_path, sf_dir=SF):
     return out
 
 
-def test_every_stage_equals_brute_force(spark, tmp_path):
-    quality, exact, near, mixed, packed = _stages(spark, given(spark, "documents"), tmp_path)
+@pytest.fixture(scope="module")
+def given_stages(spark, tmp_path_factory):
+    return _stages(spark, given(spark, "documents"), tmp_path_factory.mktemp("given"))
+
+
+def test_every_stage_equals_brute_force(spark, given_stages):
+    quality, exact, near, mixed, packed = given_stages
 
     from pacewise.llm.quality import judge
 
@@ -69,10 +75,10 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
     assert len(places) <= -(-sum(lengths.values()) // 2048) + 1
 
 
-def test_run_equals_its_stages(spark, tmp_path):
+def test_run_equals_its_stages(spark, given_stages):
     pipeline = importlib.import_module("corpus_pipeline")
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
-    staged = _stages(spark, given(spark, "documents"), tmp_path)[-1][2]
+    staged = given_stages[-1][2]
     assert sorted(map(key, pipeline.run(spark, SF).collect())) == sorted(map(key, staged))
     assert pipeline.ORACLE_SQL is None
 
