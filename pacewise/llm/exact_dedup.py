@@ -54,10 +54,11 @@ class DigestIndex:
         file, and rows already there are anti-joined away.
         """
         earlier = self.rows().where(F.col("batch") != batch).drop("batch")
-        known = self.rows().select("digest")
-        new = groups.join(known, "digest", "left_anti").withColumn("batch", F.lit(batch))
-        (new.select("digest", "keep_id", "group_size", "batch").repartition(self.buckets, "digest")
-         .write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        # Dealt out as the buckets are, the batch meets the index without a shuffle of the index and is written as it lies.
+        dealt = groups.repartition(self.buckets, "digest")
+        new = dealt.join(self.rows().select("digest"), "digest", "left_anti").withColumn("batch", F.lit(batch))
+        (new.select("digest", "keep_id", "group_size", "batch").write.format("parquet").mode("append")
+         .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
         self.spark.catalog.refreshTable(self.name)
         return earlier
 
