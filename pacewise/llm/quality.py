@@ -89,7 +89,8 @@ def scorer(models: dict[str, char_lm.LanguageModel] | None) -> Callable[[Column,
         names = [x.split()[0] for x in STATS.split(", ")]
         return pa.StructArray.from_arrays([*arrays, pa.array(perplexity, from_pandas=True)], names=[*names, "log_perplexity"])
 
-    return F.arrow_udf(score, f"struct<{STATS.replace(' bigint', ':bigint')}, log_perplexity:double>")
+    # As a deterministic function it would be evaluated again in every filter that the optimiser moves below a join.
+    return F.arrow_udf(score, f"struct<{STATS.replace(' bigint', ':bigint')}, log_perplexity:double>").asNondeterministic()
 
 
 def base_failed(s: str = "s") -> Column:

@@ -26,7 +26,7 @@ from pacewise.llm.common import text_session
 LEAF = 64
 #: Characters behind a pre-token that the pattern may look at ('re, 've and 'll; white space before a word).
 CONTEXT = 3
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 TREE = "chars array<bigint>, tokens array<bigint>"
 EDITS = "array<struct<at:bigint,removed:bigint,inserted:string>>"
 

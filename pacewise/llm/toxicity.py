@@ -39,7 +39,7 @@ SAME, OTHER, NONE, RUN = -0.05, -1.5, -1.0, -0.7
 LONGEST = 64  # a longer token is no disguised word and stays as it is
 ALPHABET = r"^[ a-z0-9ß-öø-ÿ]+$"  # at most 69 characters, so the decoder's trigram table is bounded
 ORDER = 3
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 MARKS = re.compile(r"^\W+|\W+$")
 LETTERS = re.compile(r"[^\W\d_]+")
 RUNS = re.compile(r"([^\W\d_])\1{2,}")

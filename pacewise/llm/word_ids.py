@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 #: The tokenizer's pre-token pattern, restricted to those characters.
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-REMEMBERED = 500_000
-SLICE_BYTES = 4 << 20
+REMEMBERED = 200_000
+SLICE_BYTES = 2 << 20
 
 
 def _byte_letters() -> dict[int, str]:
