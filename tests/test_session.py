@@ -2,6 +2,7 @@
 
 import pytest
 
+from pacewise import session
 from pacewise.session import ensure_checkpoint_dir, scratch_path
 
 
@@ -38,7 +39,8 @@ def test_a_cluster_without_a_shared_folder_is_refused(master):
         ensure_checkpoint_dir(_Session(spark_master=master))
 
 
-def test_a_cluster_with_a_shared_folder_uses_it():
+def test_a_cluster_with_a_shared_folder_uses_it(monkeypatch):
+    monkeypatch.setattr(session, "_SCRATCH", [])  # the folder of a session that is none must not be dropped later
     s = _Session(spark_master="yarn", spark_checkpoint_dir="hdfs://store/ckpt")
     assert ensure_checkpoint_dir(s) == "hdfs://store/ckpt"
     assert scratch_path(s, "x").startswith("hdfs://store/ckpt/x-")
