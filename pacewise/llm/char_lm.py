@@ -120,6 +120,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
 
     Lower orders count the different characters before an n-gram. Each order
     has three discounts, from how many n-grams were counted one to four times.
+    A context whose discounts are zero backs off with the weight of half a count.
     """
     levels = {order: stage(counts, "grams")}
     for n in range(order - 1, 0, -1):
@@ -142,9 +143,10 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
             rest = lower.select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), F.col("p").alias("rest"))
             rows = rows.join(rest, (F.col("lang") == F.col("_lang")) & (F.substring("gram", 2, n - 1) == F.col("_gram")))
         share = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("backoff") * F.col("rest")
-        lower = stage(rows.select("lang", "gram", "context", "backoff", share.alias("p")), "probabilities")
+        lower = stage(rows.select("lang", "gram", "context", "backoff", "total", share.alias("p")), "probabilities")
         probabilities.append(lower.select("lang", "gram", F.ln("p").alias("logp")))
-        backoffs.append(lower.select("lang", "context", F.ln("backoff").alias("backoff")).distinct())
+        owed = F.when(F.col("backoff") > 0, F.col("backoff")).otherwise(0.5 / (F.col("total") + 1))
+        backoffs.append(lower.select("lang", "context", F.ln(owed).alias("backoff")).distinct())
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(union(frames[1:]))
     return stage(union(probabilities), "model"), stage(union(backoffs), "backoffs")
 
@@ -220,11 +222,25 @@ def hash_arrays(probabilities: DataFrame, backoffs: DataFrame, order: int = ORDE
     return models
 
 
-def joined_scores(docs: DataFrame, probabilities: DataFrame, order: int = ORDER) -> DataFrame:
-    """(rid, log_perplexity) of ``docs`` (rid, text, lang) by joining their n-grams with the model table.
+def gram_scores(grams: DataFrame, probabilities: DataFrame, backoffs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, logp) of distinct ``grams`` (lang, gram) of ``order`` characters; unseen ones back off, as in LanguageModel."""
+    letters = probabilities.where(F.length("gram") == 1).groupBy("lang").agg((-F.ln(F.count(F.lit(1)) + 1.0)).alias("unseen"))
+    rows = grams.join(F.broadcast(letters), "lang").withColumns({"rest": F.col("gram"), "owed": F.lit(0.0), "logp": F.lit(None).cast("double")})  # a row per language
+    table = probabilities.select("lang", F.col("gram").alias("rest"), F.col("logp").alias("found"))
+    weights = backoffs.select("lang", F.col("context").alias("_context"), "backoff")
+    for n in range(order, 0, -1):
+        rows = rows.join(table.where(F.length("rest") == n), ["lang", "rest"], "left")
+        rows = rows.withColumn("logp", F.coalesce("logp", F.col("found") + F.col("owed"))).drop("found")
+        rows = rows.withColumn("_context", F.substring("rest", 1, n - 1)).join(weights.where(F.length("_context") == n - 1), ["lang", "_context"], "left")
+        rows = stage(rows.select("lang", "gram", "unseen", "logp", F.expr("substring(rest, 2)").alias("rest"),
+                                 (F.col("owed") + F.coalesce("backoff", F.lit(0.0))).alias("owed")), "gram-scores")
+    return rows.select("lang", "gram", F.coalesce("logp", F.col("owed") + F.col("unseen")).alias("logp"))
 
-    For models over ARRAY_ENTRIES. Every n-gram of the counted corpus is in the
-    table, so nothing backs off.
+
+def joined_scores(docs: DataFrame, probabilities: DataFrame, backoffs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(rid, log_perplexity) of ``docs`` (rid, text, lang) by joining their n-grams with the model's tables.
+
+    For models over ARRAY_ENTRIES.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +256,7 @@ def joined_scores(docs: DataFrame, probabilities: DataFrame, order: int = ORDER)
                                                  names=["rid", "lang", "gram", "times"])
 
     grams = text_session(docs).select("rid", "text", language().alias("lang")).mapInArrow(run, "rid bigint, lang string, gram string, times bigint")
-    whole = probabilities.where(F.length("gram") == order)
-    return (grams.join(whole, ["lang", "gram"]).groupBy("rid")
+    grams = stage(grams, "document-grams")
+    scores = gram_scores(grams.select("lang", "gram").distinct(), probabilities, backoffs, order)
+    return (grams.join(scores, ["lang", "gram"]).groupBy("rid")
             .agg((-F.sum(F.col("times") * F.col("logp")) / F.sum("times")).alias("log_perplexity")))

@@ -2,8 +2,10 @@
 
 A document fails on its own statistics (too few words, too much repetition), or
 when the log-perplexity of its text under its language's character model
-(``char_lm``) lies outside its language's band. The band is the median of the
-language's documents, give or take ``width`` robust standard deviations, from a
+(``char_lm``) lies outside its language's band. A model is counted on documents
+that pass the base rules and have few symbols, and never scores a text that it
+counted, unless its language has no other. The band is the median of the
+language's documents, less WIDTH and plus ABOVE robust standard deviations, from a
 histogram over all documents.
 """
 
@@ -25,7 +27,12 @@ from pacewise.llm.substring_dedup import split_words
 MIN_WORDS = 50
 REPEAT_SHARE = 50
 SYMBOLS = "[#*$%&|<>]"
+#: Models are counted on documents with at most one symbol in so many words.
+WORDS_A_SYMBOL = 20
 WIDTH = 6.0
+#: Deviations above the median at which a text is rejected: clean texts of unusual words reach some 25 out of sample
+#: (sf0.1), junk begins at 35.
+ABOVE = 25.0
 #: Histogram step of the log-perplexity, and the least robust deviation.
 STEP = 0.0005
 LEAST_DEVIATION = 0.01
@@ -71,7 +78,7 @@ def statistics(texts: pa.Array) -> list[np.ndarray]:
 
 
 def scorer(models: dict[str, char_lm.LanguageModel] | None) -> Callable[[Column, Column], Column]:
-    """Statistics and log-perplexity (null without a model or words) of (text, lang), as one struct column."""
+    """Statistics and log-perplexity (null without a model or words) of (text, fold and lang), as one struct column."""
 
     def score(texts: pa.Array, langs: pa.Array) -> pa.Array:
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -82,7 +89,7 @@ def scorer(models: dict[str, char_lm.LanguageModel] | None) -> Callable[[Column,
             lang = np.asarray(langs.slice(at, len(part)).to_pylist(), dtype=object)
             for code in set(lang) if models else ():
                 own = np.flatnonzero(lang == code)
-                model = models.get(code)
+                model = models.get(other_half(code)) or models.get(code)
                 if model:
                     perplexity[at + own] = model.mean_log([part[i] for i in own])
         arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in columns]
@@ -98,9 +105,10 @@ def base_failed(s: str = "s") -> Column:
     return (n < MIN_WORDS) | (100 * F.col(f"{s}.n_repeat_words") > REPEAT_SHARE * n)
 
 
-def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
+def bands(scored: DataFrame, width: float = WIDTH, above: float | None = None) -> DataFrame:
     """(lang, low, high) from the log-perplexities of the documents that pass the base rules.
 
+    ``above`` is the width above the median, if it differs.
     The median and the median absolute deviation are read from a histogram of
     STEP-wide bins, which partial aggregation adds up; the windows see one row
     per language and bin.
@@ -117,26 +125,58 @@ def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
     bins = stage(bins, "perplexity-bins")
     centre = middle(bins, "bin").withColumnRenamed("bin", "centre")
     off = bins.join(centre, "lang").groupBy("lang", F.abs(F.col("bin") - F.col("centre")).alias("off")).agg(F.sum("n").alias("n"))
-    spread = F.greatest(F.col("off") * F.lit(1.4826 * STEP), F.lit(LEAST_DEVIATION)) * width
+    spread = F.greatest(F.col("off") * F.lit(1.4826 * STEP), F.lit(LEAST_DEVIATION))
     return centre.join(middle(off, "off"), "lang").select(
-        "lang", (F.col("centre") * STEP - spread).alias("low"), (F.col("centre") * STEP + spread).alias("high"))
+        "lang", (F.col("centre") * STEP - spread * width).alias("low"),
+        (F.col("centre") * STEP + spread * (width if above is None else above)).alias("high"))
 
 
-def language_models(docs: DataFrame) -> tuple[dict[str, char_lm.LanguageModel] | None, DataFrame]:
-    """Models of all languages in ``docs`` as arrays (None if too large for tasks), and as a table."""
-    probabilities, backoffs = char_lm.kneser_ney(char_lm.count_grams(docs))
-    return char_lm.hash_arrays(probabilities, backoffs), probabilities
+def half(text: str = "text", lang: str = "lang") -> Column:
+    """The half of its language that a text is counted in ('0' or '1', by its hash), and the language."""
+    return F.concat(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(2)).cast("string"), char_lm.language(lang))
 
 
-def score_documents(docs: DataFrame) -> tuple[DataFrame, dict | None, DataFrame | None]:
-    """doc_id, lang, the statistics, base_failed and log_perplexity per row; the models or the joined scores."""
-    models, table = language_models(text_session(docs))
-    rows = docs.select("doc_id", char_lm.language().alias("lang"), "text", F.monotonically_increasing_id().alias("rid"))
-    scored = rows.select("doc_id", "lang", "rid", scorer(models)("text", "lang").alias("s"))
+def other_half(code: str) -> str:
+    return ("1" if code[0] == "0" else "0") + code[1:]
+
+
+def reference_grams(docs: DataFrame) -> DataFrame:
+    """(lang, gram, c) by half of a language, over its documents that pass the base rules and have few symbols.
+
+    Where more than half of a language's passing documents have more symbols,
+    they are its kind of text, and all that pass are counted.
+    """
+    rows = text_session(docs).select("text", half().alias("half"), scorer(None)(F.col("text"), F.lit("")).alias("s")).where(~base_failed())
+    few = F.when(WORDS_A_SYMBOL * F.col("s.n_symbols") <= F.col("s.n_words"), "+").otherwise("-")
+    counts = stage(char_lm.count_grams(rows.select("text", F.concat(few, "half").alias("lang"))), "reference-grams")
+    counts = counts.select(F.col("lang").startswith("+").alias("few"), F.expr("substring(lang, 2)").alias("lang"), "gram", "c")
+    # Every text has one n-gram that begins with all of the padding.
+    texts = counts.where(F.col("gram").startswith(" " * (char_lm.ORDER - 1)))
+    texts = texts.groupBy(F.expr("substring(lang, 2)").alias("name")).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("few"), F.col("c"))).alias("n_few"))
+    symbolic = texts.select("name", (2 * F.coalesce("n_few", F.lit(0)) < F.col("n")).alias("symbolic"))
+    used = look_up(counts.withColumn("name", F.expr("substring(lang, 2)")), symbolic, "name").where(F.col("few") | F.col("symbolic"))
+    return used.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+
+
+def language_models(docs: DataFrame) -> tuple[dict[str, char_lm.LanguageModel] | None, DataFrame, DataFrame]:
+    """Models of the halves of all languages in ``docs`` as arrays (None if too large for tasks), and as two tables."""
+    probabilities, backoffs = char_lm.kneser_ney(reference_grams(docs))
+    return char_lm.hash_arrays(probabilities, backoffs), probabilities, backoffs
+
+
+def score_documents(docs: DataFrame) -> tuple[DataFrame, dict | None]:
+    """doc_id, lang, the statistics, base_failed and log_perplexity per row; the models if they are arrays."""
+    models, probabilities, backoffs = language_models(docs)
+    rows = docs.select("doc_id", char_lm.language().alias("lang"), "text", half().alias("half"), F.monotonically_increasing_id().alias("rid"))
+    scored = rows.select("doc_id", "lang", "rid", scorer(models)("text", "half").alias("s"))
     scored = scored.select("doc_id", "lang", "rid", "s.*", base_failed().alias("base_failed"))
     if models is None:
-        scored = scored.drop("log_perplexity").join(stage(char_lm.joined_scores(rows, table), "joined-scores"), "rid", "left")
-    return stage(scored, "scored"), models, table
+        other = F.concat(F.when(F.col("half").startswith("0"), "1").otherwise("0"), F.expr("substring(half, 2)"))
+        there = probabilities.select(F.col("lang").alias("other")).distinct().withColumn("there", F.lit(True))
+        read = look_up(rows.select("rid", "text", "half", other.alias("other")), there, "other")
+        read = read.select("rid", "text", F.when(F.col("there"), F.col("other")).otherwise(F.col("half")).alias("lang"))
+        scored = scored.drop("log_perplexity").join(stage(char_lm.joined_scores(read, probabilities, backoffs), "joined-scores"), "rid", "left")
+    return stage(scored, "scored"), models
 
 
 def in_band(perplexity: Column) -> Column:
@@ -150,8 +190,8 @@ def judge(docs: DataFrame) -> DataFrame:
     no words and fails the base rules, like an empty one; a null lang is the
     language ''. Repeated rows are judged alike. An empty table gives no rows.
     """
-    scored, _, _ = score_documents(docs)
-    judged = look_up(scored, bands(scored), "lang")
+    scored, _ = score_documents(docs)
+    judged = look_up(scored, bands(scored, above=ABOVE), "lang")
     return judged.withColumn("kept", ~F.col("base_failed") & in_band(F.col("log_perplexity"))).drop("rid")
 
 
@@ -160,10 +200,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     With array models a row is judged where it lies; else by its row id.
     """
-    scored, models, _ = score_documents(docs)
-    limits = bands(scored)
+    scored, models = score_documents(docs)
+    limits = bands(scored, above=ABOVE)
     if models is None:
         verdict = look_up(scored, limits, "lang").where(~F.col("base_failed") & in_band(F.col("log_perplexity"))).select("rid")
         return keep_rows(docs, verdict)
-    rows = docs.select(whole_row(docs), char_lm.language().alias("lang"), scorer(models)(F.col("text"), char_lm.language()).alias("s"))
+    rows = docs.select(whole_row(docs), char_lm.language().alias("lang"), scorer(models)(F.col("text"), half()).alias("s"))
     return look_up(rows, limits, "lang").where(~base_failed() & in_band(F.col("s.log_perplexity"))).select("_row.*")

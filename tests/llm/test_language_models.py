@@ -131,6 +131,27 @@ def test_good_documents_stay_and_junk_goes(spark):
     assert np.mean(kept[1]) > 0.98 and np.mean(kept[0]) < 0.8
 
 
+def test_junk_is_rejected_and_clean_text_kept_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in given(spark, "labels", sf).collect()}
+    rows = [r for r in quality.judge(given(spark, "documents", sf)).collect() if not r.base_failed and r.doc_id in labels]
+    for lang in ("en", "de", "fr", "es"):
+        kept = {q: [r.kept for r in rows if r.lang == lang and labels[r.doc_id] == q] for q in (0, 1)}
+        assert len(kept[0]) > 30 and not any(kept[0]) and np.mean(kept[1]) > 0.98
+
+
+def test_a_text_is_not_scored_by_its_own_counts(spark):
+    """An odd text alone among others is no likelier for having been in the table; a lone text still has a model."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "music", "garden", "winter", "letter", "window"], 80)), "en", "s", 0) for i in range(40)]
+    odd = [(99, " ".join("zyqxj"[int(k)] * 2 + "wvkpf"[int(j)] for k, j in rng.integers(0, 5, (80, 2))), "en", "s", 0),
+           (100, " ".join(f"word{k}" for k in range(80)), "xx", "s", 0)]
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows + odd)).collect()}
+    letters = len(set("riverstonemusicgardenwinterletterwindow ") | set("zyqxjwvkpf"))
+    assert not got[99].base_failed and not got[99].kept and got[99].log_perplexity > math.log(letters)
+    assert got[100].kept and all(got[i].kept or got[i].base_failed for i in range(40))
+
+
 def test_quality_of_an_empty_table(spark, tmp_path):
     frame = written(spark, docs(spark, []), tmp_path)
     assert quality.judge(frame).collect() == [] and quality.keep_good(frame).collect() == []
