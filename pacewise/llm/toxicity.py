@@ -1,8 +1,9 @@
 """Toxicity scores of deobfuscated text.
 
 Writers hide words by leetspeak (``1d10t``), spacing (``i d i o t``, ``i.d.i.o.t``)
-and repetition (``idiooot``). Each suspicious token is a noisy copy of a word:
-every character opens a few ways to read it, and a Viterbi pass over that lattice
+and repetition (``idiooot``). Each suspicious token or run of single letters is a
+noisy copy of one or more words: every character opens a few ways to read it, a
+mark or space also as a word's end, and a Viterbi pass over that lattice
 finds the reading of greatest channel times language-model probability. The model
 is a character trigram model over all documents. A document's score is a
 logistic regression on the restored words it contains.
@@ -36,6 +37,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "#": "h"}
 #: Log-probabilities of the channel: a character as it is, for another, for none; a run of letters shortened.
 SAME, OTHER, NONE, RUN = -0.05, -1.5, -1.0, -0.7
+SPLIT = -4.0  # a mark that may be a letter, between two words
 LONGEST = 64  # a longer token is no disguised word and stays as it is
 ALPHABET = r"^[ a-z0-9ß-öø-ÿ]+$"  # at most 69 characters, so the decoder's trigram table is bounded
 ORDER = 3
@@ -69,18 +71,20 @@ class Restorer:
         edges = []
         for m in re.finditer(r"(.)\1*", token, re.DOTALL):
             char, run = m[1], m[0]
-            if char.isalpha():
+            if char == " ":
+                ways = [(" ", SAME), ("", NONE)]
+            elif char.isalpha():
                 ways = [(run, SAME * len(run))]
                 if len(run) > 2:
                     ways += [(char, RUN), (char * 2, RUN)]
             else:
                 ways = [(c * min(len(run), 2), OTHER) for c in LEET.get(char, "")] + [(c, OTHER) for c in LEET.get(char, "") if len(run) > 1]
-                ways.append((run, SAME * len(run)) if char.isdigit() else ("", NONE))
+                ways += [(run, SAME * len(run))] if char.isdigit() else [("", NONE), (" ", SPLIT if char in LEET else NONE)]
             edges.append(ways)
         return edges
 
     def decode(self, token: str) -> tuple[str, float]:
-        """The likeliest word behind ``token``, as one word, and its log-probability."""
+        """The likeliest words behind ``token``, one space between, and their log-probability."""
         best: dict[str, tuple[float, str]] = {" " * (ORDER - 1): (0.0, "")}
         for ways in [*self.lattice(token), [(" ", 0.0)]]:
             reached: dict[str, tuple[float, str]] = {}
@@ -94,10 +98,10 @@ class Restorer:
                         reached[state] = (total, word + out)
             best = reached
         score, word = max(best.values())
-        return word[:-1], score
+        return " ".join(word.split()), score
 
     def word(self, token: str) -> str:
-        """The word that a token reads as: lower case, without marks around it, disguises undone."""
+        """The word (or words) that a token reads as: lower case, without marks around it, disguises undone."""
         found = self.known.get(token)
         if found is None:
             low = token.lower()
@@ -112,20 +116,31 @@ class Restorer:
             self.known[token] = found
         return found
 
-    def spaced(self, letters: list[str]) -> str | None:
-        """The word behind single letters with spaces between, if it is likelier than the letters by themselves."""
-        joined = "".join(x.lower() for x in letters)
+    def readings(self, token: str) -> list[str]:
+        """The words that a token reads as, and its runs of letters as they are written if it is no plain word."""
+        found, parts = self.word(token), LETTERS.findall(token.lower())
+        return list(dict.fromkeys([*found.split(), *(x for x in parts if len(x) > 1)])) or [""]
+
+    def spaced(self, letters: list[str]) -> list[str]:
+        """The words behind single letters with spaces between; letters that stay by themselves are none.
+
+        The first or the last letter may be a word of its own (``a i d i o t``),
+        so the run is also read without them.
+        """
+        joined = " ".join(x.lower() for x in letters)
         if len(joined) > LONGEST:
-            return None
-        word, score = self.decode(joined)
-        apart = sum(self.step("  ", c.lower()) + self.step(" " + c.lower(), " ") for c in letters)
-        return word if score > apart else None
+            return []
+        ways = {joined, joined[2:], joined[:-2], joined[2:-2]}
+        return list(dict.fromkeys(w for way in sorted(ways) for w in self.decode(way)[0].split() if len(w) > 1))
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         """(which word, restored words, document) of every word of ``texts``, spaced-out words in addition."""
         words, count = split_words(texts)
         coded = words.dictionary_encode()
-        restored = [self.word(w) for w in coded.dictionary.to_pylist()]
+        ids: dict[str, int] = {}
+        read = [[ids.setdefault(w, len(ids)) for w in self.readings(t)] for t in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, read), dtype=np.int64, count=len(read))
+        flat = np.fromiter((k for x in read for k in x), dtype=np.int64, count=int(sizes.sum()))
         which = coded.indices.to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(count)), count)
         single = pc.utf8_length(words).to_numpy(zero_copy_only=False) == 1
@@ -134,12 +149,12 @@ class Restorer:
         extra, owner = [], []
         for a, b in zip(np.flatnonzero(new), np.flatnonzero(last), strict=True):
             if b - a >= 3:
-                found = self.spaced(words.slice(a, b - a + 1).to_pylist())
-                if found:
-                    extra.append(len(restored))
-                    restored.append(found)
+                for found in self.spaced(words.slice(a, b - a + 1).to_pylist()):
+                    extra.append(ids.setdefault(found, len(ids)))
                     owner.append(doc[a])
-        return np.concatenate([which, np.asarray(extra, dtype=which.dtype)]), restored, np.concatenate([doc, np.asarray(owner, dtype=doc.dtype)])
+        times = sizes[which]
+        at = np.repeat((np.cumsum(sizes) - sizes)[which], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.concatenate([flat[at], np.asarray(extra, dtype=np.int64)]), list(ids), np.concatenate([np.repeat(doc, times), np.asarray(owner, dtype=doc.dtype)])
 
 
 def restorer(docs: DataFrame) -> Callable[[], Restorer]:

@@ -181,6 +181,17 @@ def test_spaced_letters_are_joined(reader):
     assert (0, "idiot") in spaced and (2, "stupid") in spaced and (1, "ab") not in spaced
 
 
+@pytest.mark.parametrize(("text", "hidden"), [
+    ("you are a i d i o t", {"idiot"}), ("s t u p i d i d i o t", {"stupid", "idiot"}), ("I h a t e", {"hate"}),
+    ("stupid,idiot", {"stupid", "idiot"}), ("idiot/moron", {"idiot", "moron"}), ("1d10t-stup1d", {"idiot", "stupid"}),
+])
+def test_words_in_a_row_are_read_apart(reader, text, hidden):
+    import pyarrow as pa
+
+    which, found, doc = reader.words(pa.array([text], pa.large_string()))
+    assert hidden <= {found[w] for w in which} and len(which) == len(doc)
+
+
 def test_decoding_is_the_best_path(reader):
     """Viterbi against all readings of short tokens."""
     import itertools
