@@ -38,7 +38,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 #: Log-probabilities of the channel: a character as it is, for another, for none; a run of letters shortened.
 SAME, OTHER, NONE, RUN = -0.05, -1.5, -1.0, -0.7
 SPLIT = -4.0  # a mark that may be a letter, between two words
-LONGEST = 64  # a longer token is no disguised word and stays as it is
+LONGEST = 64  # the reading of a longer token is not remembered
 ALPHABET = r"^[ a-z0-9ß-öø-ÿ]+$"  # at most 69 characters, so the decoder's trigram table is bounded
 ORDER = 3
 REMEMBERED = 200_000
@@ -83,22 +83,27 @@ class Restorer:
             edges.append(ways)
         return edges
 
-    def decode(self, token: str) -> tuple[str, float]:
+    def decode(self, token: str, edges: list[list[tuple[str, float]]] | None = None) -> tuple[str, float]:
         """The likeliest words behind ``token``, one space between, and their log-probability."""
-        best: dict[str, tuple[float, str]] = {" " * (ORDER - 1): (0.0, "")}
-        for ways in [*self.lattice(token), [(" ", 0.0)]]:
-            reached: dict[str, tuple[float, str]] = {}
-            for context, (score, word) in best.items():
+        # A state's way back is a chain of (what came before, output), so a token of any length takes linear time.
+        best: dict[str, tuple[float, tuple | None]] = {" " * (ORDER - 1): (0.0, None)}
+        for ways in [*(self.lattice(token) if edges is None else edges), [(" ", 0.0)]]:
+            reached: dict[str, tuple[float, tuple | None]] = {}
+            for context, (score, back) in best.items():
                 for out, channel in ways:
                     state, total = context, score + channel
                     for c in out:
                         total += self.step(state, c)
                         state = (state + c)[1 - ORDER:]
                     if state not in reached or total > reached[state][0]:
-                        reached[state] = (total, word + out)
+                        reached[state] = (total, (back, out))
             best = reached
-        score, word = max(best.values())
-        return " ".join(word.split()), score
+        score, back = max(best.values(), key=lambda x: x[0])
+        parts = []
+        while back is not None:
+            back, out = back
+            parts.append(out)
+        return " ".join("".join(reversed(parts)).split()), score
 
     def word(self, token: str) -> str:
         """The word (or words) that a token reads as: lower case, without marks around it, disguises undone."""
@@ -109,16 +114,27 @@ class Restorer:
             lone = len(low) - len(bare) <= 2 and any(c in LEET for c in low[:1] + low[-1:])
             plain = (LETTERS.fullmatch(bare) and not RUNS.search(bare) and not lone) or not bare
             found = bare
-            if not plain and len(low) <= LONGEST and sum(c.isalpha() for c in low) >= 2:
+            if not plain:
                 found = self.decode(low if lone else bare)[0]
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[token] = found
+            if len(token) <= LONGEST:
+                self.known[token] = found
         return found
 
+    def letters_only(self, token: str) -> str:
+        """The likeliest words behind ``token`` if every digit in it stands for a letter."""
+        edges = self.lattice(token)
+        return self.decode(token, [[w for w in ways if not w[0].isdigit()] or ways for ways in edges])[0]
+
     def readings(self, token: str) -> list[str]:
-        """The words that a token reads as, and its runs of letters as they are written if it is no plain word."""
+        """The words that a token reads as, and its runs of letters as they are written if it is no plain word.
+
+        Letters and digits that read as a word with digits are also read as letters alone.
+        """
         found, parts = self.word(token), LETTERS.findall(token.lower())
+        if parts and any(c.isdigit() for c in found):
+            found += " " + self.letters_only(MARKS.sub("", token.lower()))
         return list(dict.fromkeys([*found.split(), *(x for x in parts if len(x) > 1)])) or [""]
 
     def spaced(self, letters: list[str]) -> list[str]:
@@ -128,8 +144,6 @@ class Restorer:
         so the run is also read without them.
         """
         joined = " ".join(x.lower() for x in letters)
-        if len(joined) > LONGEST:
-            return []
         ways = {joined, joined[2:], joined[:-2], joined[2:-2]}
         return list(dict.fromkeys(w for way in sorted(ways) for w in self.decode(way)[0].split() if len(w) > 1))
 
@@ -148,7 +162,7 @@ class Restorer:
         last = single & ~np.concatenate([single[1:] & (doc[1:] == doc[:-1]), [False]]) if len(doc) else single
         extra, owner = [], []
         for a, b in zip(np.flatnonzero(new), np.flatnonzero(last), strict=True):
-            if b - a >= 3:
+            if b > a:
                 for found in self.spaced(words.slice(a, b - a + 1).to_pylist()):
                     extra.append(ids.setdefault(found, len(ids)))
                     owner.append(doc[a])

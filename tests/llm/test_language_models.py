@@ -192,6 +192,16 @@ def test_words_in_a_row_are_read_apart(reader, text, hidden):
     assert hidden <= {found[w] for w in which} and len(which) == len(doc)
 
 
+@pytest.mark.parametrize(("text", "hidden"), [
+    ("s t u p i d " * 400, "stupid"), (".".join("stupid" * 20), "stupid"), ("1d107", "idiot"),
+])
+def test_disguises_of_any_length_are_read(reader, text, hidden):
+    import pyarrow as pa
+
+    which, found, _ = reader.words(pa.array([text], pa.large_string()))
+    assert hidden in {found[w] for w in which}
+
+
 def test_decoding_is_the_best_path(reader):
     """Viterbi against all readings of short tokens."""
     import itertools
