@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewise.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from pacewise.llm import (bloom_lm, chat, collocations, exact_dedup, mixing, packing, quality, sharding, simhash_dedup, spelling, substring_dedup,
+                          token_counts, toxicity)
 from pacewise.llm.common import table
 from pacewise.session import scratch_path
 
@@ -89,6 +90,18 @@ def op10_prefix_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_examples(turns.unionByName(probe)))
 
 
+def op11_fm_index_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_bloom_filter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.language_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_pigeonhole_simhash": op2_pigeonhole_simhash,
@@ -100,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_super_kmer_dedup": op8_super_kmer_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_prefix_chat": op10_prefix_chat,
+    "op11_fm_index_collocations": op11_fm_index_collocations,
+    "op12_spelling_composition": op12_spelling_composition,
+    "op13_bloom_filter_scores": op13_bloom_filter_scores,
 }
 
 ORACLE: dict[str, str] = {
@@ -159,5 +175,37 @@ SELECT conv_id, count(*) AS n_turns,
        (coalesce(sum(stop) FILTER (role = 'assistant'), 0) + coalesce(sum(stop) FILTER (back = 1 AND role <> 'assistant'), 0))::BIGINT
          AS formatted_chars
 FROM ends GROUP BY conv_id
+""",
+    "op11_fm_index_collocations": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT d, lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM texts),
+numbered AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+words AS (SELECT p, lang, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM numbered),
+runs AS (
+  SELECT lang, w AS w1, lead(w) OVER piece AS w2, lead(w, 2) OVER piece AS w3 FROM words WINDOW piece AS (PARTITION BY p ORDER BY i)),
+one AS (SELECT lang, w1, count(*) AS f FROM runs GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+inside AS (
+  SELECT lang, w1, w2, max(f) AS longer
+  FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, 1 AS k, t.f AS a, x.f AS l, y.f AS r
+  FROM two t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one y ON y.lang = t.lang AND y.w1 = t.w2
+  LEFT JOIN inside i ON i.lang = t.lang AND i.w1 = t.w1 AND i.w2 = t.w2
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * t.f
+  UNION ALL
+  SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), 1, t.f, x.f, y.f
+  FROM three t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), 2, t.f, x.f, y.f
+  FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.w1 = t.w3),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, (SELECT sum(f) FROM one o WHERE o.lang = ranked.lang)::BIGINT AS n, score
+FROM ranked WHERE rank <= 2000
 """,
 }
