@@ -40,7 +40,7 @@ BASE = 1.1
 ENTRY_BITS = 10
 PROBES = 7
 BROADCAST_BYTES = 192 << 20
-#: Text of one slice, and text whose n-grams share a segment.
+#: Text of one slice, and text whose n-grams share a segment (and whose words share a bucket).
 SLICE_BYTES = 4 << 20
 SEGMENT_CHARS = 16 << 20
 #: N-grams are told apart by so many bits within their segment.
@@ -80,7 +80,7 @@ class Slice:
         return out, place
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     return np.fromiter((xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
@@ -173,25 +173,32 @@ def in_test(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
 
-SLICE = "slice bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<bigint>, ids binary, words array<string>, times array<bigint>"
-BLOCK = "segment bigint, n bigint, size bigint, block binary"
+SLICE = "slice bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<bigint>, ids binary, words binary, n_words bigint"
 
 
-def encode(docs: DataFrame, segments: int, order: int = ORDER) -> DataFrame:
-    """Rows of two kinds over ``docs`` (doc_id, text, held_out).
+def zipped(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd").compress(raw, asbytes=True) if raw else b"")
+
+
+def unzipped(block: bytes) -> bytes:
+    size = int.from_bytes(block[:8], "little")
+    return pa.Codec("zstd").decompress(block[8:], size, asbytes=True) if size else b""
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    One row per slice of texts (word numbers, distinct words and how often each
-    occurs in training texts), and blocks of training n-grams (segment, residuals
-    and counts). Slices are numbered by task; the table is to be staged.
-    """
 
-    def batch(**given: object) -> pa.RecordBatch:
-        kinds = {"slice": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()),
-                 "ids": pa.binary(), "words": pa.list_(pa.string()), "times": pa.list_(pa.int64()),
-                 "segment": pa.int64(), "n": pa.int64(), "size": pa.int64(), "block": pa.binary()}
-        rows = len(next(iter(given.values())))
-        return pa.RecordBatch.from_arrays([pa.array(given[x], kind) if x in given else pa.nulls(rows, kind) for x, kind in kinds.items()],
-                                          names=list(kinds))
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
+def encode(docs: DataFrame) -> DataFrame:
+    """One row per slice of ``docs`` (doc_id, text, held_out): the texts as numbers of the slice's distinct words.
+
+    Slices are numbered by task; the table is to be staged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -207,38 +214,98 @@ def encode(docs: DataFrame, segments: int, order: int = ORDER) -> DataFrame:
                 words, size = split_words(pc.ascii_lower(texts.slice(a, b - a)))
                 coded = words.dictionary_encode()
                 spelled, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-                learnt = ~own.column(2).slice(a, b - a).to_numpy(zero_copy_only=False)
-                times = np.bincount(ids[np.repeat(learnt, size)], minlength=len(spelled))
-                yield batch(slice=[number], doc_ids=[own.column(0).slice(a, b - a).to_pylist()], held_out=[(~learnt).tolist()],
-                            sizes=[size.tolist()], ids=[pa.Codec("zstd").compress(ids.astype("<u4").tobytes(), asbytes=True)],
-                            words=[spelled], times=[times.tolist()])
+                yield pa.RecordBatch.from_pydict({
+                    "slice": [number], "doc_ids": [own.column(0).slice(a, b - a).to_pylist()], "held_out": [own.column(2).slice(a, b - a).to_pylist()],
+                    "sizes": [size.tolist()], "ids": [zipped(planes(ids))], "words": [zipped(" ".join(spelled).encode())], "n_words": [len(spelled)],
+                }, schema=pa.schema([("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+                                     ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()), ("words", pa.binary()), ("n_words", pa.int64())]))
                 number += 1
-                hashed, place = Slice(ids[np.repeat(learnt, size)], size[learnt], word_hashes(spelled)).run()
-                grams = np.concatenate([gram_hashes(hashed, place, n)[1] for n in range(1, order + 1)])
-                h, count = np.unique(grams, return_counts=True)
-                at, found, ends, residual = by_segment(h, segments)
-                parts = [pack_residuals(residual[x:y], count[at[x:y]]) for x, y in zip(ends, ends[1:], strict=False)]
-                if parts:
-                    yield batch(segment=found, n=np.diff(ends), size=[x[0] for x in parts], block=[x[1] for x in parts])
 
-    return text_session(docs).select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, f"{SLICE}, {BLOCK}")
+    return text_session(docs).select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, SLICE)
 
 
-def open_slice(row: dict) -> Slice:
-    size = np.asarray(row["sizes"], dtype=np.int64)
-    ids = np.frombuffer(pa.Codec("zstd").decompress(row["ids"], 4 * int(size.sum()), asbytes=True), dtype="<u4").astype(np.int64)
-    return Slice(ids, size, word_hashes(row["words"]))
+def open_slice(row: dict) -> tuple[Slice, list[bytes]]:
+    """A slice and its words (a word has no space)."""
+    words = unzipped(row["words"]).split(b" ") if row["n_words"] else []
+    return Slice(from_planes(unzipped(row["ids"])), np.asarray(row["sizes"], dtype=np.int64), word_hashes(words)), words
 
 
-def filter_segments(blocks: DataFrame) -> DataFrame:
-    """(segment, filter) of blocks (segment, n, size, block)."""
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Slice, list[bytes]]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield row, *open_slice(row)
+
+
+def learnt(row: dict, texts: Slice) -> Slice:
+    """The training texts of a slice."""
+    kept = ~np.asarray(row["held_out"], dtype=bool)
+    return Slice(texts.ids[np.repeat(kept, texts.size)], texts.size[kept], texts.hashed)
+
+
+def buckets_of(hashed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers by bucket, the buckets that occur, and where each begins and ends."""
+    to = (mix64(hashed * MIX) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-2))
+    return order, to[order][cuts[:-1]], cuts
+
+
+def word_totals(slices: DataFrame, buckets: int) -> DataFrame:
+    """(slice, bucket, counts): the training counts of each slice's words, summed over all slices.
+
+    A slice's words go to buckets with their counts in the slice; a bucket adds up
+    and answers every slice. Each bucket has one more row, without slice, with
+    ``tokens`` and ``types``, the sum and the number of its counts.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, texts, words in opened(batches):
+            times = np.bincount(learnt(row, texts).ids, minlength=len(words))
+            order, found, cuts = buckets_of(texts.hashed, buckets)
+            parts = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            if parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["slice"]] * len(parts), pa.int64()), pa.array(found), pa.array([zipped(b" ".join([words[i] for i in x])) for x in parts], pa.binary()),
+                     pa.array([zipped(planes(times[x])) for x in parts], pa.binary())], names=["slice", "bucket", "words", "times"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        spelled = pa.array([unzipped(x.as_py()).decode() for x in table["words"]], pa.large_string())
+        words = pc.split_pattern(spelled, " ")
+        ids = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        total = np.bincount(ids, weights=np.concatenate([from_planes(unzipped(x.as_py())) for x in table["times"]])).astype(np.int64)
+        ends = words.offsets.to_numpy() - words.offsets.to_numpy()[0]
+        bucket = table["bucket"][0].as_py()
+        rows = [(x, bucket, zipped(total[ids[a:b]].astype("<i8").tobytes()), None, None)
+                for x, a, b in zip(table["slice"].to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False)]
+        rows.append((None, bucket, None, int(total.sum()), int((total > 0).sum())))
+        kinds = [("slice", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())]
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], names=[x for x, _ in kinds])
+
+    sent = slices.mapInArrow(send, "slice bigint, bucket bigint, words binary, times binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "slice bigint, bucket bigint, counts binary, tokens bigint, types bigint")
+
+
+def filter_segments(slices: DataFrame, segments: int, order: int = ORDER) -> DataFrame:
+    """(segment, filter) of the training n-grams of 1 to ``order`` tokens."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, texts, _ in opened(batches):
+            run, place = learnt(row, texts).run()
+            h, count = np.unique(np.concatenate([gram_hashes(run, place, n)[1] for n in range(1, order + 1)]), return_counts=True)
+            at, found, ends, residual = by_segment(h, segments)
+            parts = [pack_residuals(residual[x:y], count[at[x:y]]) for x, y in zip(ends, ends[1:], strict=False)]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.diff(ends)), pa.array([x[0] for x in parts], pa.int64()),
+                                                  pa.array([x[1] for x in parts], pa.binary())], names=["segment", "n", "size", "block"])
 
     def build(table: pa.Table) -> pa.Table:
-        opened = [open_residuals(*row) for row in zip(*(table[c].to_pylist() for c in ("n", "size", "block")), strict=True)]
-        made = build_segment(np.concatenate([x[0] for x in opened]), np.concatenate([x[1] for x in opened]))
+        blocks = [open_residuals(*row) for row in zip(*(table[c].to_pylist() for c in ("n", "size", "block")), strict=True)]
+        made = build_segment(np.concatenate([x[0] for x in blocks]), np.concatenate([x[1] for x in blocks]))
         return pa.table({"segment": table["segment"].slice(0, 1), "filter": pa.array([made.tobytes()], pa.binary())})
 
-    return blocks.groupBy("segment").applyInArrow(build, "segment bigint, filter binary")
+    sent = slices.mapInArrow(send, "segment bigint, n bigint, size bigint, block binary")
+    return sent.groupBy("segment").applyInArrow(build, "segment bigint, filter binary")
 
 
 Levels = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
@@ -269,18 +336,17 @@ def routed_levels(slices: DataFrame, segments: DataFrame, count: int, order: int
     """(slice, n_gram, segment, levels): the levels of every slice's distinct n-grams, read where their segment lies."""
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                run, place = open_slice(row).run()
-                for n in range(1, order + 1):
-                    _, found, ends, residual = by_segment(np.unique(gram_hashes(run, place, n)[1]), count)
-                    parts = [pack_residuals(residual[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-                    k = len(parts)
-                    if k:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([row["slice"]] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(found), pa.array(np.diff(ends)),
-                             pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.binary())],
-                            names=["slice", "n_gram", "segment", "n", "size", "block"])
+        for row, texts, _ in opened(batches):
+            run, place = texts.run()
+            for n in range(1, order + 1):
+                _, found, ends, residual = by_segment(np.unique(gram_hashes(run, place, n)[1]), count)
+                parts = [pack_residuals(residual[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                k = len(parts)
+                if k:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["slice"]] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(found), pa.array(np.diff(ends)),
+                         pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.binary())],
+                        names=["slice", "n_gram", "segment", "n", "size", "block"])
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         levels = []
@@ -292,7 +358,7 @@ def routed_levels(slices: DataFrame, segments: DataFrame, count: int, order: int
             levels.append(level.astype("<u2").tobytes())
         return pa.table({"slice": asked["slice"], "n_gram": asked["n_gram"], "segment": asked["segment"], "levels": pa.array(levels, pa.binary())})
 
-    sent = slices.select("slice", "sizes", "ids", "words").mapInArrow(
+    sent = slices.mapInArrow(
         probes, "slice bigint, n_gram bigint, segment bigint, n bigint, size bigint, block binary")
     return sent.groupBy("segment").cogroup(segments.groupBy("segment")).applyInArrow(
         answer, "slice bigint, n_gram bigint, segment bigint, levels binary")
@@ -312,16 +378,12 @@ def language_scores(docs: DataFrame, order: int = ORDER, broadcast_bytes: int =
     rows = docs.select("doc_id", "text", in_test(F.col("doc_id")).alias("held_out"))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count_if(~F.col("held_out")).alias("learnt")).first()
     segments = 1 + total["chars"] // segment_chars
-    coded = stage(encode(rows, segments, order), "coded-slices")
-    slices = coded.where("slice IS NOT NULL").select("slice", "doc_ids", "held_out", "sizes", "ids", "words")
-    filters = stage(filter_segments(coded.where("segment IS NOT NULL").select("segment", "n", "size", "block")), "filter-segments")
-
-    spelled = coded.where("slice IS NOT NULL").select("slice", F.posexplode(F.arrays_zip("words", "times"))).select(
-        "slice", F.col("pos").cast("long").alias("pos"), F.col("col.words").alias("word"), F.col("col.times").alias("times"))
-    counted = stage(spelled.where("times > 0").groupBy("word").agg(F.sum("times").alias("c")), "word-counts")
-    sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types")).first()
+    slices = stage(encode(rows), "coded-slices")
+    filters = stage(filter_segments(slices, segments, order), "filter-segments")
+    totals = stage(word_totals(slices, segments), "word-totals")
+    sums = totals.where("slice IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
     tokens, types = sums["tokens"] + total["learnt"], sums["types"] + (total["learnt"] > 0)
-    known = spelled.select("slice", "pos", "word").join(counted, "word").select("slice", "pos", "c")
+    added = totals.where("slice IS NOT NULL").select(F.col("slice").alias("of"), "bucket", "counts")
 
     held = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
     if held <= broadcast_bytes:
@@ -329,30 +391,34 @@ def language_scores(docs: DataFrame, order: int = ORDER, broadcast_bytes: int =
         for row in filters.toArrow().to_pylist():
             parts[row["segment"]] = np.frombuffer(row["filter"], dtype=np.uint8)
         shared = spark.sparkContext.broadcast(LogFrequencyFilter(parts))
-        added = known.select("slice", "pos", "c", *(F.lit(None).cast(t).alias(x) for x, t in (("n_gram", "long"), ("segment", "long"), ("levels", "binary"))))
+        added = added.select("*", F.lit(None).cast("long").alias("n_gram"), F.lit(None).cast("long").alias("segment"), F.lit(None).cast("binary").alias("levels"))
     else:
         shared = None
-        read = routed_levels(slices, filters, segments, order)
-        added = known.unionByName(read, allowMissingColumns=True)
+        added = added.unionByName(routed_levels(slices, filters, segments, order).withColumnRenamed("slice", "of"), allowMissingColumns=True)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return pa.table({x: pa.array([], t) for x, t in zip(names, kinds, strict=True)})
         row = left.to_pylist()[0]
-        texts = open_slice(row)
-        found = right.filter(pc.is_valid(right["pos"]))
+        texts, _ = open_slice(row)
         c = np.zeros(len(texts.hashed), dtype=np.int64)
-        c[found["pos"].to_numpy()] = found["c"].to_numpy()
-        answers = {(x["n_gram"], x["segment"]): np.frombuffer(x["levels"], dtype="<u2")
-                   for x in right.filter(pc.is_valid(right["levels"])).select(["n_gram", "segment", "levels"]).to_pylist()}
+        answers, counts = {}, {}
+        for x in right.to_pylist():
+            if x["counts"] is not None:
+                counts[x["bucket"]] = np.frombuffer(unzipped(x["counts"]), dtype="<i8")
+            else:
+                answers[x["n_gram"], x["segment"]] = np.frombuffer(x["levels"], dtype="<u2")
+        at, present, _ = buckets_of(texts.hashed, segments)
+        if len(at):
+            c[at] = np.concatenate([counts[x] for x in present.tolist()])
 
         def levels(n: int, h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
             out = np.zeros(len(h), dtype=np.int64)
             if shared is not None:
                 out[wanted] = shared.value.levels(*split_hash(h[wanted], segments))
             elif len(h):
-                at, present, _, _ = by_segment(h, segments)
-                out[at] = np.concatenate([answers[n, x] for x in present.tolist()])
+                order_of, asked, _, _ = by_segment(h, segments)
+                out[order_of] = np.concatenate([answers[n, x] for x in asked.tolist()])
             return out
 
         owner = np.repeat(np.arange(len(texts.size)), texts.size)
@@ -364,6 +430,5 @@ def language_scores(docs: DataFrame, order: int = ORDER, broadcast_bytes: int =
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    added = added.withColumn("of", F.col("slice") + 0).drop("slice")  # both sides stem from one table
     return slices.groupBy("slice").cogroup(added.groupBy("of")).applyInArrow(
         score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
