@@ -87,6 +87,22 @@ def test_word_index_counts_and_extensions():
         set(zip(*(w.tolist() for w in again.words), again.low.tolist(), again.reverse_low.tolist(), again.size.tolist()))
 
 
+def test_word_bits_hold_every_word(spark, monkeypatch):
+    hashed = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 60_000, dtype=np.int64)
+    frame = spark.createDataFrame([(int(x),) for x in hashed], "hash bigint")
+    other = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 60_000, dtype=np.int64)
+
+    def found(bits, x):
+        at = x.view(np.uint64) % np.uint64(8 * len(bits))
+        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    bits = collocations.word_bits(frame)
+    assert found(bits, hashed).all() and found(bits, other).mean() < 0.1
+    monkeypatch.setattr(collocations, "FILTER_BYTES", 5_000)  # full: other words pass too, none is lost
+    small = collocations.word_bits(frame)
+    assert len(small) == 5_000 and found(small, hashed).all()
+
+
 def test_blocks_of_many_words_and_the_wide_key(monkeypatch):
     import pyarrow as pa
 
