@@ -37,8 +37,9 @@ ORDER = 2
 PRIOR = 300.0
 #: Each level's least count is about so many times the one below.
 BASE = 1.1
-ENTRY_BITS = 10
-PROBES = 7
+#: Bits an entry, of which it sets (up to) MARKS in one 64-bit word.
+ENTRY_BITS = 11
+MARKS = 5
 BROADCAST_BYTES = 192 << 20
 #: Text of one slice, and text whose n-grams share a segment (and whose words share a bucket).
 SLICE_BYTES = 4 << 20
@@ -123,49 +124,50 @@ def open_residuals(n: int, size: int, block: bytes, counted: bool = True) -> tup
     return np.cumsum(planes.view("<u8")[:, 0], dtype=np.uint64), np.frombuffer(raw, dtype="<u4", count=n if counted else 0, offset=width * n)
 
 
-def positions(residual: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and stride of an entry's bits, before the remainder by a segment's size."""
-    first = mix64(residual * MIX + np.uint64(level))
-    return first >> np.uint64(1), mix64(first) >> np.uint64(33) | np.uint64(1)
+def places(residual: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """An entry's word, before the remainder by a segment's size, and its marks in it: a membership probe reads one word."""
+    word = mix64(residual * MIX + np.uint64(level))
+    more, marks = mix64(word), np.zeros(len(residual), dtype=np.uint64)
+    for k in range(MARKS):
+        marks |= np.uint64(1) << (more >> np.uint64(6 * k) & np.uint64(63))
+    return word, marks
 
 
 def build_segment(residual: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The bytes of a filter with every n-gram (residuals may repeat) at the level of its summed count."""
+    """The words of a filter with every n-gram (residuals may repeat) at the level of its summed count."""
     order = np.argsort(residual)
     first = np.flatnonzero(np.diff(residual[order], prepend=np.uint64(1 << 63)) != 0)
     residual, total = residual[order][first], np.add.reduceat(count[order].astype(np.int64), first)
     level = np.searchsorted(LEAST, total, side="right") - 1
-    bits = 64 + 8 * int(level.sum() * ENTRY_BITS // 8)
-    marked = np.zeros(bits, dtype=bool)
+    out = np.zeros(1 + int(level.sum()) * ENTRY_BITS // 64, dtype=np.uint64)
     for j in range(1, int(level.max(initial=0)) + 1):
-        start, stride = positions(residual[level >= j], j)
-        for k in range(PROBES):
-            marked[(start + np.uint64(k) * stride) % np.uint64(bits)] = True
-    return np.packbits(marked, bitorder="little")
+        word, marks = places(residual[level >= j], j)
+        np.bitwise_or.at(out, (word % np.uint64(len(out))).astype(np.int64), marks)
+    return out
 
 
 class LogFrequencyFilter:
-    """Segments of a filter as one array; ``segment[i]`` begins at byte ``begin[i]`` and has ``bits[i]`` bits."""
+    """Segments of a filter as one array of words; ``segment[i]`` begins at ``begin[i]`` and has ``size[i]`` words."""
 
-    def __init__(self, parts: list[np.ndarray]) -> None:
-        sizes = np.asarray([len(x) for x in parts], dtype=np.int64)
-        self.begin, self.bits = (np.cumsum(sizes) - sizes).astype(np.uint64), (8 * sizes).astype(np.uint64)
-        self.data = np.concatenate(parts)
+    def __init__(self, sizes: np.ndarray) -> None:
+        self.begin, self.size = (np.cumsum(sizes) - sizes).astype(np.uint64), sizes.astype(np.uint64)
+        self.words = np.zeros(int(sizes.sum()), dtype="<u8")
+
+    def put(self, segment: int, words: bytes) -> None:
+        at = int(self.begin[segment])
+        self.words[at:at + len(words) // 8] = np.frombuffer(words, dtype="<u8")
 
     def levels(self, segment: np.ndarray, residual: np.ndarray) -> np.ndarray:
         """The highest level up to which all entries of an n-gram are found, by probing one level after the other."""
-        out, todo, j = np.zeros(len(residual), dtype=np.int64), np.arange(len(residual)), 0
-        while len(todo):
-            j += 1
-            start, stride = positions(residual[todo], j)
-            begin, bits = self.begin[segment[todo]], self.bits[segment[todo]]
-            for k in range(PROBES):
-                at = (start + np.uint64(k) * stride) % bits
-                there = (self.data[begin + (at >> np.uint64(3))] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-                todo, start, stride, begin, bits = (x[there] for x in (todo, start, stride, begin, bits))
-            out[todo] = j
-            if j == len(LEAST) - 1:
+        out, todo = np.zeros(len(residual), dtype=np.int64), np.arange(len(residual))
+        begin, size = self.begin[segment], self.size[segment]
+        for j in range(1, len(LEAST)):
+            word, marks = places(residual, j)
+            there = self.words[begin + word % size] & marks == marks
+            todo, residual, begin, size = (x[there] for x in (todo, residual, begin, size))
+            if not len(todo):
                 break
+            out[todo] = j
         return out
 
 
@@ -351,7 +353,9 @@ def routed_levels(slices: DataFrame, segments: DataFrame, count: int, order: int
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         levels = []
         if len(held):
-            own = LogFrequencyFilter([np.frombuffer(held["filter"][0].as_py(), dtype=np.uint8)])
+            words = held["filter"][0].as_py()
+            own = LogFrequencyFilter(np.asarray([len(words) // 8]))
+            own.put(0, words)
         for n, size, block in zip(*(asked[c].to_pylist() for c in ("n", "size", "block")), strict=True):
             residual = open_residuals(n, size, block, counted=False)[0]
             level = own.levels(np.zeros(n, dtype=np.int64), residual) if len(held) else np.zeros(n, dtype=np.int64)
@@ -387,10 +391,13 @@ def language_scores(docs: DataFrame, order: int = ORDER, broadcast_bytes: int =
 
     held = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
     if held <= broadcast_bytes:
-        parts = [np.zeros(8, dtype=np.uint8)] * segments
-        for row in filters.toArrow().to_pylist():
-            parts[row["segment"]] = np.frombuffer(row["filter"], dtype=np.uint8)
-        shared = spark.sparkContext.broadcast(LogFrequencyFilter(parts))
+        sizes = np.ones(segments, dtype=np.int64)  # a segment without entries is an empty word
+        for row in filters.select("segment", (F.length("filter") / 8).cast("long").alias("words")).collect():
+            sizes[row["segment"]] = row["words"]
+        whole = LogFrequencyFilter(sizes)
+        for row in filters.toLocalIterator():  # broadcast_bytes in all, a part at a time
+            whole.put(row["segment"], bytes(row["filter"]))
+        shared = spark.sparkContext.broadcast(whole)
         added = added.select("*", F.lit(None).cast("long").alias("n_gram"), F.lit(None).cast("long").alias("segment"), F.lit(None).cast("binary").alias("levels"))
     else:
         shared = None
