@@ -87,20 +87,22 @@ def test_word_index_counts_and_extensions():
         set(zip(*(w.tolist() for w in again.words), again.low.tolist(), again.reverse_low.tolist(), again.size.tolist()))
 
 
-def test_word_bits_hold_every_word(spark, monkeypatch):
+def test_hash_bits_hold_every_hash(spark, monkeypatch):
     hashed = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 60_000, dtype=np.int64)
     frame = spark.createDataFrame([(int(x),) for x in hashed], "hash bigint")
     other = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 60_000, dtype=np.int64)
+    bits = collocations.hash_bits(frame, 16)
+    assert collocations.has_bit(bits, hashed.view(np.uint64)).all() and collocations.has_bit(bits, other.view(np.uint64)).mean() < 0.1
+    monkeypatch.setattr(collocations, "FILTER_BYTES", 5_000)  # full: others pass too, none is lost
+    small = collocations.hash_bits(frame, 16)
+    assert len(small) == 5_000 and collocations.has_bit(small, hashed.view(np.uint64)).all()
 
-    def found(bits, x):
-        at = x.view(np.uint64) % np.uint64(8 * len(bits))
-        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    bits = collocations.word_bits(frame)
-    assert found(bits, hashed).all() and found(bits, other).mean() < 0.1
-    monkeypatch.setattr(collocations, "FILTER_BYTES", 5_000)  # full: other words pass too, none is lost
-    small = collocations.word_bits(frame)
-    assert len(small) == 5_000 and found(small, hashed).all()
+def test_full_tables_change_no_result(spark, monkeypatch):
+    rows = given(spark, "documents", SF)
+    monkeypatch.setattr(collocations, "FILTER_BYTES", 64)
+    found = {tuple(r) for r in collocations.collocations(rows, least=5, top=50).collect()}
+    assert found == brute_collocations(rows_of(rows), least=5, top=50)
 
 
 def test_blocks_of_many_words_and_the_wide_key(monkeypatch):
@@ -265,7 +267,9 @@ def test_filter_levels_and_false_positives():
     h = rng.integers(0, 1 << 63, 40_000, dtype=np.int64).view(np.uint64)
     count = np.minimum(rng.zipf(1.6, 40_000), 10**9)
     _, residual = bloom_lm.split_hash(h, 1)
-    made = bloom_lm.LogFrequencyFilter([bloom_lm.build_segment(np.concatenate([residual, residual]), np.concatenate([count, count]))])
+    words = bloom_lm.build_segment(np.concatenate([residual, residual]), np.concatenate([count, count]))
+    made = bloom_lm.LogFrequencyFilter(np.asarray([len(words)]))
+    made.put(0, words.tobytes())
     level = made.levels(np.zeros(len(h), dtype=np.int64), residual)
     low, high = bloom_lm.LEAST[level], bloom_lm.MOST[level]
     assert (high >= 2 * count).all() and (low <= 2 * count).mean() > 0.98  # never too low; a false positive may raise it
