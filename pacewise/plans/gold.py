@@ -88,6 +88,11 @@ def delivery_totals(delivery: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFra
         F.sum("zero_rows").alias("zero_delivery_days"),
         F.sum("suspicious_rows").alias("suspicious_ctr_days"),
     )
+    return totals_columns(agg)
+
+
+def totals_columns(agg: DataFrame) -> DataFrame:
+    """Sums and averages per campaign from exact partial sums."""
     return agg.select(
         "campaign_id",
         "days_with_delivery",
@@ -116,9 +121,13 @@ CAMPAIGN_PERF_DIMS = ["campaign_id", "campaign_name", "brand", "brand_code", "pr
 
 def campaign_performance(campaigns: DataFrame, delivery: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
     """G-01: per-campaign delivery, pacing, alert priority and forecast."""
-    d = delivery_totals(delivery, as_of)
+    return performance_of_totals(campaigns, delivery_totals(delivery, as_of), as_of)
+
+
+def performance_of_totals(campaigns: DataFrame, totals: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
+    """``campaign_performance`` from the columns of ``delivery_totals``."""
     c = campaigns.select(*CAMPAIGN_PERF_DIMS)
-    j = c.join(d, "campaign_id", "left")
+    j = c.join(totals, "campaign_id", "left")
     today = as_of_date(as_of)
     imp = F.coalesce(F.col("total_impressions"), F.lit(0).cast("long"))
     spend = F.coalesce(F.col("total_spend"), F.lit(0.0))

@@ -244,8 +244,13 @@ def stream_ingest_incremental_job(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(sink).drop("ship_year", "_source_file_path")
 
 
+def _land_years(spark: SparkSession, years: list[str], landing: str) -> None:
+    for y in years:
+        spark.read.parquet(y).write.mode("append").parquet(f"{landing}/{y.rsplit('/', 1)[1]}")
+
+
 def stream_delivery_refresh_job(spark: SparkSession, sf: str) -> DataFrame:
-    """X-03: hourly refresh — stream into bronze, silver for the touched days, then campaign pacing."""
+    """X-03: hourly refresh — stream into bronze, silver for the touched days, then campaign pacing over the silver table."""
     from pacewise.plans import gold
 
     src, schema = _land_delivery(spark, sf, "refresh-source")
@@ -255,20 +260,24 @@ def stream_delivery_refresh_job(spark: SparkSession, sf: str) -> DataFrame:
     half = max(1, len(years) // 2)
     schema = schema.add("ship_year", T.IntegerType())
     for chunk in (years[:half], years[half:]):
-        for y in chunk:
-            spark.read.parquet(y).write.mode("append").parquet(f"{landing}/{y.rsplit('/', 1)[1]}")
+        _land_years(spark, chunk, landing)
         ingest.refresh_delivery(spark, landing, schema, bronze, silver, ckpt)
     s = ingest.read_delivery(spark, silver)
     return gold.campaign_performance(clean.silver_campaigns(b.campaigns_bronze(spark, sf), AS_OF), s, AS_OF)
 
 
 def hourly_refresh_job(spark: SparkSession, sf: str, out: str | None = None) -> DataFrame:
-    """L-02: the table-scoped hourly run over the delivery files landed so far."""
+    """L-02: the table-scoped hourly run, once over all delivery years but the last and once more when that has landed."""
     from pacewise.plans import pipeline
 
-    landing, schema = _land_delivery(spark, sf, "hourly-landing")
+    src, schema = _land_delivery(spark, sf, "hourly-source")
+    landing, out = scratch_path(spark, "hourly-landing"), out or scratch_path(spark, "hourly-run")
     campaigns = clean.silver_campaigns(b.campaigns_bronze(spark, sf), AS_OF)
-    return pipeline.run_hourly(spark, landing, schema.add("ship_year", T.IntegerType()), campaigns, out or scratch_path(spark, "hourly-run"))
+    years, schema = _years(spark, src), schema.add("ship_year", T.IntegerType())
+    for chunk in (years[:-1], years[-1:]):
+        _land_years(spark, chunk, landing)
+        performance = pipeline.run_hourly(spark, landing, schema, campaigns, out)
+    return performance
 
 
 def stream_conversion_dedup_job(spark: SparkSession, sf: str) -> DataFrame:

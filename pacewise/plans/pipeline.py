@@ -20,8 +20,9 @@ from pyspark.sql.types import StructType
 from pacewise.config import AS_OF
 from pacewise.functions.rules import QUALITY_SUITE, rules_for
 from pacewise.operators import clean, quality
-from pacewise.plans import gold
+from pacewise.plans import delta_gold, gold
 from pacewise.sources import bindings as b
+from pacewise.sources.steps import Steps
 from pacewise.streaming import ingest
 
 BRONZE = {"campaigns": b.campaigns_bronze, "delivery": b.delivery_bronze, "tickets": b.tickets_bronze,
@@ -66,13 +67,18 @@ def run_hourly(spark: SparkSession, landing: str, schema: StructType, campaigns:
                as_of: _dt.datetime = AS_OF) -> DataFrame:
     """L-02: the table-scoped hourly run — newly landed delivery files → touched days of silver → campaign pacing.
 
-    Bronze, silver and the stream's checkpoint live below ``out_dir``, so a run
-    handles only the files that landed since the last one.
+    Bronze, silver, the gold tables and the stream's checkpoint live below
+    ``out_dir``, so a run handles only the files that landed since the last one,
+    and gold follows from the changed days (``plans/delta_gold.py``).
     """
-    silver = f"{out_dir}/silver/delivery"
-    ingest.refresh_delivery(spark, landing, schema, f"{out_dir}/bronze/delivery", silver, f"{out_dir}/checkpoint", as_of)
-    performance = gold.campaign_performance(campaigns, ingest.read_delivery(spark, silver), as_of)
-    return _write(performance, f"{out_dir}/gold/campaign_performance")
+    silver, base = f"{out_dir}/silver/delivery", f"{out_dir}/gold/pacing"
+
+    def then(steps: Steps, days: list) -> None:
+        delta_gold.refresh_performance(spark, campaigns, base, as_of, delta_gold.refresh_totals(spark, steps, days, base))
+
+    ingest.refresh_delivery(spark, landing, schema, f"{out_dir}/bronze/delivery", silver, f"{out_dir}/checkpoint", as_of, then)
+    delta_gold.refresh_performance(spark, campaigns, base, as_of)
+    return delta_gold.read_performance(spark, base)
 
 
 def layer_counts(tables: dict[str, DataFrame]) -> DataFrame:

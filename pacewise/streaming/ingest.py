@@ -5,7 +5,8 @@
   what is there and stops; a rerun on the same checkpoint sees only new files.
 * ``refresh_delivery``: the hourly job. Each micro-batch is appended to
   bronze and merged into silver by day: only the batch's days and the days
-  where its keys lived are read and rewritten, by dynamic partition overwrite.
+  where its keys lived are read and rewritten. Each epoch keeps its steps
+  (``sources/steps.py``), so one that died is finished from its own copies.
 * ``dedup_events``: event-id dedup with a watermark, so dedup state is
   bounded by the watermark delay instead of growing forever.
 """
@@ -13,6 +14,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +23,9 @@ from pyspark.sql import types as T
 from pacewise.config import AS_OF
 from pacewise.operators.clean import delivery_order, silver_delivery
 from pacewise.operators.dedup import dedup_latest
-from pacewise.session import written_once
-from pacewise.sources.sinks import read_if_present, write_partitioned
+from pacewise.session import scratch_path
+from pacewise.sources.sinks import read_if_present
+from pacewise.sources.steps import Steps, replace_partitions
 
 
 def stream_files(spark: SparkSession, landing: str, schema: T.StructType, sink: str, checkpoint: str,
@@ -46,31 +49,45 @@ def stream_files(spark: SparkSession, landing: str, schema: T.StructType, sink:
 ORDER_COLUMNS = ["_src_partkey", "_src_suppkey"]
 
 
-def merge_delivery(spark: SparkSession, batch: DataFrame, silver: str, as_of: _dt.datetime = AS_OF) -> list:
+def key_days(spark: SparkSession, path: str) -> DataFrame:
+    """(delivery_id, delivery_date): the days on which keys live or have lived."""
+    return read_if_present(spark, path, "delivery_id string, delivery_date date")
+
+
+def merge_delivery(spark: SparkSession, batch: DataFrame, silver: str, as_of: _dt.datetime = AS_OF,
+                   steps: Steps | None = None) -> list:
     """Merge raw delivery rows into the silver table at ``silver``, partitioned by day; returns the days rewritten.
 
-    Touched are the batch's days and the days on which its keys live so far
-    (found by reading two columns). Their rows and the batch's are reduced to
-    the newest version per key and replace those days only; a day that loses
-    its last row to another is removed. The merged rows are written aside
-    first, because they are read from the days that they replace, and a merge
-    that died is simply run again: a key that is on two days is on touched days.
+    Touched are the batch's days and the days on which its keys have lived, which
+    a table of keys beside silver tells (appended to by every merge; a folder per
+    job). Their rows and the batch's are reduced to the newest version per key and
+    replace those days only; other days of silver are not read. A day that loses
+    its last row to another is removed. A merge that died is run again with the
+    same ``steps``: days, keys and merged rows come from its copies once they are
+    complete, so a half-replaced day is never read.
     """
-    new = written_once(silver_delivery(batch, as_of, keep_order=True), "silver-batch")
-    old = read_if_present(spark, silver, new.schema.simpleString()[7:-1].replace(":", " "))
-    held = old.select("delivery_id", "delivery_date").join(new.select("delivery_id"), "delivery_id", "left_semi")
-    days = [r[0] for r in held.select("delivery_date").union(new.select("delivery_date")).distinct().collect()]  # the calendar bounds them
-    known = [d for d in days if d is not None]
-    touched = F.col("delivery_date").isin(known)
-    if None in days:
-        touched = touched | F.col("delivery_date").isNull()
-    rows = old.where(touched).select(*new.columns).unionByName(new)
-    merged = written_once(dedup_latest(rows, "delivery_id", delivery_order()), "silver-merged")
-    write_partitioned(merged, silver, "delivery_date")
-    filled = {r[0] for r in merged.select("delivery_date").distinct().collect()}
-    for day in set(days) - filled:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{silver}/delivery_date={day or '__HIVE_DEFAULT_PARTITION__'}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    steps = steps or Steps(spark, scratch_path(spark, "merge"))
+    new = steps.table("batch", lambda: silver_delivery(batch, as_of, keep_order=True))
+    keys = f"{silver.rstrip('/')}-keys"
+
+    def touched_days() -> DataFrame:
+        ends = new.agg(F.min("delivery_id"), F.max("delivery_id")).first()
+        near = key_days(spark, keys).where(F.col("delivery_id").between(*ends)) if ends[0] is not None else key_days(spark, keys)
+        held = near.join(new.select("delivery_id"), "delivery_id", "left_semi")
+        return held.select("delivery_date").union(new.select("delivery_date")).distinct()
+
+    days = [r[0] for r in steps.table("days", touched_days).collect()]  # the calendar bounds them
+
+    def merged_rows() -> DataFrame:
+        old = read_if_present(spark, silver, new.schema.simpleString()[7:-1].replace(":", " "))
+        touched = F.col("delivery_date").isin([d for d in days if d is not None])
+        if None in days:
+            touched = touched | F.col("delivery_date").isNull()
+        return dedup_latest(old.where(touched).select(*new.columns).unionByName(new), "delivery_id", delivery_order())
+
+    merged = steps.table("merged", merged_rows)
+    new.select("delivery_id", "delivery_date").write.mode("overwrite").parquet(f"{keys}/_job={steps.folder.rsplit('/', 1)[1].replace('=', '-')}")
+    replace_partitions(merged, silver, "delivery_date", days)
     return days
 
 
@@ -80,14 +97,24 @@ def read_delivery(spark: SparkSession, silver: str) -> DataFrame:
 
 
 def refresh_delivery(spark: SparkSession, landing: str, schema: T.StructType, bronze: str, silver: str,
-                     checkpoint: str, as_of: _dt.datetime = AS_OF) -> None:
-    """Hourly refresh: newly landed delivery files → bronze (append) → silver for the touched days (overwrite)."""
+                     checkpoint: str, as_of: _dt.datetime = AS_OF, then: Callable[[Steps, list], None] | None = None) -> None:
+    """Hourly refresh: newly landed delivery files → bronze (append) → silver for the touched days (overwrite).
+
+    ``then(steps, days)`` goes on from an epoch's merge (``steps.folder`` has the
+    merged rows); it is repeated with the epoch if that dies.
+    """
 
     def process(batch: DataFrame, epoch_id: int) -> None:
+        steps = Steps(spark, f"{checkpoint.rstrip('/')}-steps/epoch={epoch_id}")
+        if steps.done():
+            return
         # One folder per epoch, overwritten: a replayed epoch rewrites the same rows instead of appending twice.
         folder = f"{bronze}/_epoch={epoch_id}"
         batch.write.mode("overwrite").parquet(folder)
-        merge_delivery(spark, spark.read.schema(batch.schema).parquet(folder), silver, as_of)
+        days = merge_delivery(spark, spark.read.schema(batch.schema).parquet(folder), silver, as_of, steps)
+        if then:
+            then(steps, days)
+        steps.finish()
 
     q = (spark.readStream.format("parquet").schema(schema).load(landing).writeStream
          .foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
