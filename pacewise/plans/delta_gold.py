@@ -2,7 +2,7 @@
 
 Below ``base`` lie three tables:
 
-* ``partials``, partitioned by day: exact sums per (campaign, day);
+* ``partials``, partitioned by month: exact sums per (campaign, day);
 * ``totals``, partitioned by bucket of the campaign: the sums of a campaign's
   partials, its number of days, its first and last day;
 * ``performance``, in the same buckets: the finished gold rows.
@@ -35,6 +35,7 @@ SUMS = ["impressions", "clicks", "spend", "vast_errors", "view_sum", "view_n", "
 PARTIALS = ("campaign_id string, impressions bigint, clicks bigint, spend decimal(28,2), vast_errors bigint, view_sum decimal(38,10), "
             "view_n bigint, cpm_sum decimal(38,10), cpm_n bigint, cpc_sum decimal(38,10), cpc_n bigint, zero_rows bigint, "
             "suspicious_rows bigint, delivery_date date")
+STORED_PARTIALS = PARTIALS + ", month string"
 TOTALS = ("campaign_id string, days bigint, impressions bigint, clicks bigint, spend decimal(38,2), vast_errors bigint, view_sum decimal(38,10), "
           "view_n bigint, cpm_sum decimal(38,10), cpm_n bigint, cpc_sum decimal(38,10), cpc_n bigint, zero_rows bigint, "
           "suspicious_rows bigint, first_day date, last_day date, bucket int")
@@ -53,9 +54,9 @@ def day_partials(delivery: DataFrame) -> DataFrame:
     return by_day.select("campaign_id", *[F.coalesce(F.col(c), F.lit(0)).cast(kinds[c]).alias(c) for c in SUMS], "delivery_date")
 
 
-def in_days(days: list) -> Column:
-    known = F.col("delivery_date").isin([d for d in days if d is not None])
-    return known | F.col("delivery_date").isNull() if None in days else known
+def among(column: str, values: list) -> Column:
+    known = F.col(column).isin([v for v in values if v is not None])
+    return F.coalesce(known, F.lit(None in values))
 
 
 def partial_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -97,7 +98,8 @@ def changed_totals(totals: DataFrame, changes: DataFrame, partials: DataFrame, b
 
 def finished(campaigns: DataFrame, totals: DataFrame, partials: DataFrame, as_of: _dt.datetime) -> DataFrame:
     """Gold rows of ``campaigns`` from their totals, and from the partials of the last days only."""
-    recent = partials.where(F.col("delivery_date") >= F.date_sub(as_of_date(as_of), RECENT_DAYS)).groupBy("campaign_id").agg(
+    since = F.date_sub(as_of_date(as_of), RECENT_DAYS)
+    recent = partials.where((F.col("delivery_date") >= since) & (F.col("month") >= F.date_format(since, "yyyy-MM"))).groupBy("campaign_id").agg(
         F.sum("impressions").alias("imp_7d"), F.sum("spend").alias("spend_7d_dec"), F.sum("clicks").alias("clicks_7d"))
     t = totals.join(recent, "campaign_id", "left")
     named = t.select(
@@ -114,13 +116,16 @@ def finished(campaigns: DataFrame, totals: DataFrame, partials: DataFrame, as_of
 def refresh_totals(spark: SparkSession, steps: Steps, days: list, base: str, buckets: int = BUCKETS) -> list[int]:
     """Carry the rewritten ``days`` (``steps`` has their merged rows) into partials and totals; returns the changed buckets."""
     merged = spark.read.parquet(f"{steps.folder}/merged")
-    new = steps.table("partials", lambda: day_partials(merged))
-    stored = f"{base}/partials"
-    changes = steps.table("changes", lambda: partial_changes(read_if_present(spark, stored, PARTIALS).where(in_days(days)), new))
-    replace_partitions(new, stored, "delivery_date", days)
+    new = steps.table("new-partials", lambda: day_partials(merged))
+    stored, months = f"{base}/partials", sorted({d and f"{d:%Y-%m}" for d in days}, key=str)
+    held = read_if_present(spark, stored, STORED_PARTIALS).where(among("month", months))
+    changes = steps.table("changes", lambda: partial_changes(held.where(among("delivery_date", days)), new))
+    kept = held.where(~among("delivery_date", days)).drop("month")
+    replace_partitions(steps.table("partials", lambda: kept.unionByName(new).withColumn("month", F.date_format("delivery_date", "yyyy-MM"))),
+                       stored, "month", months)
     changed = sorted(r[0] for r in changes.select(bucket_of("campaign_id", buckets)).distinct().collect())  # at most ``buckets``
-    held = lambda: read_if_present(spark, f"{base}/totals", TOTALS).where(F.col("bucket").isin(changed))
-    totals = steps.table("totals", lambda: changed_totals(held(), changes, read_if_present(spark, stored, PARTIALS), buckets))
+    before = read_if_present(spark, f"{base}/totals", TOTALS).where(F.col("bucket").isin(changed))
+    totals = steps.table("totals", lambda: changed_totals(before, changes, read_if_present(spark, stored, STORED_PARTIALS), buckets))
     replace_partitions(totals, f"{base}/totals", "bucket", changed)
     return changed
 
@@ -148,7 +153,7 @@ def refresh_performance(spark: SparkSession, campaigns: DataFrame, base: str, as
         own = F.col("bucket").isin(wanted)
         totals = read_if_present(spark, f"{base}/totals", TOTALS).where(own).drop("bucket")
         rows = finished(campaigns.join(here.where(own).select("campaign_id"), "campaign_id", "left_semi"), totals,
-                        read_if_present(spark, f"{base}/partials", PARTIALS), as_of)
+                        read_if_present(spark, f"{base}/partials", STORED_PARTIALS), as_of)
         rows = rows.withColumns({"_dims": dims, "bucket": bucket_of("campaign_id", buckets)})
         # Nothing that is read here is replaced, so a run that dies needs no copy: the next one finds the rows stale again.
         replace_partitions(written_once(rows, "finished-performance"), path, "bucket", wanted)
