@@ -92,16 +92,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1]
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete every folder that ``scratch_path`` gave out so far; call it once their results are no longer read.
+def scratch_given() -> int:
+    """How many folders ``scratch_path`` has given out and nothing has dropped: a mark for ``scratch_since``."""
+    return len(_SCRATCH)
+
+
+def scratch_since(mark: int) -> list[str]:
+    return _SCRATCH[mark:]
+
+
+def drop_scratch(spark: SparkSession, folders: list[str] | None = None) -> int:
+    """Delete ``folders`` of ``scratch_path``, or all that it gave out so far; call it once their results are no longer read.
 
     Returns the number of folders that existed. Goes through Hadoop's file
     system, so it reaches whatever store the checkpoint folder is in.
     """
     jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for folder in list(_SCRATCH if folders is None else folders):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         found += path.getFileSystem(conf).delete(path, True)
+        if folder in _SCRATCH:
+            _SCRATCH.remove(folder)
     return found
 
 
