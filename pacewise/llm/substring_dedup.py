@@ -39,7 +39,7 @@ HEAVY_ROWS = 20_000
 HEAVY_LIST = 65_536
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-RANGES = "doc_id bigint, start bigint, stop bigint"
+RANGES = "doc_id bigint, variant bigint, start bigint, stop bigint"
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -111,16 +111,16 @@ def super_kmers(texts: pa.Array, window: int = WINDOW, seed: int = SEED) -> Slic
     return Slice(words, doc, at, first[new], first[last] + window, mini[new])
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Slice]]:
-    """(doc_ids, slice) of (doc_id, text) batches, some megabytes of text at a time."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Slice]]:
+    """(doc_ids, variants, slice) of (doc_id, text, variant) batches, some megabytes of text at a time."""
     for batch in batches:
         texts = batch.column(1).cast(pa.large_string())
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, variants = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
         block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
-                yield ids[a:b], super_kmers(texts.slice(a, b - a))
+                yield ids[a:b], variants[a:b], super_kmers(texts.slice(a, b - a))
 
 
 def minimiser_load(docs: DataFrame) -> tuple[int, np.ndarray]:
@@ -132,7 +132,7 @@ def minimiser_load(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
-        for _, s in slices(batches):
+        for _, _, s in slices(batches):
             total += len(s.mini)
             mini, n = np.unique(s.mini, return_counts=True)
             often = n > 1
@@ -147,42 +147,42 @@ def minimiser_load(docs: DataFrame) -> tuple[int, np.ndarray]:
     return total, np.sort(np.asarray(heavy, dtype=np.int64).view(np.uint64))
 
 
-def pack_block(doc: np.ndarray, start: np.ndarray, strings: list[memoryview]) -> tuple[int, bytes]:
-    """Some super-k-mers as (size, compressed bytes): doc_ids, first words, string sizes, strings."""
+def pack_block(doc: np.ndarray, variant: np.ndarray, start: np.ndarray, strings: list[memoryview]) -> tuple[int, bytes]:
+    """Some super-k-mers as (size, compressed bytes): doc_ids, variants (mostly zeros), first words, string sizes, strings."""
     sizes = np.fromiter(map(len, strings), dtype="<i4", count=len(strings))
-    raw = b"".join((doc.astype("<i8").tobytes(), start.astype("<i4").tobytes(), sizes.tobytes(), *strings))
+    raw = b"".join((doc.astype("<i8").tobytes(), variant.astype("<i8").tobytes(), start.astype("<i4").tobytes(), sizes.tobytes(), *strings))
     return len(raw), pa.Codec("zstd").compress(raw, asbytes=True)
 
 
-def open_blocks(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(doc_ids, first words, packed strings) of a bucket's blocks (n, size, block)."""
-    codec, parts = pa.Codec("zstd"), ([], [], [], [])
+def open_blocks(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(doc_ids, variants, first words, packed strings) of a bucket's blocks (n, size, block)."""
+    codec, parts = pa.Codec("zstd"), ([], [], [], [], [])
     for n, size, block in zip(*(blocks[c].to_pylist() for c in ("n", "size", "block")), strict=True):
         raw = codec.decompress(block, size, asbytes=True)
-        for part, kind, at in zip(parts, ("<i8", "<i4", "<i4"), (0, 8 * n, 12 * n), strict=False):
+        for part, kind, at in zip(parts, ("<i8", "<i8", "<i4", "<i4"), (0, 8 * n, 16 * n, 20 * n), strict=False):
             part.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
-        parts[3].append(memoryview(raw)[16 * n:])
-    doc, start, sizes = map(np.concatenate, parts[:3])
+        parts[4].append(memoryview(raw)[24 * n:])
+    doc, variant, start, sizes = map(np.concatenate, parts[:4])
     offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    packed = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(b"".join(parts[3])))
-    return doc, start.astype(np.int64), packed
+    packed = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(b"".join(parts[4])))
+    return doc, variant, start.astype(np.int64), packed
 
 
 def packed_blocks(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, n, size, block): the super-k-mers of each slice of documents, one compressed block per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, s in slices(batches):
+        for ids, variants, s in slices(batches):
             light = np.flatnonzero(~np.isin(s.mini, heavy))
             to = (mix64(s.mini[light] + MIX[0]) % np.uint64(buckets)).astype(np.int64)
             light = light[np.argsort(to, kind="stable")]
             to = np.sort(to)
             text, offset = s.packed()
             begin, end = s.begin[light], s.end[light]
-            doc, start = ids[s.doc[begin]], s.at[begin]
+            doc, variant, start = ids[s.doc[begin]], variants[s.doc[begin]], s.at[begin]
             strings = [text[a:b] for a, b in zip(offset[begin].tolist(), (offset[end] - 1).tolist(), strict=True)]
             cuts = np.flatnonzero(np.diff(to, prepend=-1, append=-2))
-            blocks = [pack_block(doc[a:b], start[a:b], strings[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            blocks = [pack_block(doc[a:b], variant[a:b], start[a:b], strings[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(to[cuts[:-1]], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array([x[0] for x in blocks], pa.int64()),
                  pa.array([x[1] for x in blocks], pa.binary())], names=["bucket", "n", "size", "block"])
@@ -190,8 +190,9 @@ def packed_blocks(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame
     return docs.mapInArrow(run, "bucket bigint, n bigint, size bigint, block binary")
 
 
-def repeated_ranges(doc: np.ndarray, start: np.ndarray, packed: pa.Array, window: int = WINDOW) -> pa.Table:
+def repeated_ranges(doc: np.ndarray, start: np.ndarray, packed: pa.Array, window: int = WINDOW, variant: np.ndarray | None = None) -> pa.Table:
     """Word ranges [start, stop) covered by windows that also start in a smaller doc, among these super-k-mers."""
+    variant = np.zeros(len(doc), dtype=np.int64) if variant is None else variant
     words = pc.split_pattern(packed, " ")
     bounds = words.offsets.to_numpy() - words.offsets.to_numpy()[0]
     code = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -217,12 +218,13 @@ def repeated_ranges(doc: np.ndarray, start: np.ndarray, packed: pa.Array, window
     new = flagged & ~(np.concatenate([[False], flagged[:-1]]) & (inside > 0))
     last = flagged & ~np.concatenate([flagged[1:] & (inside[1:] > 0), [False]])
     at = start[owner] + inside
-    return pa.table({"doc_id": doc[owner][new], "start": at[new], "stop": at[last] + window})
+    return pa.table({"doc_id": doc[owner][new], "variant": variant[owner][new], "start": at[new], "stop": at[last] + window})
 
 
 def light_ranges(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
     def bucket(blocks: pa.Table) -> pa.Table:
-        return repeated_ranges(*open_blocks(blocks))
+        doc, variant, start, packed = open_blocks(blocks)
+        return repeated_ranges(doc, start, packed, variant=variant)
 
     return packed_blocks(docs, heavy, buckets).groupBy("bucket").applyInArrow(bucket, RANGES)
 
@@ -233,24 +235,45 @@ def heavy_ranges(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for ids, s in slices(batches):
+        for ids, variants, s in slices(batches):
             of = np.flatnonzero(np.isin(s.mini, heavy))
             count = s.end[of] - s.begin[of] - (WINDOW - 1)
             first = np.repeat(s.begin[of], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             text, offset = s.packed()
             digests = [xxh3_128_digest(text[a:b]) for a, b in zip(offset[first].tolist(), (offset[first + WINDOW] - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids[s.doc[first]]), pa.array(s.at[first].astype(np.int64))],
-                                             names=["digest", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids[s.doc[first]]), pa.array(variants[s.doc[first]]),
+                                              pa.array(s.at[first].astype(np.int64))], names=["digest", "doc_id", "variant", "start"])
 
-    windows = stage(docs.mapInArrow(run, "digest binary, doc_id bigint, start bigint"), "heavy-windows")
+    windows = stage(docs.mapInArrow(run, "digest binary, doc_id bigint, variant bigint, start bigint"), "heavy-windows")
     smallest = stage(windows.groupBy("digest").agg(F.min("doc_id").alias("smallest")), "heavy-smallest")
     return (windows.join(smallest, "digest").where(F.col("smallest") < F.col("doc_id"))
-            .select("doc_id", "start", (F.col("start") + WINDOW).alias("stop")))
+            .select("doc_id", "variant", "start", (F.col("start") + WINDOW).alias("stop")))
 
 
-def repeated_word_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop): all word ranges of ``docs`` (doc_id, text) to remove; they may overlap."""
-    named = text_session(docs).select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, variant) of every row of ``docs``: variant tells the texts of one doc_id apart, and is 0 where there is one.
+
+    Hashes of all texts find the doc_ids with several texts. If there are any,
+    their texts get numbers by digest, and the rows are written once with them.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    hashes = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit("again"), "text").alias("b")]
+    several = (rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", *hashes)
+               .groupBy("doc_id").agg(*[f(c).alias(n) for c in "ab" for f, n in ((F.min, f"{c}1"), (F.max, f"{c}2"))])
+               .where("a1 < a2 OR b1 < b2").select("doc_id"))
+    several = stage(several, "ids-of-several-texts")
+    if several.isEmpty():
+        return rows.withColumn("variant", F.lit(0).cast("long"))
+    digest = rows.withColumn("digest", F.sha2("text", 256))
+    texts = digest.where("text IS NOT NULL").join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct()
+    texts = stage(texts.withColumn("variant", F.monotonically_increasing_id() + 1), "texts-of-an-id")
+    found = digest.join(texts, ["doc_id", "digest"], "left")
+    return stage(found.select("doc_id", "text", F.coalesce("variant", F.lit(0)).cast("long").alias("variant")), "texts-told-apart")
+
+
+def repeated_word_ranges(rows: DataFrame) -> DataFrame:
+    """(doc_id, variant, start, stop): all word ranges of ``rows`` (doc_id, text, variant) to remove; they may overlap."""
+    named = text_session(rows).where("doc_id IS NOT NULL AND text IS NOT NULL")
     total, heavy = minimiser_load(named)
     found = light_ranges(named, heavy, 1 + total // BUCKET_ROWS)
     return found.unionByName(heavy_ranges(named, heavy)) if len(heavy) else found
@@ -261,11 +284,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     kept_text is the words that stay, joined by one space. A null text has no
     words. A null doc_id is smaller than none and larger than none: such rows
-    keep all words and take none from others. A doc_id names one text; rows
-    that repeat it are judged alike. An empty table gives no rows.
+    keep all words and take none from others. Rows that repeat a doc_id and its
+    text are judged alike; rows with one doc_id and different texts are judged
+    each by its own text, and neither is the smaller document. An empty table
+    gives no rows.
     """
-    ranges = stage(repeated_word_ranges(docs), "repeated-ranges")
-    per_doc = ranges.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    rows = told_apart(docs)
+    ranges = stage(repeated_word_ranges(rows), "repeated-ranges")
+    per_doc = ranges.groupBy("doc_id", "variant").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +312,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                                               pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    of = per_doc.select(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant"), "starts", "stops")
+    joined = rows.join(of, (F.col("doc_id") == F.col("_id")) & (F.col("variant") == F.col("_variant")), "left")
     return joined.select("doc_id", "text", "starts", "stops").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
-
-

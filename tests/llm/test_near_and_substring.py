@@ -199,3 +199,17 @@ def test_substring_of_an_empty_table(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).collect() == []
 
 
+
+
+def test_rows_of_one_doc_id_with_different_texts_are_judged_each_by_its_own(spark):
+    """As documents of their own, neither of which is the smaller one."""
+    from pacewise.llm import substring_dedup
+    from tests.llm.fixtures import docs
+
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    first, other, alone = text("a", 60), text("b", 40), text("c", 200)
+    rows = [(1, first, "en", "s", 0), (2, alone, "en", "s", 0), (2, text("d", 3), "en", "s", 0), (2, first + " tail", "en", "s", 0),
+            (2, first + " tail", "en", "s", 0), (3, other, "en", "s", 0), (3, other + " more", "en", "s", 0), (4, other, "en", "s", 0)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs(spark, rows)).collect())
+    # Equal windows of doc_id 3 lie in one document of that id each: none is smaller, so both stay; document 4 loses all.
+    assert got == sorted([(1, 60, 0), (2, 200, 0), (2, 3, 0), (2, 61, 60), (2, 61, 60), (3, 40, 0), (3, 41, 0), (4, 40, 40)])
