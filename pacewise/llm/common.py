@@ -79,11 +79,11 @@ def whole_row(df: DataFrame, name: str = "_row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose row id is in ``kept`` (rid), with all their columns and no others.
+def numbered(docs: DataFrame) -> DataFrame:
+    """A written copy of ``docs`` as (_row, rid): row ids come from one evaluation, whatever the cores or splits of a later read."""
+    return stage(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("rid")), "numbered-rows")
 
-    Row ids are ``monotonically_increasing_id`` over ``docs``, which must be a
-    table read from files: reading it again numbers its rows alike.
-    """
-    rows = docs.select(whole_row(docs), F.monotonically_increasing_id().alias("rid"))
-    return rows.join(stage(kept.select("rid"), "kept-rows"), "rid", "left_semi").select("_row.*")
+
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The ``_row`` of those rows of a written copy (``numbered``) whose rid is in ``kept``; a sort-merge join at every size."""
+    return rows.join(stage(kept.select("rid"), "kept-rows").hint("merge"), "rid", "left_semi").select("_row.*")

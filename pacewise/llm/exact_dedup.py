@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import keep_rows, stage, text_or_empty
+from pacewise.llm.common import keep_rows, numbered, stage, text_or_empty
 
 NO_ID = -(1 << 63)  # sorts a missing doc_id below every other
 
@@ -63,10 +63,9 @@ class DigestIndex:
         return earlier
 
 
-def digest_rows(docs: DataFrame, text: Column | None = None) -> DataFrame:
-    """(doc_id, digest, rid): one narrow row per document; rid tells repeated rows apart."""
-    return docs.select("doc_id", text_digest(text if text is not None else text_or_empty()).alias("digest"),
-                       F.monotonically_increasing_id().alias("rid"))
+def digest_rows(docs: DataFrame, rid: Column | None = None) -> DataFrame:
+    """(doc_id, digest, rid): one narrow row per document; rid (if not given, made here) tells repeated rows apart."""
+    return docs.select("doc_id", text_digest(text_or_empty()).alias("digest"), (F.monotonically_increasing_id() if rid is None else rid).alias("rid"))
 
 
 def digest_groups(rows: DataFrame) -> DataFrame:
@@ -76,7 +75,7 @@ def digest_groups(rows: DataFrame) -> DataFrame:
                                       F.count(F.lit(1)).alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, rid: Column | None = None) -> DataFrame:
     """Deduplicate ``docs`` (doc_id, text) against themselves and ``index``, and append what is new.
 
     Returns doc_id, rid, digest, keep_id, group_size, kept for every input row,
@@ -86,7 +85,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     text counts as empty; a null doc_id loses to any other; of rows that repeat
     text and doc_id exactly one stays. An empty table gives no rows.
     """
-    rows = stage(digest_rows(docs), "digest-rows")
+    rows = stage(digest_rows(docs, rid), "digest-rows")
     groups = stage(digest_groups(rows), "digest-groups")
     earlier = index.append(groups.select("digest", "keep_id", "group_size"), batch)
     seen = (groups.join(earlier.select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known")),
@@ -101,4 +100,6 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    return keep_rows(docs, exact_dedup(docs, index, batch).where("kept"))
+    rows = numbered(docs)
+    found = exact_dedup(rows.select("_row.doc_id", "_row.text", "rid"), index, batch, F.col("rid"))
+    return keep_rows(rows, found.where("kept"))

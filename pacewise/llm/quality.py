@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pacewise.llm import char_lm
-from pacewise.llm.common import keep_rows, look_up, stage, text_session, whole_row
+from pacewise.llm.common import look_up, stage, text_session, whole_row
 from pacewise.llm.substring_dedup import split_words
 
 MIN_WORDS = 50
@@ -164,19 +164,27 @@ def language_models(docs: DataFrame) -> tuple[dict[str, char_lm.LanguageModel] |
     return char_lm.hash_arrays(probabilities, backoffs), probabilities, backoffs
 
 
-def score_documents(docs: DataFrame) -> tuple[DataFrame, dict | None]:
-    """doc_id, lang, the statistics, base_failed and log_perplexity per row; the models if they are arrays."""
+def score_rows(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """``rows`` (half and further columns) without half, with the statistics, base_failed and log_perplexity of ``text``; a written copy.
+
+    The models are those of ``docs``. If they are too large for tasks, the rows
+    are numbered in a written copy and joined with the model's tables.
+    """
     models, probabilities, backoffs = language_models(docs)
-    rows = docs.select("doc_id", char_lm.language().alias("lang"), "text", half().alias("half"), F.monotonically_increasing_id().alias("rid"))
-    scored = rows.select("doc_id", "lang", "rid", scorer(models)("text", "half").alias("s"))
-    scored = scored.select("doc_id", "lang", "rid", "s.*", base_failed().alias("base_failed"))
+    carried = [c for c in rows.columns if c != "half"]
+    if models is None:
+        rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered-rows")
+        carried = [*carried, "rid"]
+    scored = rows.select(*carried, scorer(models)(text, F.col("half")).alias("s"))
+    carried = [c for c in carried if c != "text"]
+    scored = scored.select(*carried, "s.*", base_failed().alias("base_failed"))
     if models is None:
         other = F.concat(F.when(F.col("half").startswith("0"), "1").otherwise("0"), F.expr("substring(half, 2)"))
         there = probabilities.select(F.col("lang").alias("other")).distinct().withColumn("there", F.lit(True))
-        read = look_up(rows.select("rid", "text", "half", other.alias("other")), there, "other")
+        read = look_up(rows.select("rid", text.alias("text"), "half", other.alias("other")), there, "other")
         read = read.select("rid", "text", F.when(F.col("there"), F.col("other")).otherwise(F.col("half")).alias("lang"))
-        scored = scored.drop("log_perplexity").join(stage(char_lm.joined_scores(read, probabilities, backoffs), "joined-scores"), "rid", "left")
-    return stage(scored, "scored"), models
+        scored = scored.drop("log_perplexity").join(stage(char_lm.joined_scores(read, probabilities, backoffs), "joined-scores"), "rid", "left").drop("rid")
+    return stage(scored, "scored")
 
 
 def in_band(perplexity: Column) -> Column:
@@ -190,20 +198,14 @@ def judge(docs: DataFrame) -> DataFrame:
     no words and fails the base rules, like an empty one; a null lang is the
     language ''. Repeated rows are judged alike. An empty table gives no rows.
     """
-    scored, _ = score_documents(docs)
+    scored = score_rows(docs.select("doc_id", char_lm.language().alias("lang"), "text", half().alias("half")), docs, F.col("text"))
     judged = look_up(scored, bands(scored, above=ABOVE), "lang")
-    return judged.withColumn("kept", ~F.col("base_failed") & in_band(F.col("log_perplexity"))).drop("rid")
+    return judged.withColumn("kept", ~F.col("base_failed") & in_band(F.col("log_perplexity")))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns and no others.
-
-    With array models a row is judged where it lies; else by its row id.
-    """
-    scored, models = score_documents(docs)
-    limits = bands(scored, above=ABOVE)
-    if models is None:
-        verdict = look_up(scored, limits, "lang").where(~F.col("base_failed") & in_band(F.col("log_perplexity"))).select("rid")
-        return keep_rows(docs, verdict)
-    rows = docs.select(whole_row(docs), char_lm.language().alias("lang"), scorer(models)(F.col("text"), half()).alias("s"))
-    return look_up(rows, limits, "lang").where(~base_failed() & in_band(F.col("s.log_perplexity"))).select("_row.*")
+    """The rows of ``docs`` that pass, with all their columns and no others; they are scored once, in the copy that is filtered."""
+    rows = docs.select(whole_row(docs), char_lm.language().alias("lang"), half().alias("half"))
+    scored = score_rows(rows, docs, F.col("_row.text"))
+    judged = look_up(scored.select("_row", "lang", "base_failed", "log_perplexity"), bands(scored, above=ABOVE), "lang")
+    return judged.where(~F.col("base_failed") & in_band(F.col("log_perplexity"))).select("_row.*")

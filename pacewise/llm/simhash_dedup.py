@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.llm.common import keep_rows, stage, text_session
+from pacewise.llm.common import keep_rows, numbered, stage, text_session
 from pacewise.llm.components import components
 
 BITS = 64
@@ -32,13 +32,13 @@ SHINGLE = 3
 PROBE_COST = 4.0
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = SHINGLE, rid: Column | None = None) -> DataFrame:
     """(doc_id, rid, fp): the 64-bit SimHash of every text's word shingles, as a signed long.
 
     A-Z are lower-cased; words are runs of non-white-space; shingles of
     ``width`` words, repeats included, are joined by one space and hashed with
     XXH64 (seed 42). A text with fewer words is one shingle; a null text or one
-    without words has fingerprint zero.
+    without words has fingerprint zero. ``rid`` numbers the rows; if not given, it is made here.
     """
 
     def simhash(text: str | None) -> int:
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fps = [simhash(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc_id", "rid", "fp"])
 
-    rows = text_session(docs).select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("rid"), "text")
+    rows = text_session(docs).select(F.col("doc_id").cast("long"), (F.monotonically_increasing_id() if rid is None else rid).alias("rid"), "text")
     return rows.mapInArrow(run, "doc_id bigint, rid bigint, fp bigint")
 
 
@@ -205,7 +205,7 @@ def near_links(classes: DataFrame, plan: list[Partition], radius: int = RADIUS)
     return met.select("a", "b").distinct()
 
 
-def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_components(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, rid: Column | None = None) -> DataFrame:
     """doc_id, rid, fp, root, component_id (the smallest doc_id reachable by links, itself included) per row of ``docs``.
 
     ``root`` names the component by its smallest fingerprint; ``rid`` numbers
@@ -216,7 +216,7 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     never a component's name unless all its doc_ids are null. An empty table
     gives no rows.
     """
-    fps = stage(fingerprints(docs), "fingerprints")
+    fps = stage(fingerprints(docs, width, rid), "fingerprints")
     classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     links = stage(near_links(classes, plan_partitions(classes, radius), radius), "near-links")
     rooted = classes.join(components(links), F.col("fp") == F.col("node"), "left").select(
@@ -232,10 +232,10 @@ def hex_digits(fp: Column) -> Column:
 
 
 
-
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` per component, the one with the smallest doc_id, with all its columns."""
-    found = near_components(docs, radius)
+    rows = numbered(docs)
+    found = near_components(rows.select("_row.doc_id", "_row.text", "rid"), radius, width, F.col("rid"))
     last = F.lit((1 << 63) - 1)
     kept = found.groupBy("root").agg(F.min_by("rid", F.coalesce("doc_id", last)).alias("rid"))
-    return keep_rows(docs, kept)
+    return keep_rows(rows, kept)

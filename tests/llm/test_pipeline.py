@@ -91,3 +91,45 @@ def test_awkward_and_empty_tables_go_through(spark, tmp_path):
         assert out[0][1] == frame.collect() and (rows or not out[-1][2])
 
 
+
+
+def test_stages_keep_every_text_when_the_splits_change_between_reads(spark, tmp_path):
+    """An executor lost or added deals a scan out anew: row ids must not come from two scans."""
+    from pacewise.llm import exact_dedup, quality, simhash_dedup
+    from pacewise.session import scratch_path
+    from tests.llm.fixtures import given
+
+    given(spark, "documents").repartition(16).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    texts = {r["text"] for r in docs.select("text").collect()}
+    keep = {"exact": lambda: exact_dedup.keep_one(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "splits-index")), "b"),
+            "near": lambda: simhash_dedup.keep_one(docs, 0), "quality": lambda: quality.keep_good(docs)}
+    found = {}
+    for name, fn in keep.items():
+        rows = {}
+        for read in ("24", "1"):
+            spark.conf.set("spark.sql.files.minPartitionNum", "24")
+            try:
+                out = fn()
+                spark.conf.set("spark.sql.files.minPartitionNum", read)
+                rows[read] = sorted(tuple(r) for r in out.select("doc_id", "text").collect())
+            finally:
+                spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert rows["24"] == rows["1"]
+        found[name] = rows["1"]
+    assert len(found["exact"]) == len(texts) and {t for _, t in found["exact"]} == texts
+    assert len(found["near"]) <= len(texts) and len(found["quality"]) > 0
+
+
+def test_a_stage_leaves_nothing_behind_once_the_next_has_begun(spark):
+    import os
+
+    import corpus_pipeline
+    from pacewise.session import drop_scratch, scratch_given, scratch_since
+
+    mark = scratch_given()
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0
+    left = [p for p in scratch_since(mark) if os.path.exists(p.removeprefix("file:"))]
+    assert not [p for p in left if "numbered-rows" in p or "quality-rules" in p or "exact-dedup" in p]
+    drop_scratch(spark, left)
