@@ -1,7 +1,7 @@
 """Toxicity scores of deobfuscated text.
 
-Writers hide words by leetspeak (``1d10t``), spacing (``i d i o t``, ``i.d.i.o.t``)
-and repetition (``idiooot``). Each suspicious token or run of single letters is a
+Writers hide words by leetspeak (``1d10t``), spacing (``i d i o t``, ``i.d.i.o.t``),
+repetition (``idiooot``, ``iidiot``), masks (``id*ot``) and look-alike letters. Each suspicious token or run of single letters is a
 noisy copy of one or more words: every character opens a few ways to read it, a
 mark or space also as a word's end, and a Viterbi pass over that lattice
 finds the reading of greatest channel times language-model probability. The model
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,24 +39,59 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 #: Log-probabilities of the channel: a character as it is, for another, for none; a run of letters shortened.
 SAME, OTHER, NONE, RUN = -0.05, -1.5, -1.0, -0.7
 SPLIT = -4.0  # a mark that may be a letter, between two words
-LONGEST = 64  # the reading of a longer token is not remembered
+ANY = -3.0  # a mask for one letter, whichever
+LONGEST = 64  # the readings of a longer token are not remembered
 ALPHABET = r"^[ a-z0-9ß-öø-ÿ]+$"  # at most 69 characters, so the decoder's trigram table is bounded
 ORDER = 3
 REMEMBERED = 200_000
 MARKS = re.compile(r"^\W+|\W+$")
 LETTERS = re.compile(r"[^\W\d_]+")
 RUNS = re.compile(r"([^\W\d_])\1{2,}")
+TWICE = re.compile(r"([^\W\d_])\1")
+TWICE_OR_MORE = re.compile(r"([^\W\d_])\1+")
+MASK = "*"
+MASKED = re.compile(r"[^\W\d_]\*[^\W\d_]")
+ANY_LETTER = "abcdefghijklmnopqrstuvwxyz"
+#: ASCII words with marks around them that stand for no letter, and two equal letters in a row (Arrow's patterns).
+PLAIN = r"""^["'\[]*[A-Za-z]+[.,;:?"'\])]*$"""
+DOUBLED = "|".join(c * 2 for c in ANY_LETTER)
+# Small letters of other scripts that look like a Latin one (compatibility forms come from Unicode).
+LOOKALIKES = str.maketrans({
+    "а": "a", "в": "b", "е": "e", "ё": "e", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p",
+    "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h",
+    "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ø": "o", "ł": "l",
+})
+
+
+def folded(low: str) -> str:
+    """A lower-case token with compatibility forms, accents and look-alike letters as plain Latin letters."""
+    if low.isascii():
+        return low
+    apart = unicodedata.normalize("NFKD", low)
+    return "".join(c for c in apart if not unicodedata.combining(c)).lower().translate(LOOKALIKES)
 
 
 class Restorer:
     """Reads disguised tokens with a character trigram model (``logp`` by n-gram, ``backoff`` by context)."""
 
     def __init__(self, logp: dict[str, float], backoff: dict[str, float]) -> None:
-        self.logp, self.backoff, self.known = logp, backoff, {}
+        self.logp, self.backoff, self.steps = logp, backoff, {}
+        self.known: dict[str, tuple[str, ...]] = {}
         self.floor = min(logp.values(), default=-10.0) - 2.0
 
     def step(self, context: str, char: str) -> float:
-        """log P(char | the characters before it), backing off to shorter contexts."""
+        """log P(char | the characters before it); the table of steps taken has at most as many entries as trigrams of known letters."""
+        key = context + char
+        found = self.steps.get(key)
+        if found is None:
+            found = self.backed_off(context, char)
+            if len(self.steps) < REMEMBERED:
+                self.steps[key] = found
+        return found
+
+    def backed_off(self, context: str, char: str) -> float:
+        """The model's value, backing off to shorter contexts."""
         owed = 0.0
         while True:
             found = self.logp.get(context + char)
@@ -75,11 +111,13 @@ class Restorer:
                 ways = [(" ", SAME), ("", NONE)]
             elif char.isalpha():
                 ways = [(run, SAME * len(run))]
-                if len(run) > 2:
-                    ways += [(char, RUN), (char * 2, RUN)]
+                if len(run) > 1:
+                    ways += [(char * n, RUN) for n in (1, 2) if n < len(run)]
             else:
                 ways = [(c * min(len(run), 2), OTHER) for c in LEET.get(char, "")] + [(c, OTHER) for c in LEET.get(char, "") if len(run) > 1]
                 ways += [(run, SAME * len(run))] if char.isdigit() else [("", NONE), (" ", SPLIT if char in LEET else NONE)]
+                if char == MASK:
+                    ways += [(c, ANY) for c in ANY_LETTER]
             edges.append(ways)
         return edges
 
@@ -107,35 +145,49 @@ class Restorer:
 
     def word(self, token: str) -> str:
         """The word (or words) that a token reads as: lower case, without marks around it, disguises undone."""
-        found = self.known.get(token)
-        if found is None:
-            low = token.lower()
-            bare = MARKS.sub("", low)
-            lone = len(low) - len(bare) <= 2 and any(c in LEET for c in low[:1] + low[-1:])
-            plain = (LETTERS.fullmatch(bare) and not RUNS.search(bare) and not lone) or not bare
-            found = bare
-            if not plain:
-                found = self.decode(low if lone else bare)[0]
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(token) <= LONGEST:
-                self.known[token] = found
-        return found
+        low = token.lower()
+        bare = MARKS.sub("", low)
+        lone = len(low) - len(bare) <= 2 and any(c in LEET for c in low[:1] + low[-1:])
+        plain = (LETTERS.fullmatch(bare) and not RUNS.search(bare) and not lone) or not bare
+        return bare if plain else self.decode(low if lone else bare)[0]
 
     def letters_only(self, token: str) -> str:
         """The likeliest words behind ``token`` if every digit in it stands for a letter."""
         edges = self.lattice(token)
         return self.decode(token, [[w for w in ways if not w[0].isdigit()] or ways for ways in edges])[0]
 
-    def readings(self, token: str) -> list[str]:
+    def masked(self, token: str) -> str:
+        """The likeliest words behind ``token`` if every mask in it stands for a letter."""
+        edges = self.lattice(token)
+        return self.decode(token, [[w for w in ways if w[0].isalpha()] if any(w[1] == ANY for w in ways) else ways for ways in edges])[0]
+
+    def read(self, token: str) -> tuple[str, ...]:
         """The words that a token reads as, and its runs of letters as they are written if it is no plain word.
 
-        Letters and digits that read as a word with digits are also read as letters alone.
+        Letters and digits that read as a word with digits are also read as letters
+        alone, masks also as letters, letters that stand twice also as one, and
+        look-alike and accented letters also as the plain letters they resemble.
         """
-        found, parts = self.word(token), LETTERS.findall(token.lower())
-        if parts and any(c.isdigit() for c in found):
-            found += " " + self.letters_only(MARKS.sub("", token.lower()))
-        return list(dict.fromkeys([*found.split(), *(x for x in parts if len(x) > 1)])) or [""]
+        low = token.lower()
+        found = []
+        for form in dict.fromkeys((low, folded(low))):
+            main, bare = self.word(form), MARKS.sub("", form)
+            found += main.split()
+            if any(map(str.isdigit, main)):
+                found += self.letters_only(bare).split()
+            elif main == bare and TWICE.search(bare):
+                found += self.decode(bare)[0].split()
+            if MASKED.search(form):
+                found += self.masked(bare).split()
+            found += [x for x in LETTERS.findall(form) if len(x) > 1]
+        return tuple(dict.fromkeys(found))
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        """``read``, remembered."""
+        found = self.known.get(token)
+        if found is None:
+            found = remember(self.known, token, self.read(token))
+        return found
 
     def spaced(self, letters: list[str]) -> list[str]:
         """The words behind single letters with spaces between; letters that stay by themselves are none.
@@ -147,12 +199,15 @@ class Restorer:
         ways = {joined, joined[2:], joined[:-2], joined[2:-2]}
         return list(dict.fromkeys(w for way in sorted(ways) for w in self.decode(way)[0].split() if len(w) > 1))
 
-    def words(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """(which word, restored words, document) of every word of ``texts``, spaced-out words in addition."""
+    def words(self, texts: pa.Array, numbers: Callable[[pa.Array], list[tuple[int, ...]]], number: Callable[[str], int]) -> tuple[np.ndarray, np.ndarray]:
+        """(number, document) of every restored word of ``texts``, spaced-out words in addition.
+
+        ``numbers`` gives the numbers of the readings of each of some tokens and
+        ``number`` that of a word (-1: left out).
+        """
         words, count = split_words(texts)
         coded = words.dictionary_encode()
-        ids: dict[str, int] = {}
-        read = [[ids.setdefault(w, len(ids)) for w in self.readings(t)] for t in coded.dictionary.to_pylist()]
+        read = numbers(coded.dictionary)
         sizes = np.fromiter(map(len, read), dtype=np.int64, count=len(read))
         flat = np.fromiter((k for x in read for k in x), dtype=np.int64, count=int(sizes.sum()))
         which = coded.indices.to_numpy(zero_copy_only=False)
@@ -161,14 +216,79 @@ class Restorer:
         new = single & ~np.concatenate([[False], single[:-1] & (doc[1:] == doc[:-1])]) if len(doc) else single
         last = single & ~np.concatenate([single[1:] & (doc[1:] == doc[:-1]), [False]]) if len(doc) else single
         extra, owner = [], []
-        for a, b in zip(np.flatnonzero(new), np.flatnonzero(last), strict=True):
-            if b > a:
-                for found in self.spaced(words.slice(a, b - a + 1).to_pylist()):
-                    extra.append(ids.setdefault(found, len(ids)))
-                    owner.append(doc[a])
+        long = np.flatnonzero(last) > np.flatnonzero(new)
+        for a, b in zip(np.flatnonzero(new)[long], np.flatnonzero(last)[long], strict=True):
+            found = [k for k in map(number, self.spaced(words.slice(a, b - a + 1).to_pylist())) if k >= 0]
+            extra += found
+            owner += [doc[a]] * len(found)
+        some = sizes[which] > 0
+        which, doc = which[some], doc[some]
         times = sizes[which]
         at = np.repeat((np.cumsum(sizes) - sizes)[which], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        return np.concatenate([flat[at], np.asarray(extra, dtype=np.int64)]), list(ids), np.concatenate([np.repeat(doc, times), np.asarray(owner, dtype=doc.dtype)])
+        return np.concatenate([flat[at], np.asarray(extra, dtype=np.int64)]), np.concatenate([np.repeat(doc, times), np.asarray(owner, dtype=doc.dtype)])
+
+
+def remember(memory: dict, token: str, value: tuple) -> tuple:
+    """``value``, kept for the next time; the memory is bounded."""
+    if len(memory) >= REMEMBERED:
+        memory.clear()
+    if len(token) <= LONGEST:
+        memory[token] = value
+    return value
+
+
+def shortest(word: str) -> str:
+    """``word`` with each run of a letter as one: the same for all readings of a word of letters."""
+    return TWICE_OR_MORE.sub(r"\1", word)
+
+
+class Marker:
+    """Finds the features of ``index`` in texts; what a token gives is remembered.
+
+    A word of letters can only read as a feature that is equal to it when every run of
+    a letter counts as one, so other words of letters are told without a search.
+    """
+
+    def __init__(self, restore: Restorer, index: dict[str, int]) -> None:
+        self.restore, self.index, self.known = restore, index, {}
+        self.short = {shortest(w) for w in index}
+        self.words = pa.array(list(index), pa.string())
+
+    def hopeless(self, token: str) -> bool:
+        low = token.lower()
+        if low[:1] in LEET or low[-1:] in LEET:
+            return False
+        bare = MARKS.sub("", low)
+        return bool(LETTERS.fullmatch(bare)) and shortest(bare) not in self.short and (bare.isascii() or shortest(folded(bare)) not in self.short)
+
+    def features(self, token: str) -> tuple[int, ...]:
+        found = self.known.get(token)
+        if found is None:
+            found = () if self.hopeless(token) else tuple(self.index[w] for w in self.restore.read(token) if w in self.index)
+            remember(self.known, token, found)
+        return found
+
+    def numbers(self, tokens: pa.Array) -> list[tuple[int, ...]]:
+        """``features`` of each token; words of ASCII letters, none twice in a row, are looked up all at once."""
+        plain = pc.match_substring_regex(tokens, PLAIN)
+        bare = pc.ascii_lower(pc.replace_substring_regex(tokens.filter(plain), "[^A-Za-z]+", ""))
+        apart = pc.invert(pc.match_substring_regex(bare, DOUBLED)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))[apart]
+        found = pc.fill_null(pc.index_in(bare.filter(pa.array(apart)).cast(pa.string()), self.words), -1).to_numpy(zero_copy_only=False)
+        out: list[tuple[int, ...]] = [()] * len(tokens)
+        for k, f in zip(at[found >= 0].tolist(), found[found >= 0].tolist(), strict=True):
+            out[k] = (f,)
+        rest = np.ones(len(tokens), dtype=bool)
+        rest[at] = False
+        for k, token in zip(np.flatnonzero(rest).tolist(), tokens.filter(pa.array(rest)).to_pylist(), strict=True):
+            out[k] = self.features(token)
+        return out
+
+    def presence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(document, feature) pairs of the features that each text has, every pair once."""
+        feature, doc = self.restore.words(texts, self.numbers, lambda w: self.index.get(w, -1))
+        pairs = np.unique(doc.astype(np.int64) * max(len(self.index), 1) + feature)
+        return pairs // max(len(self.index), 1), pairs % max(len(self.index), 1)
 
 
 def restorer(docs: DataFrame) -> Callable[[], Restorer]:
@@ -209,8 +329,10 @@ def telling_words(rows: DataFrame, make: Callable[[], Restorer], least: int = LE
         for batch in batches:
             toxic = batch.column(1).to_numpy() == 1
             for at, texts in slices(batch.column(0)):
-                which, words, doc = read.words(texts)
-                pair = np.unique(np.stack([which, doc]), axis=1)
+                ids: dict[str, int] = {}
+                number = lambda w: ids.setdefault(w, len(ids))  # noqa: B023, E731
+                which, doc = read.words(texts, lambda tokens: [tuple(map(number, read.readings(t))) for t in tokens.to_pylist()], number)  # noqa: B023
+                words, pair = list(ids), np.unique(np.stack([which, doc]), axis=1)
                 n = np.bincount(pair[0], minlength=len(words))
                 bad = np.bincount(pair[0][toxic[at + pair[1]]], minlength=len(words))
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n), pa.array(bad)], names=["word", "n", "bad"])
@@ -226,15 +348,6 @@ def telling_words(rows: DataFrame, make: Callable[[], Restorer], least: int = LE
     return [r["word"] for r in told.orderBy(ratio.desc(), "word").limit(most).collect()]
 
 
-def presence(read: Restorer, texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs of the features that each text has, every pair once."""
-    which, words, doc = read.words(texts)
-    feature = np.fromiter((index.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-    found = feature[which] if len(which) else np.zeros(0, dtype=np.int64)
-    pairs = np.unique(doc[found >= 0].astype(np.int64) * max(len(index), 1) + found[found >= 0])
-    return pairs // max(len(index), 1), pairs % max(len(index), 1)
-
-
 def fit(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, features: int, penalty: float = 0.1, rounds: int = 500) -> np.ndarray:
     """Weights (the last is the bias) of an L2-penalised logistic regression.
 
@@ -261,10 +374,10 @@ def train(docs: DataFrame, labels: DataFrame, make: Callable[[], Restorer]) -> t
     index = {w: i for i, w in enumerate(telling_words(rows, make))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = make()
+        marker = Marker(make(), index)
         for batch in batches:
             for at, texts in slices(batch.column(0)):
-                doc, feature = presence(read, texts, index)
+                doc, feature = marker.presence(texts)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(texts)).cast(pa.int64()),
                                                   pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature))], names=["toxic", "features"])
@@ -290,14 +403,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     make = restorer(docs)
     index, weights = train(docs, labels, make)
-    readers: list[Restorer] = []
+    markers: list[Marker] = []
 
     def score(texts: pa.Array) -> pa.Array:
-        if not readers:
-            readers.append(make())
+        if not markers:
+            markers.append(Marker(make(), index))
         margin = np.full(len(texts), weights[-1])
         for at, part in slices(texts):
-            doc, feature = presence(readers[0], part, index)
+            doc, feature = markers[0].presence(part)
             margin[at:at + len(part)] += np.bincount(doc, weights=weights[feature], minlength=len(part))
         return pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 

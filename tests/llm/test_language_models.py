@@ -173,11 +173,20 @@ def test_disguises_are_undone(reader, token, word):
     assert reader.word(token) == word
 
 
+def read_words(reader, texts):
+    """(restored words, document of each)."""
+    ids = {}
+    which, doc = reader.words(texts, lambda tokens: [tuple(ids.setdefault(w, len(ids)) for w in reader.readings(t)) for t in tokens.to_pylist()],
+                              lambda w: ids.setdefault(w, len(ids)))
+    names = list(ids)
+    return [names[w] for w in which], [int(d) for d in doc]
+
+
 def test_spaced_letters_are_joined(reader):
     import pyarrow as pa
 
-    which, found, doc = reader.words(pa.array(["you i d i o t there", "a b", "s t u p 1 d"], pa.large_string()))
-    spaced = {(int(d), found[w]) for w, d in zip(which, doc)}
+    found, doc = read_words(reader, pa.array(["you i d i o t there", "a b", "s t u p 1 d"], pa.large_string()))
+    spaced = set(zip(doc, found))
     assert (0, "idiot") in spaced and (2, "stupid") in spaced and (1, "ab") not in spaced
 
 
@@ -188,8 +197,8 @@ def test_spaced_letters_are_joined(reader):
 def test_words_in_a_row_are_read_apart(reader, text, hidden):
     import pyarrow as pa
 
-    which, found, doc = reader.words(pa.array([text], pa.large_string()))
-    assert hidden <= {found[w] for w in which} and len(which) == len(doc)
+    found, doc = read_words(reader, pa.array([text], pa.large_string()))
+    assert hidden <= set(found) and len(found) == len(doc)
 
 
 @pytest.mark.parametrize(("text", "hidden"), [
@@ -198,8 +207,33 @@ def test_words_in_a_row_are_read_apart(reader, text, hidden):
 def test_disguises_of_any_length_are_read(reader, text, hidden):
     import pyarrow as pa
 
-    which, found, _ = reader.words(pa.array([text], pa.large_string()))
-    assert hidden in {found[w] for w in which}
+    assert hidden in read_words(reader, pa.array([text], pa.large_string()))[0]
+
+
+@pytest.mark.parametrize(("token", "hidden"), [
+    ("iidiiot", "idiot"), ("stuupid", "stupid"), ("mooron.", "moron"), ("st*pid", "stupid"), ("id*ot!", "idiot"), ("\u0456d\u0456\u043et", "idiot"),
+    ("\u2170d\u2170ot", "idiot"), ("\xefd\xeeot", "idiot"), ("\uff49\uff44\uff49\uff4f\uff54", "idiot"), ("\u0430\u0435", "ae"),
+])
+def test_doubled_masked_and_look_alike_letters_are_read(reader, token, hidden):
+    assert hidden in reader.read(token)
+
+
+@pytest.mark.parametrize("token", ["good", "committee", "don't", "stra\xdfe", "\u043f\u0440\u0438\u0432\u0435\u0442", "na\xefve"])
+def test_words_as_written_stay_readings(reader, token):
+    assert token.replace("'", "") in reader.read(token)
+
+
+def test_features_are_found_as_the_readings_say(reader, spark):
+    """The look-up of many tokens against the readings of each."""
+    import pyarrow as pa
+
+    texts = [r.text or "" for r in given(spark, "documents", "/root/testdata/sf0.01").select("text").collect()]
+    tokens = sorted({w for t in texts for w in words(t)} | {"iidiiot", "STUPID!", "'idiot'", "(idiot)", "idiooot.", "st*pid", "ii", "", "\u0456diot", "idi\xf6t"})
+    index = {w: i for i, w in enumerate(["stupid", "idiot", "moron", "good", "committee", "be", "i", "a", "stra\xdfe", "strase", "hello", "off"])}
+    marker = toxicity.Marker(reader, index)
+    for _ in range(2):
+        got = marker.numbers(pa.array(tokens, pa.large_string()))
+        assert [set(x) for x in got] == [{index[w] for w in reader.read(t) if w in index} for t in tokens]
 
 
 def test_decoding_is_the_best_path(reader):
