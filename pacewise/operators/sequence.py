@@ -63,3 +63,22 @@ def shifted(df: DataFrame, group_cols: list[str], pos_col: str, value_cols: list
         cond = cond & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
     return df.join(other, cond, "left").drop("_o_pos", *[f"_o_{g}" for g in group_cols])
 
+
+
+def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, out_col: str) -> DataFrame:
+    """``df`` with the running sum of ``value_col`` per group, its own row included, along a total order.
+
+    Like ``positions_within``: ranges of (group, order) are written once, sums run within
+    each range, and a range adds what its group's earlier ranges hold.
+    """
+    keys = [*group_cols, *order_cols]
+    ranged = written_once(df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()), "running-sums")
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = ranged.groupBy("_pid", *group_cols).agg(F.sum(value_col).alias("_held")).withColumn("_offset", F.coalesce(F.sum("_held").over(before), F.lit(0)))
+    seg = seg.select(F.col("_pid").alias("_s_pid"), *[F.col(g).alias(f"_s_{g}") for g in group_cols], "_offset")
+    cond = F.col("_pid") == F.col("_s_pid")
+    for g in group_cols:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_s_{g}"))
+    along = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn(out_col, F.coalesce(F.sum(value_col).over(along), F.lit(0)))
+    return summed.join(seg, cond).withColumn(out_col, F.col(out_col) + F.col("_offset")).drop("_pid", "_offset", "_s_pid", *[f"_s_{g}" for g in group_cols])

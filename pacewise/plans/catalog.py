@@ -318,6 +318,9 @@ query("compact_cluster")(mt.compact_cluster_job)
 query("as_of_snapshot")(mt.as_of_snapshot_job)
 query("batch_history")(mt.batch_history_job)
 query("scd2_campaign_status")(mt.scd2_campaign_status)
+query("scd2_merged_batches")(mt.scd2_merged_job)
+query("active_by_day")(mt.active_by_day_job)
+query("delivery_by_status_then")(mt.delivery_by_status_then_job)
 query("active_on_date")(lambda spark, sf: mt.active_on_date(spark, sf))
 query("stream_ingest")(mt.stream_ingest_job)
 query("stream_ingest_csv")(mt.stream_ingest_csv_job)

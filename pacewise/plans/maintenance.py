@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 from pacewise.config import AS_OF
 from pacewise.operators import clean
 from pacewise.operators.dedup import active_on, scd2_history
+from pacewise.operators.history import active_by_day, as_of_join, merge_versions
 from pacewise.functions.columns import allowed_or_default
 from pacewise.operators.clean import CAMPAIGN_STATUSES
 from pacewise.session import scratch_path, written_once
 from pacewise.sources import bindings as b
 from pacewise.sources import csv as csvsrc
 from pacewise.sources import sinks
+from pacewise.sources.steps import Steps
 from pacewise.sources.tables import table_path
 from pacewise.streaming import ingest
 
@@ -197,12 +199,49 @@ def batch_history_job(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.batch_history(b.campaigns_bronze(spark, sf))
 
 
-def scd2_campaign_status(spark: SparkSession, sf: str) -> DataFrame:
-    """W-03: status history (first version and every change) with validity intervals."""
+def status_versions(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     bronze = b.campaigns_bronze(spark, sf).withColumn("status", allowed_or_default("status", CAMPAIGN_STATUSES,
                                                                                    "Unknown"))
-    return scd2_history(bronze.select("campaign_id", "status", "_ingested_at", "_batch_id"), "campaign_id", "status",
-                        tie_breakers=["_batch_id"])
+    return bronze.select("campaign_id", "status", "_ingested_at", "_batch_id", *columns)
+
+
+def scd2_campaign_status(spark: SparkSession, sf: str) -> DataFrame:
+    """W-03: status history (first version and every change) with validity intervals."""
+    return scd2_history(status_versions(spark, sf), "campaign_id", "status", tie_breakers=["_batch_id"])
+
+
+def scd2_merged_job(spark: SparkSession, sf: str) -> DataFrame:
+    """W-03 by batches: the second batch arrives first, then the first one in two parts, the last of them twice."""
+    versions, base = status_versions(spark, sf), scratch_path(spark, "status-history")
+    odd = F.pmod(F.xxhash64("campaign_id"), F.lit(2)) == 1
+    first = F.col("_batch_id") == "b1"
+    for n, part in enumerate((~first, first & odd, first & ~odd, first & ~odd)):
+        steps = Steps(spark, scratch_path(spark, f"status-merge-{n}"))
+        history = merge_versions(versions.where(part), base, steps, "campaign_id", "status", tie_breakers=("_batch_id",))
+    return history
+
+
+def flight_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """Status versions by the time they take effect: the first batch's at the flight's start, the second's at its end."""
+    effective = F.when(F.col("_batch_id") == "b1", F.col("start_date")).otherwise(F.col("end_date")).cast("timestamp")
+    return status_versions(spark, sf, "start_date", "end_date").withColumn("effective_at", effective).select(
+        "campaign_id", "status", "effective_at", "_batch_id")
+
+
+def active_by_day_job(spark: SparkSession, sf: str) -> DataFrame:
+    """W-04 over a calendar: campaigns per status in effect at the start of every day of 1998 and 1999."""
+    history = scd2_history(flight_statuses(spark, sf), "campaign_id", "status", "effective_at", ["_batch_id"])
+    return active_by_day(history, "status", _dt.date(1998, 1, 1), _dt.date(1999, 12, 31), "campaigns")
+
+
+def delivery_by_status_then_job(spark: SparkSession, sf: str) -> DataFrame:
+    """W-04/J-07: delivery summed by the campaign's status in effect on the day of delivery."""
+    facts = clean.silver_delivery(b.delivery_bronze(spark, sf), AS_OF).select("campaign_id", "delivery_date", "impressions", "spend_usd")
+    then = as_of_join(facts, flight_statuses(spark, sf), "campaign_id", "delivery_date", "effective_at", {"status": "status_then"},
+                      [F.col("_batch_id").desc()])
+    return then.groupBy("status_then").agg(
+        F.count(F.lit(1)).alias("delivery_rows"), F.sum("impressions").cast("long").alias("impressions"),
+        F.sum(F.col("spend_usd").cast("decimal(18,2)")).cast("double").alias("spend"))
 
 
 def active_on_date(spark: SparkSession, sf: str, at: _dt.datetime = _dt.datetime(1999, 3, 1)) -> DataFrame:
