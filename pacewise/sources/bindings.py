@@ -65,9 +65,9 @@ QA_CHECK_CATALOGUE = [
     ("Floodlight Tags", "Conversion tags configured and firing"),
 ]
 
-# Binding lists (FIXTURES.md §2), in index order. Rules name these objectives (Acq, Engagement,
-# Awareness), channels, platforms, statuses, languages, stages and publishers. The rest of the objectives is invented.
-OBJECTIVES = ["Acq", "Renew", "Recover", "Extend", "Lift", "Engagement", "Awareness"]
+# Binding lists (FIXTURES.md §2), in index order. Rules name these objectives, channels, platforms,
+# statuses, languages, stages and publishers.
+NAMED_OBJECTIVES = ["Acq", "Awareness", "Engagement"]
 CHANNELS_MAPPED = ["ProgDisplay", "ProgVideo", "ProgNative", "ProgCTV", "ProgAudio", "Social", "Search", "YouTube"]
 CHANNELS = ["display", "video", "native", "ctv", "audio", "social", "search", "youtube"]
 RAW_PLATFORMS = ["meta", "FACEBOOK", " Instagram ", "tiktok", "CM360", "dcm", "Campaign Manager", "dv360",
@@ -79,9 +79,6 @@ STAGES = ["New", "In Review", "Trafficking", "QA", "Ready to Launch", "Live", "C
           "Pending", "In Progress"]
 PUBLISHERS = ["meta", "TikTok", "snapchat", "pinterest"]
 # Invented values: no rule reads them.
-AUDIENCE_TACTICS = ["First Visit", "Repeat Visit"]
-AUDIENCE_STRATEGIES = ["Age", "Habit", "Topic"]
-AUDIENCE_DETAILED = ["Adults", "Households", "Night Viewers", "Past Members"]
 REQUESTERS = ["Harbor Desk", "North Studio", "Quartz Team", "Field Office", "Orchard Group", "River Unit"]
 
 CAMPAIGN_BATCHES = [
@@ -98,6 +95,11 @@ def pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int") + 1)
 
 
+def numbered(kind: str, index: Column, kinds: int) -> Column:
+    """One of ``kinds`` values that no rule names, such as ``objective-3``."""
+    return F.concat(F.lit(f"{kind}-"), (index % kinds).cast("string"))
+
+
 def padded(key: Column, width: int = 7) -> Column:
     """The number in at least ``width`` digits; longer ones stay whole (``lpad`` alone would cut them)."""
     text = key.cast("string")
@@ -138,7 +140,7 @@ def campaigns_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("segment"),
         F.concat(F.lower(F.col("c_mktsegment")), F.lit("_plus ")).alias("product"),
         F.concat(prefix, F.col("c_name")).alias("campaign_name"),
-        pick(OBJECTIVES, k).alias("campaign_objective"),
+        F.when(k % 7 < 3, pick(NAMED_OBJECTIVES, k % 7)).otherwise(numbered("objective", k, 7)).alias("campaign_objective"),
         F.when(k % 31 != 0, F.lower(F.col("n_name"))).alias("targeting_geo"),
         F.col("n_name").alias("country"),
         pick(LANGUAGES, k).alias("language"),
@@ -153,9 +155,9 @@ def campaigns_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(b2, F.lit("Paused")).otherwise(pick(STATUSES_B1, k)).alias("status"),
         F.when(k % 17 == 0, F.lit(0)).otherwise(F.lit(100) + (k * 7919) % 2500).cast("int").alias("impressions_goal"),
         (F.lit(1) + k % 3).cast("int").alias("flight_priority"),
-        pick(AUDIENCE_TACTICS, k).alias("audience_tactic"),
-        pick(AUDIENCE_STRATEGIES, k).alias("audience_strategy"),
-        pick(AUDIENCE_DETAILED, k).alias("audience_detailed"),
+        numbered("tactic", k, 2).alias("audience_tactic"),
+        numbered("strategy", k, 3).alias("audience_strategy"),
+        numbered("audience", k, 4).alias("audience_detailed"),
         F.when(k % 9 == 0, F.concat(F.lit("http://www.example.com/c/"), k.cast("string")))
         .when(k % 9 == 1, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("https://www.example.com/c/"), k.cast("string")))
