@@ -155,8 +155,9 @@ def leaves_of(pre_tokens: list[str], by: Counter, size: int) -> list[tuple[int,
 def build_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``docs`` with the state to keep: columns chars and tokens, the two sum trees of each text.
 
-    ``docs`` has a text; its other columns stay as they are. A null text is
-    empty; an empty text has a tree of one empty leaf.
+    ``docs`` has a text; its other columns stay as they are, but for columns chars
+    and tokens of its own, which are given back as given_chars and given_tokens. A
+    null text is empty; an empty text has a tree of one empty leaf.
     """
 
     def trees(texts: pa.Array) -> pa.Array:
@@ -165,9 +166,10 @@ def build_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         lists = pa.list_(pa.int64())
         return pa.StructArray.from_arrays([pa.array([t.chars for t in built], lists), pa.array([t.tokens for t in built], lists)], names=["chars", "tokens"])
 
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("chars", "tokens")]
+    others = [F.col(f"`{c}`").alias(f"given_{c}" if c in ("chars", "tokens") else c) for c in docs.columns]
+    names = [F.col(f"`given_{c}`" if c in ("chars", "tokens") else f"`{c}`") for c in docs.columns]
     udf = F.arrow_udf(trees, f"struct<{TREE.replace(' array', ':array')}>")
-    return text_session(docs).select(*others, udf("text").alias("_tree")).select(*others, "_tree.chars", "_tree.tokens")
+    return text_session(docs).select(*others, udf("text").alias("_tree")).select(*names, "_tree.chars", "_tree.tokens")
 
 
 def state_batch(doc_ids: pa.Array, texts: list[str], trees: list[TokenTree], **more: list[int]) -> pa.RecordBatch:
@@ -181,13 +183,14 @@ def attach_edits(state: DataFrame, log: DataFrame) -> DataFrame:
     """``state`` with the edits of an edit log (doc_id, seq, at, removed, inserted) in an array, in order of seq.
 
     A document's edits apply one after the other, so they go to its row
-    together; positions refer to the text as the earlier edits left it.
+    together; positions refer to the text as the earlier edits left it. Columns of
+    ``state`` stay as they are, but for one named edits, which this replaces.
     """
     one = F.struct("seq", F.struct(F.col("at").cast("long").alias("at"), F.col("removed").cast("long").alias("removed"), "inserted").alias("e"))
-    per = log.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(one)).alias("log"))
+    per = log.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(one)).alias("_log"))
     none = F.array().cast(EDITS)
     return (state.join(per, F.col("doc_id") == F.col("_id"), "left")
-            .select(*[state[c] for c in state.columns], F.coalesce(F.col("log.e"), none).alias("edits")))
+            .select(*[state[f"`{c}`"] for c in state.columns if c != "edits"], F.coalesce(F.col("_log.e"), none).alias("edits")))
 
 
 def apply_edits(rows: DataFrame, tokenizer_path: str) -> DataFrame:

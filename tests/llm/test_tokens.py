@@ -169,3 +169,14 @@ def test_counts_of_an_empty_table(spark):
     state = token_counts.build_trees(docs(spark, []).select("doc_id", "text"), BYTE_BPE)
     log = spark.createDataFrame([], "doc_id bigint, seq int, at bigint, removed bigint, inserted string")
     assert token_counts.apply_edits(token_counts.attach_edits(state, log), BYTE_BPE).collect() == []
+
+
+def test_columns_of_the_same_names_stay(spark):
+    """Columns named as the state's or the log's do not disturb the trees or the edits."""
+    rows = [(1, "one two three", "c", "t", "l", "e"), (2, None, "c2", "t2", "l2", "e2")]
+    state = token_counts.build_trees(spark.createDataFrame(rows, "doc_id long, text string, chars string, tokens string, log string, edits string"), BYTE_BPE)
+    log = spark.createDataFrame([(1, 0, 0, 3, "four")], "doc_id long, seq long, at long, removed long, inserted string")
+    ready = token_counts.attach_edits(state, log)
+    assert {(r.doc_id, r.given_chars, r.given_tokens, r.log) for r in ready.collect()} == {(1, "c", "t", "l"), (2, "c2", "t2", "l2")}
+    got = {r.doc_id: r for r in token_counts.apply_edits(ready, BYTE_BPE).collect()}
+    assert got[1].text == "four two three" and got[1].n_edits == 1 and got[2].text == "" and got[2].n_edits == 0
