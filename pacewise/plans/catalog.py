@@ -268,10 +268,11 @@ query("assign_round_robin")(lambda spark, sf: tk.round_robin_assignments(
 # alert lines including QA failures
 @query("alert_messages")
 def _alert_messages(spark, sf):
-    """H-06 over written silver tables: each is built once, and the alert kinds read what they need of it."""
-    d = written_once(delivery(spark, sf), "alert-delivery")
-    c, t = written_once(campaigns(spark, sf), "alert-campaigns"), written_once(tickets(spark, sf), "alert-tickets")
-    return hl.alert_messages(d, c, t, gold.campaign_performance(c, d, AS_OF), tk.qa_results(tk.with_payloads(tk.pending_tickets(t), c)), AS_OF)
+    """H-06: one written (campaign, day) aggregate feeds the list of zero days and the performance; the rest comes from silver."""
+    by_day = written_once(gold.delivery_by_campaign_day(delivery(spark, sf), AS_OF), "alert-days")
+    c, t = campaigns(spark, sf), tickets(spark, sf)
+    performance = gold.performance_of_totals(c, gold.totals_of_days(by_day), AS_OF)
+    return hl.alert_messages(by_day, c, t, performance, tk.qa_results(tk.with_payloads(tk.pending_tickets(t), c)), AS_OF)
 
 # -- conversions ---------------------------------------------------------------------
 

@@ -70,7 +70,11 @@ def delivery_by_campaign_day(delivery: DataFrame, as_of: _dt.datetime = AS_OF) -
 
 def delivery_totals(delivery: DataFrame, as_of: _dt.datetime = AS_OF) -> DataFrame:
     """Second level: one row per campaign."""
-    by_day = delivery_by_campaign_day(delivery, as_of)
+    return totals_of_days(delivery_by_campaign_day(delivery, as_of))
+
+
+def totals_of_days(by_day: DataFrame) -> DataFrame:
+    """``delivery_totals`` from the rows of ``delivery_by_campaign_day``."""
     agg = by_day.groupBy("campaign_id").agg(
         F.count(F.lit(1)).alias("days_with_delivery"),
         F.sum("impressions").alias("total_impressions"),

@@ -111,12 +111,14 @@ ALERT_TITLES = {
 }
 
 
-def alert_messages(delivery: DataFrame, campaigns: DataFrame, tickets: DataFrame, performance: DataFrame,
+def alert_messages(by_day: DataFrame, campaigns: DataFrame, tickets: DataFrame, performance: DataFrame,
                    qa_results: DataFrame | None = None, as_of: _dt.datetime = AS_OF) -> DataFrame:
-    """H-06: alert lines (alert_type, channel, title, subject_id, line); sending is not built."""
+    """H-06: alert lines (alert_type, channel, title, subject_id, line); sending is not built.
+
+    ``by_day`` has a row per campaign and day with its number of rows without impressions (``zero_rows``).
+    """
     yesterday = F.date_sub(as_of_date(as_of), 1)
-    z = (delivery.where((F.col("delivery_date") == yesterday) & (F.col("impressions") == 0))
-         .select("campaign_id").distinct()
+    z = (by_day.where((F.col("delivery_date") == yesterday) & (F.col("zero_rows") > 0)).select("campaign_id")
          .join(campaigns.where(F.col("status") == "Active").select("campaign_id", "campaign_name", "platform"),
                "campaign_id"))
     zero = z.select(
