@@ -328,6 +328,11 @@ query("stream_ingest_csv")(mt.stream_ingest_csv_job)
 query("stream_ingest_incremental")(mt.stream_ingest_incremental_job)
 query("stream_delivery_refresh")(mt.stream_delivery_refresh_job)
 query("stream_conversion_dedup")(mt.stream_conversion_dedup_job)
+query("stream_evolving_csv")(mt.stream_evolving_job)
+query("stream_schema_log")(mt.schema_log_job)
+query("expect_audited")(mt.expect_audited_job)
+query("expect_published")(mt.expect_published_job)
+query("published_lookup")(mt.lookup_job)
 
 
 @query("pacing_lookup")

@@ -8,8 +8,9 @@ the table read back, so the result can be compared with the batch oracle.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,14 +19,17 @@ from pacewise.operators import clean
 from pacewise.operators.dedup import active_on, scd2_history
 from pacewise.operators.history import active_by_day, as_of_join, merge_versions
 from pacewise.functions.columns import allowed_or_default
+from pacewise.functions.rules import DECLARATIVE_EXPECTATIONS
 from pacewise.operators.clean import CAMPAIGN_STATUSES
+from pacewise.plans import lookup
 from pacewise.session import scratch_path, written_once
 from pacewise.sources import bindings as b
 from pacewise.sources import csv as csvsrc
 from pacewise.sources import sinks
+from pacewise.sources.audited import AuditedTable
 from pacewise.sources.steps import Steps
 from pacewise.sources.tables import table_path
-from pacewise.streaming import ingest
+from pacewise.streaming import evolving, ingest
 
 
 def _land_delivery(spark: SparkSession, sf: str, name: str) -> tuple[str, T.StructType]:
@@ -327,3 +331,85 @@ def stream_conversion_dedup_job(spark: SparkSession, sf: str) -> DataFrame:
     sink, ckpt = scratch_path(spark, "events-dedup"), scratch_path(spark, "events-ckpt")
     ingest.dedup_events(spark, landing, ev.schema, sink, ckpt, ["publisher", "event_id"], "event_time")
     return spark.read.parquet(sink).select("publisher", "event_id", "event_name", "value", "currency")
+
+
+def _campaign_number() -> Column:
+    return F.regexp_extract("campaign_id", r"(\d+)$", 1).cast("long")
+
+
+def evolving_drops(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Campaigns as three drops of text columns whose headers grow.
+
+    The first third (by campaign number) lacks the landing page; the second has it and budgets that are no numbers where 50
+    divides the number; the third has its columns in reverse order and a reviewer too.
+    """
+    bronze = b.campaigns_bronze(spark, sf)
+    third = F.pmod(_campaign_number(), F.lit(3))
+    odd = F.when(_campaign_number() % 50 == 0, F.concat(F.lit("about "), F.col("campaign_id"))).otherwise(F.col("budget_usd").cast("string"))
+    reviewed = bronze.where(third == 2).withColumn("reviewed_by", F.concat(F.lit("user_"), F.pmod(_campaign_number(), F.lit(7)).cast("string")))
+    return [bronze.where(third == 0).drop("landing_page"), bronze.where(third == 1).withColumn("budget_usd", odd),
+            reviewed.select(*reversed(reviewed.columns))]
+
+
+def run_evolving(spark: SparkSession, sf: str) -> str:
+    """The three drops through the evolving stream, a run of the stream after each; returns the table's path."""
+    landing, table, ckpt = (scratch_path(spark, n) for n in ("evolving-landing", "evolving-table", "evolving-ckpt"))
+    for n, drop in enumerate(evolving_drops(spark, sf)):
+        csvsrc.write_csv(drop.hint("rebalance"), f"{landing}/drop-{n}")
+        evolving.stream_evolving(spark, landing, table, ckpt, CAMPAIGN_SCHEMA)
+    return table
+
+
+def stream_evolving_job(spark: SparkSession, sf: str) -> DataFrame:
+    """S-07/S-09: three CSV drops with growing headers; every value is in its column or in the rescued map."""
+    rows = evolving.read_evolving(spark, run_evolving(spark, sf))
+    return rows.select("*", F.map_keys(evolving.RESCUED)[0].alias("rescued_column"),
+                       F.col(evolving.RESCUED)["budget_usd"].alias("rescued_budget")).drop(evolving.RESCUED)
+
+
+def schema_log_job(spark: SparkSession, sf: str) -> DataFrame:
+    """S-09: the schemas that the evolving stream's table has had: each column with the version that brought it."""
+    return evolving.schema_log(spark, run_evolving(spark, sf)).select("version", "column_name", "type")
+
+
+def audited_delivery(spark: SparkSession, sf: str) -> AuditedTable:
+    """Bronze delivery in audited loads: the early years; the rest with ids missing where 97 divides the supplier; the rest whole.
+
+    Rules are the declared ones, of which the counting ones leave rows out here; the second load breaks a ``fail`` rule.
+    """
+    table = AuditedTable(spark, scratch_path(spark, "audited-delivery"))
+    rules = [(n, p, "drop" if a == "keep" else a) for n, p, a in DECLARATIVE_EXPECTATIONS["delivery"]]
+    d = b.delivery_bronze(spark, sf)
+    early = F.coalesce(F.col("date") < F.lit("1998-01-01").cast("date"), F.lit(False))
+    lost = F.when(F.col("_src_suppkey") % 97 == 0, F.lit(None)).otherwise(F.col("delivery_id"))
+    table.append(d.where(early), "early", rules)
+    table.append(d.where(~early).withColumn("delivery_id", lost), "late-broken", rules)
+    table.append(d.where(~early), "late", rules)
+    table.append(d.where(~early), "late", rules)  # repeated: nothing is written twice
+    return table
+
+
+def expect_audited_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Q-02/Q-03: what each audited load counted while it was written, with refused loads."""
+    return audited_delivery(spark, sf).report()
+
+
+def expect_published_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Q-03: the rows that audited loads made visible."""
+    return audited_delivery(spark, sf).rows()
+
+
+def lookup_job(spark: SparkSession, sf: str, path: str | None = None, ids: tuple[str, ...] = ("CMP-0000007", "CMP-0000050", "CMP-0000149")) -> DataFrame:
+    """S-17 over an existing table: performance published once without its newest states, refreshed with them, then looked up by id."""
+    from pacewise.plans import gold
+
+    path = path or scratch_path(spark, "published-performance")
+    d, c = clean.silver_delivery(b.delivery_bronze(spark, sf), AS_OF), clean.silver_campaigns(b.campaigns_bronze(spark, sf), AS_OF)
+    performance = written_once(gold.campaign_performance(c, d, AS_OF), "performance")
+    newest = _campaign_number() % 50 == 0
+    stale = performance.where((_campaign_number() % 25 != 0) | newest).withColumn("status", F.when(newest, F.lit("Draft")).otherwise(F.col("status")))
+    lookup.publish(stale, path, "campaign_id", buckets=16)
+    lookup.refresh(performance.where(_campaign_number() % 25 == 0), path, "campaign_id", Steps(spark, scratch_path(spark, "refresh-lookup")))
+    columns = ["campaign_id", "campaign_name", "status", "delivery_pct", "time_elapsed_pct", "pacing_status", "pacing_ratio"]
+    found = [lookup.look_up(spark, path, "campaign_id", i).select(*columns) for i in ids]
+    return reduce(DataFrame.unionByName, found)

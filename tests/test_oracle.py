@@ -34,7 +34,8 @@ def test_inferred_csv_types(spark):
 WRITES = {"csv_header_report", "sink_partitioned", "create_bronze_tables", "daily_pipeline", "stream_delivery_refresh", "bulk_load_once",
           "stream_ingest", "stream_ingest_incremental", "stream_ingest_csv", "ingest_manifest", "compact_cluster",
           "sink_append", "sink_overwrite", "read_csv_by_name", "read_csv_inferred", "schema_evolve", "qa_log_append",
-          "hourly_refresh", "stream_conversion_dedup"}
+          "hourly_refresh", "stream_conversion_dedup", "stream_evolving_csv", "stream_schema_log", "expect_audited", "expect_published",
+          "published_lookup"}
 SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
                  "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 
