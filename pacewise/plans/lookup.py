@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewise.sources.steps import Steps, exists, list_names, write_text
+from pacewise.sources.files import exists, list_names, write_text
+from pacewise.sources.steps import Steps
 
 BUCKET = "_bucket"
 ROW_GROUP_BYTES = 4 << 20

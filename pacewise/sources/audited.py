@@ -19,8 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from pacewise.sources.files import delete, exists, rename_new
 from pacewise.sources.sinks import read_if_present
-from pacewise.sources.steps import delete, exists, rename_new
 
 #: (name, predicate, action): ``keep`` only counts, ``drop`` leaves the row out, ``fail`` refuses the load.
 Expectation = tuple[str, str, str]

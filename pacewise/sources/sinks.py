@@ -5,7 +5,8 @@
 * lineage stamping with the file each row came from (``_metadata.file_path``);
 * an ingestion manifest (state, rows and error per source file) and an
   idempotent bulk load that skips files already in the manifest (left-anti
-  join on the path) and resumes batches that a dead load left pending;
+  join on the path), resumes batches that a dead load left pending and shares
+  the work with loads that run at the same time (``claims.py``);
 * compaction with range clustering on a key;
 * as-of reads and batch history over append-only bronze tables.
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from pacewise.config import AS_OF
 from pacewise.operators.dedup import latest_first
+from pacewise.sources.claims import EXPIRY_SECONDS, claim, wait_for
 
 
 def bronze_stamp(df: DataFrame, batch_id: str, as_of: _dt.datetime = AS_OF, file_name_only: bool = True) -> DataFrame:
@@ -85,42 +87,62 @@ def ingest_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bulk_load_once(spark: SparkSession, landing: str, target: str, manifest: str, table: str,
-                   as_of: _dt.datetime = AS_OF, retry_failed: bool = False, files_per_batch: int = FILES_PER_BATCH) -> int:
-    """S-08: append only files that no earlier load has taken, each exactly once. Returns the files loaded.
+                   as_of: _dt.datetime = AS_OF, retry_failed: bool = False, files_per_batch: int = FILES_PER_BATCH,
+                   claim_seconds: float = EXPIRY_SECONDS) -> int:
+    """S-08: append only files that no earlier load has taken, each exactly once. Returns the files loaded by this call.
 
     New files are taken in batches of at most ``files_per_batch``. A batch is
     recorded as ``pending`` with its files BEFORE its data are written, into a
-    folder of its own, in overwrite mode; then its files are recorded as
+    folder of the attempt, in overwrite mode; then its files are recorded as
     ``success`` with their rows, or ``failed`` with the error. A load that
     finds pending batches (an earlier one died) first writes those again, same
-    files and same folder, so files that landed meanwhile cannot change them.
+    files, so files that landed meanwhile cannot change them.
     Failed batches stay failed until ``retry_failed``.
+
+    Several loads may run at once: files are chosen by one of them at a time,
+    and a batch that another holds a claim on is left to it. A claim older than
+    ``claim_seconds`` counts as a dead load's. Should that load live after all,
+    ``loaded_rows`` still shows each file once.
     """
-    loaded = 0
-    known = ingest_manifest(spark, manifest).where(F.col("table_name") == table)
+    claims, loaded = f"{manifest.rstrip('/')}-claims/{table}", 0
     again = ["pending", "failed"] if retry_failed else ["pending"]
-    open_batches = known.where(F.col("status").isin(again)).groupBy("batch").agg(F.max("attempt").alias("attempt")).collect()
-    for r in sorted(open_batches):
-        loaded += _load_batch(spark, known, r["batch"], r["attempt"] + 1, target, manifest, table, as_of)
+
+    def open_batches(batch: str | None = None) -> dict[str, int]:
+        known = ingest_manifest(spark, manifest).where((F.col("table_name") == table) & F.col("status").isin(again))
+        if batch is not None:
+            known = known.where(F.col("batch") == batch)
+        return {r["batch"]: r["attempt"] for r in known.groupBy("batch").agg(F.max("attempt").alias("attempt")).collect()}
+
+    for batch in sorted(open_batches()):
+        held = claim(spark, f"{claims}/{batch}", claim_seconds)
+        if held:
+            with held:
+                attempt = open_batches(batch).get(batch)  # its state may have changed before the claim was ours
+                if attempt is not None:
+                    known = ingest_manifest(spark, manifest).where(F.col("table_name") == table)
+                    loaded += _load_batch(spark, known, batch, attempt + 1, target, manifest, table, as_of)
     while True:
-        known = ingest_manifest(spark, manifest).where(F.col("table_name") == table)
-        new = list_files(spark, landing).join(known, F.col("path") == F.col("file_path"), "left_anti")
-        paths = [r["path"] for r in new.select("path").orderBy("path").limit(files_per_batch).collect()]
-        if not paths:
-            return loaded
-        batch = hashlib.sha256("\n".join(paths).encode()).hexdigest()[:16]
-        rows = spark.createDataFrame([(p,) for p in paths], "file_path string")
-        _record(rows, manifest, table, batch, 1, "pending", as_of)
-        loaded += _load_batch(spark, rows, batch, 1, target, manifest, table, as_of)
+        with wait_for(spark, f"{claims}/choosing", claim_seconds):
+            known = ingest_manifest(spark, manifest).where(F.col("table_name") == table)
+            new = list_files(spark, landing).join(known, F.col("path") == F.col("file_path"), "left_anti")
+            paths = [r["path"] for r in new.select("path").orderBy("path").limit(files_per_batch).collect()]
+            if not paths:
+                return loaded
+            batch = hashlib.sha256("\n".join(paths).encode()).hexdigest()[:16]
+            held = wait_for(spark, f"{claims}/{batch}", claim_seconds)  # a new name: taken before others can see it
+            rows = spark.createDataFrame([(p,) for p in paths], "file_path string")
+            _record(rows, manifest, table, batch, 1, "pending", as_of)
+        with held:
+            loaded += _load_batch(spark, rows, batch, 1, target, manifest, table, as_of)
 
 
 def _record(files: DataFrame, manifest: str, table: str, batch: str, attempt: int, status: str, as_of: _dt.datetime,
             rows: Column | None = None, error: str | None = None) -> None:
-    """Append one manifest row for each of ``files`` (file_path)."""
-    write_append(files.select(
+    """Add one manifest row for each of ``files`` (file_path), in a folder of its own: appends to one folder at once undo each other."""
+    write_overwrite(files.select(
         F.lit(table).alias("table_name"), F.lit(batch).alias("batch"), "file_path", F.lit(attempt).alias("attempt"), F.lit(status).alias("status"),
         (rows if rows is not None else F.lit(None)).cast("long").alias("rows_loaded"), F.lit(as_of).cast("timestamp").alias("loaded_at"),
-        F.lit(error).cast("string").alias("error")), manifest)
+        F.lit(error).cast("string").alias("error")), f"{manifest.rstrip('/')}/_record={table}-{batch}-{attempt}-{status}")
 
 
 def _load_batch(spark: SparkSession, files: DataFrame, batch: str, attempt: int, target: str, manifest: str, table: str,
@@ -131,7 +153,7 @@ def _load_batch(spark: SparkSession, files: DataFrame, batch: str, attempt: int,
     if attempt > 1:
         _record(spark.createDataFrame([(p,) for p in paths], "file_path string"), manifest, table, batch, attempt, "pending", as_of)
     held = spark.createDataFrame([(p,) for p in paths], "file_path string")
-    folder = f"{target}/_load={batch}"
+    folder = f"{target}/_load={batch}-{attempt}"
     try:
         data = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_landed_file"))
         data.write.mode("overwrite").parquet(folder)
@@ -140,17 +162,23 @@ def _load_batch(spark: SparkSession, files: DataFrame, batch: str, attempt: int,
         counted = held.join(counts, F.col("file_path") == F.col("_landed_file"), "left")
         _record(counted, manifest, table, batch, attempt, "success", as_of, F.coalesce("n", F.lit(0)))
     except (PySparkException, Py4JJavaError) as e:
-        _record(held, manifest, table, batch, attempt, "failed", as_of, error=str(e)[:2_000])
+        _record(held, manifest, table, batch, attempt, "failed", as_of, error=str(e))
         return 0
     return len(paths)
 
 
 def loaded_rows(spark: SparkSession, target: str, manifest: str, table: str) -> DataFrame:
-    """The rows of successful batches, without the load's own columns."""
+    """The rows of each loaded file once, without the load's own columns: of a batch its last attempt, if that succeeded.
+
+    A file that two batches hold (two loads chose it, one of them taken for dead) counts in the first by name.
+    """
     good = ingest_manifest(spark, manifest).where((F.col("table_name") == table) & (F.col("status") == "success"))
-    batches = good.select("batch").distinct()
-    return (spark.read.parquet(target).withColumn("batch", F.col("_load").cast("string"))
-            .join(batches, "batch", "left_semi").drop("batch", "_load", "_landed_file"))
+    loads = good.select(F.concat_ws("-", "batch", "attempt").alias("load")).distinct()
+    twice = good.groupBy("file_path").agg(F.min("batch").alias("first"), F.max("batch").alias("last")).where("first <> last")
+    extra = (good.join(twice, "file_path").where(F.col("batch") != F.col("first"))
+             .select(F.concat_ws("-", "batch", "attempt").alias("load"), F.col("file_path").alias("_landed_file")))
+    return (spark.read.parquet(target).withColumn("load", F.col("_load").cast("string")).join(loads, "load", "left_semi")
+            .join(extra, ["load", "_landed_file"], "left_anti").drop("load", "_load", "_landed_file"))
 
 
 #: Size that compaction aims at for a file.

@@ -13,53 +13,12 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pacewise.sources.files import delete, exists, resolve
 from pacewise.sources.sinks import write_partitioned
 
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return fs.exists(p)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p = _path(spark, path)
-    fs.delete(p, True)
-
-
-def list_names(spark: SparkSession, path: str) -> list[str]:
-    """Names of what lies directly in the folder ``path``; none where there is no such folder."""
-    fs, p = _path(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _path(spark, path)
-    out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def rename_new(spark: SparkSession, source: str, target: str) -> bool:
-    """Give ``source`` the name ``target`` unless that is taken; whether it got it.
-
-    One step of the file system where it renames atomically (HDFS, local); an
-    object store without atomic renames needs a committer that has them.
-    """
-    fs, s = _path(spark, source)
-    _, t = _path(spark, target)
-    if fs.exists(t):
-        return False
-    fs.mkdirs(t.getParent())
-    return bool(fs.rename(s, t))
-
-
 class Steps:
     """The steps of one job (an epoch of a stream, a batch) in ``folder``, which all executors share."""
 
@@ -78,11 +37,11 @@ class Steps:
 
     def finish(self) -> None:
         """All changes are made: the copies go, the mark stays."""
-        fs, p = _path(self.spark, self.folder)
+        fs, p = resolve(self.spark, self.folder)
         for status in fs.listStatus(p) if fs.exists(p) else ():
             if status.getPath().getName() != "_DONE":
                 fs.delete(status.getPath(), True)
-        fs.create(_path(self.spark, f"{self.folder}/_DONE")[1]).close()
+        fs.create(resolve(self.spark, f"{self.folder}/_DONE")[1]).close()
 
 
 def replace_partitions(rows: DataFrame, path: str, column: str, values: Iterable) -> None:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacewise.sources.csv import CSV_OPTIONS
-from pacewise.sources.steps import delete, exists, list_names, rename_new, write_text
+from pacewise.sources.files import delete, exists, list_names, rename_new, write_text
 
 RESCUED = "_rescued"
 #: Key of a whole line in the rescued map; no header can be equal to it, as headers are trimmed of white space.

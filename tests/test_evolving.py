@@ -100,7 +100,7 @@ def test_a_repeated_epoch_leaves_no_row_twice(lab):
 
 
 def test_schema_versions_are_never_taken_twice(lab):
-    from pacewise.sources.steps import rename_new, write_text
+    from pacewise.sources.files import rename_new, write_text
 
     ev.grow_schema(lab.spark, lab.table, [T.StructField("id", T.LongType())])
     write_text(lab.spark, f"{lab.table}-schema/_other", "{}")

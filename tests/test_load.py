@@ -113,3 +113,47 @@ def test_csv_files_with_other_headers_load_by_name_or_raise(spark):
     csvsrc.write_csv(spark.createDataFrame([("1", "many"), (None, "2")], "id string, qty string"), bad)
     report = {r.column_name: (r.in_schema, r.in_file, r.failed_casts) for r in csvsrc.csv_header_report(spark, bad, schema).collect()}
     assert report == {"id": (True, True, 0), "qty": (True, True, 1), "name": (True, False, None)}
+
+
+def test_two_loads_at_once_give_each_row_once(spark, paths):
+    from concurrent.futures import ThreadPoolExecutor
+
+    landing, target, manifest = paths
+    for k in range(6):
+        _land(spark, landing, f"f{k}", 10, 10 * k)
+    with ThreadPoolExecutor(2) as pool:
+        taken = list(pool.map(lambda _: _load(spark, landing, target, manifest, files_per_batch=1), range(2)))
+    assert sum(taken) == 6
+    assert sorted(r.id for r in sinks.loaded_rows(spark, target, manifest, "t").collect()) == list(range(60))
+    assert sinks.ingest_manifest(spark, manifest).where("status = 'success' AND attempt = 1").count() == 6
+
+
+def test_a_live_load_keeps_its_batch_and_a_dead_ones_is_taken_over(spark, paths, monkeypatch):
+    from pacewise.sources.claims import claim
+
+    landing, target, manifest = paths
+    _land(spark, landing, "a", 10)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_load_batch", lambda *_: (_ for _ in ()).throw(SystemExit))
+        with pytest.raises(SystemExit):
+            _load(spark, landing, target, manifest)
+    (batch,) = {r.batch for r in sinks.ingest_manifest(spark, manifest).collect()}
+    live = claim(spark, f"{manifest}-claims/t/{batch}")
+    assert _load(spark, landing, target, manifest) == 0  # another holds it
+    assert claim(spark, live.path) is None
+    assert _load(spark, landing, target, manifest, claim_seconds=-1) == 1  # taken for dead
+    assert sinks.loaded_rows(spark, target, manifest, "t").count() == 10
+    # The slow load comes to its end after all: an older attempt's outcome changes nothing.
+    files = sinks.list_files(spark, landing).selectExpr("path AS file_path")
+    sinks._load_batch(spark, files, batch, 1, target, manifest, "t", sinks.AS_OF)
+    assert sinks.loaded_rows(spark, target, manifest, "t").count() == 10
+
+
+def test_a_file_that_two_batches_hold_counts_once(spark, paths):
+    landing, target, manifest = paths
+    _land(spark, landing, "a", 10)
+    _land(spark, landing, "b", 5, 10)
+    assert _load(spark, landing, target, manifest) == 2
+    files = sinks.list_files(spark, landing).selectExpr("path AS file_path").where("file_path LIKE '%/b/%'")
+    sinks._load_batch(spark, files, "0" * 16, 1, target, manifest, "t", sinks.AS_OF)
+    assert sorted(r.id for r in sinks.loaded_rows(spark, target, manifest, "t").collect()) == list(range(15))
