@@ -53,3 +53,8 @@ def test_unpartitioned_window_runs_on_the_daily_aggregate(spark):
     assert single != -1
     below = plan[single:]
     assert re.search(r"HashAggregate\(keys=\[delivery_date", below)
+
+
+def test_calendar_summary_reads_delivery_once(spark):
+    plan = _plan(QUERIES["daily_ops_summary_calendar"](spark, SF0001))
+    assert len(re.findall(r"FileScan parquet[^\n]*lineitem", plan)) == 1

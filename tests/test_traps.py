@@ -113,3 +113,16 @@ def test_rounding_is_identical_in_spark_and_duckdb(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
     want = {i: (a, b) for i, a, b in con.execute(f"SELECT i, {rnd('x', 2)}, {rnd('x', 4)} FROM t").fetchall()}
     assert got == want
+
+
+def test_calendar_week_ago_is_a_day_not_a_row_and_none_without_a_date(spark):
+    from pacewise.plans import gold
+
+    cols = ("campaign_id string, delivery_date date, impressions int, clicks int, spend_usd double, vast_errors int, "
+            "viewability_rate double, cpm double, cpc double, ctr double, _suspicious_ctr boolean")
+    day = lambda d: d and dt.date(1999, 6, d)
+    rows = [("C", day(d), n, 0, 1.0, 0, 0.5, 1.0, 1.0, 0.1, False) for d, n in [(1, 10), (2, 20), (8, 30), (9, None), (15, 40), (16, 5), (None, 7)]]
+    campaigns = spark.createDataFrame([("C", "Meta")], "campaign_id string, platform string")
+    got = gold.daily_ops_summary(spark.createDataFrame(rows, cols), campaigns, calendar=True).collect()
+    ago = {r.delivery_date and r.delivery_date.day: r.impressions_7d_ago for r in got}
+    assert ago == {1: None, 2: None, 8: 10, 9: 20, 15: 30, 16: None, None: None}
