@@ -157,3 +157,15 @@ def test_a_file_that_two_batches_hold_counts_once(spark, paths):
     files = sinks.list_files(spark, landing).selectExpr("path AS file_path").where("file_path LIKE '%/b/%'")
     sinks._load_batch(spark, files, "0" * 16, 1, target, manifest, "t", sinks.AS_OF)
     assert sorted(r.id for r in sinks.loaded_rows(spark, target, manifest, "t").collect()) == list(range(15))
+
+
+def test_partitioned_loads_derive_silver_once(spark, monkeypatch):
+    """The load and the re-load of a year take their rows from one written copy, not from the raw tables twice."""
+    from pacewise.plans import maintenance as mt
+    from tests.conftest import SF0001
+
+    seen, real = [], sinks.write_partitioned
+    monkeypatch.setattr(sinks, "write_partitioned", lambda df, *a, **k: (seen.append(df.inputFiles()), real(df, *a, **k))[1])
+    out = mt.sink_partitioned_job(spark, SF0001)
+    assert len(seen) == 2 and not [f for files in seen for f in files if "lineitem" in f]
+    assert out.count() == out.select("delivery_id").distinct().count() == 4599
