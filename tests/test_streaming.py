@@ -81,3 +81,13 @@ def test_csv_stream_rejects_shifted_header(spark):
     with pytest.raises(Exception):
         ingest.stream_files(spark, landing, schema, scratch_path(spark, "t-csv-sink"), scratch_path(spark, "t-csv-ck"),
                             fmt="csv")
+
+
+def test_csv_landing_shuffles_rows_for_the_join_only(spark, monkeypatch):
+    from pacewise.sources import csv as csvsrc
+
+    plans, real = [], csvsrc.write_csv
+    monkeypatch.setattr(csvsrc, "write_csv", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, *a))[1])
+    out = mt.stream_ingest_csv_job(spark, SF0001)
+    assert len(plans) == 1 and "Rebalance" not in plans[0]
+    assert out.count() == b.delivery_bronze(spark, SF0001).count()
