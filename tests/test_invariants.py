@@ -94,3 +94,17 @@ def test_materialized_silver_gives_the_same_gold(spark):
     assert "lineitem" not in plan(scorecard)  # built on the written silver tables
     assert "lineitem" in plan(q(spark, "platform_scorecard"))  # registered queries still start from the given tables
     assert rows(scorecard) == rows(q(spark, "platform_scorecard"))
+
+
+def test_daily_run_sums_delivery_once_and_gives_the_queries_gold(spark, monkeypatch):
+    from pacewise.plans import gold, pipeline
+    from pacewise.session import scratch_path
+
+    calls, real = [], gold.delivery_by_campaign_day
+    monkeypatch.setattr(gold, "delivery_by_campaign_day", lambda *a: (calls.append(a), real(*a))[1])
+    tables = pipeline.run_daily(spark, SF0001, scratch_path(spark, "t-daily"), ["campaigns", "delivery"])
+    assert len(calls) == 1
+    for name in ("campaign_performance", "daily_ops_summary", "platform_scorecard"):
+        got, want = tables[f"gold.{name}"], q(spark, name)
+        assert got.columns == want.columns and got.count() == want.count()
+        assert got.exceptAll(want).isEmpty(), name
