@@ -183,17 +183,29 @@ def loaded_rows(spark: SparkSession, target: str, manifest: str, table: str) ->
 
 #: Size that compaction aims at for a file.
 FILE_BYTES = 256 << 20
+#: Unpacked rows that one task of a compaction sorts: a packed file may unpack to many times its bytes.
+SORT_BYTES = 1 << 30
 
 
-def compact_cluster(spark: SparkSession, source: str, path: str, keys: list[str], file_bytes: int = FILE_BYTES) -> int:
+def unpacked_bytes(table: DataFrame) -> int:
+    """About what the rows of ``table`` take in a sort: a word a column and some a row, and the bytes of its texts."""
+    texts = [f.name for f in table.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    lengths = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c in texts]
+    rows, *held = table.agg(F.count(F.lit(1)), *lengths).first()
+    return rows * 8 * (len(table.columns) + 6) + sum(held)
+
+
+def compact_cluster(spark: SparkSession, source: str, path: str, keys: list[str], file_bytes: int = FILE_BYTES,
+                    sort_bytes: int = SORT_BYTES) -> int:
     """S-15: rewrite the Parquet table at ``source`` into range-partitioned files sorted by ``keys`` (min/max stats then skip files).
 
-    The number of files follows the table's bytes. ``keys`` should end with a
+    The number of files follows the table's bytes, and its unpacked rows where
+    these would be more than a task should sort. ``keys`` should end with a
     column that differs from row to row: a value of the first key that holds
     much of the table then spans files and tasks. Returns the number of files asked for.
     """
     size = list_files(spark, source).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    files = max(1, -(-size // file_bytes))
+    files = max(1, -(-size // file_bytes), -(-unpacked_bytes(spark.read.parquet(source)) // sort_bytes))
     spark.read.parquet(source).repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
     return files
 

@@ -1,6 +1,7 @@
 """Bulk load: every file once through crashes and failures; compaction follows the bytes; CSV headers."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacewise.session import scratch_path
@@ -169,3 +170,14 @@ def test_partitioned_loads_derive_silver_once(spark, monkeypatch):
     out = mt.sink_partitioned_job(spark, SF0001)
     assert len(seen) == 2 and not [f for files in seen for f in files if "lineitem" in f]
     assert out.count() == out.select("delivery_id").distinct().count() == 4599
+
+
+def test_compaction_of_well_packed_rows_bounds_what_a_task_sorts(spark, monkeypatch):
+    """20 MB of texts that pack into a small file are sorted by several tasks."""
+    monkeypatch.setattr(sinks.compact_cluster, "__defaults__", (sinks.FILE_BYTES, 4 << 20))
+    source, path = scratch_path(spark, "packed"), scratch_path(spark, "packed-compacted")
+    spark.range(20_000).selectExpr("id", "repeat('x', 1000) AS text").coalesce(1).write.parquet(source)
+    n = sinks.compact_cluster(spark, source, path, ["id"])
+    counts = [r["count"] for r in spark.read.parquet(path).groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert len(counts) == n >= 5 and max(counts) < 20_000 / 3
+    assert spark.read.parquet(path).exceptAll(spark.read.parquet(source)).isEmpty()
