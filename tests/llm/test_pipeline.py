@@ -133,3 +133,29 @@ def test_a_stage_leaves_nothing_behind_once_the_next_has_begun(spark):
     left = [p for p in scratch_since(mark) if os.path.exists(p.removeprefix("file:"))]
     assert not [p for p in left if "numbered-rows" in p or "quality-rules" in p or "exact-dedup" in p]
     drop_scratch(spark, left)
+
+
+def test_a_task_holds_a_bounded_part_of_whole_texts(spark):
+    """Scans fill short vectors and written copies have small row groups, so the heap does not follow a file's size."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from pacewise.llm import common
+    from pacewise.session import scratch_given, scratch_since
+
+    text = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(j)), 256) for j in range(32)])  # 2 kB that do not compress to nothing
+    docs, mark = spark.range(0, 24_000, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text")), scratch_given()
+    for name in (common.READ_ROWS, common.WRITE_BYTES):
+        spark.conf.unset(name)
+    assert common.numbered(docs).count() == 24_000
+    assert int(spark.conf.get(common.READ_ROWS)) <= common.VECTOR_ROWS
+    files = glob.glob(f"{scratch_since(mark)[0].removeprefix('file:')}/*.parquet")
+    groups = [pq.ParquetFile(f).metadata.row_group(g).total_byte_size for f in files for g in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(groups) > 40 << 20 and max(groups) <= 1.5 * common.ROW_GROUP_BYTES
+    spark.conf.set(common.READ_ROWS, "64")  # a smaller setting is kept
+    common.text_session(docs)
+    assert spark.conf.get(common.READ_ROWS) == "64"
+    for name in (common.READ_ROWS, common.WRITE_BYTES):
+        spark.conf.unset(name)
