@@ -63,8 +63,9 @@ def partial_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per campaign: what its sums and its number of days change by, its first and last new day and first and last lost day."""
     signed = (old.select("campaign_id", "delivery_date", F.lit(-1).alias("sign"), *[(-F.col(c)).alias(c) for c in SUMS])
               .unionByName(new.select("campaign_id", "delivery_date", F.lit(1).alias("sign"), *SUMS)))
-    # A campaign's day is in old, in new, or in both: by day first, so a lost day is seen as such.
-    by_day = signed.groupBy("campaign_id", "delivery_date").agg(F.sum("sign").alias("days"), F.max("sign").alias("there"), *[F.sum(c).alias(c) for c in SUMS])
+    # A campaign's day is in old, in new, or in both: by day first, so a lost day is seen as such. Dealt out by campaign once,
+    # for both sums: a campaign has two rows a day at most.
+    by_day = signed.repartition("campaign_id").groupBy("campaign_id", "delivery_date").agg(F.sum("sign").alias("days"), F.max("sign").alias("there"), *[F.sum(c).alias(c) for c in SUMS])
     here, lost = F.when(F.col("there") > 0, F.col("delivery_date")), F.when(F.col("there") < 0, F.col("delivery_date"))
     return by_day.groupBy("campaign_id").agg(
         F.sum("days").alias("days"), *[F.sum(c).alias(c) for c in SUMS], F.min(here).alias("first_new"), F.max(here).alias("last_new"),
@@ -116,13 +117,13 @@ def finished(campaigns: DataFrame, totals: DataFrame, partials: DataFrame, as_of
 def refresh_totals(spark: SparkSession, steps: Steps, days: list, base: str, buckets: int = BUCKETS) -> list[int]:
     """Carry the rewritten ``days`` (``steps`` has their merged rows) into partials and totals; returns the changed buckets."""
     merged = spark.read.parquet(f"{steps.folder}/merged")
-    new = steps.table("new-partials", lambda: day_partials(merged))
     stored, months = f"{base}/partials", sorted({d and f"{d:%Y-%m}" for d in days}, key=str)
     held = read_if_present(spark, stored, STORED_PARTIALS).where(among("month", months))
-    changes = steps.table("changes", lambda: partial_changes(held.where(among("delivery_date", days)), new))
     kept = held.where(~among("delivery_date", days)).drop("month")
-    replace_partitions(steps.table("partials", lambda: kept.unionByName(new).withColumn("month", F.date_format("delivery_date", "yyyy-MM"))),
-                       stored, "month", months)
+    partials = steps.table("partials", lambda: kept.unionByName(day_partials(merged)).withColumn("month", F.date_format("delivery_date", "yyyy-MM")))
+    of_days = among("delivery_date", days)
+    changes = steps.table("changes", lambda: partial_changes(held.where(of_days), partials.where(of_days)))
+    replace_partitions(partials, stored, "month", months)
     changed = sorted(r[0] for r in changes.select(bucket_of("campaign_id", buckets)).distinct().collect())  # at most ``buckets``
     before = read_if_present(spark, f"{base}/totals", TOTALS).where(F.col("bucket").isin(changed))
     totals = steps.table("totals", lambda: changed_totals(before, changes, read_if_present(spark, stored, STORED_PARTIALS), buckets))
