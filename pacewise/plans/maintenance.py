@@ -27,6 +27,7 @@ from pacewise.sources import bindings as b
 from pacewise.sources import csv as csvsrc
 from pacewise.sources import sinks
 from pacewise.sources.audited import AuditedTable
+from pacewise.sources.files import rename_new
 from pacewise.sources.steps import Steps
 from pacewise.sources.tables import table_path
 from pacewise.streaming import evolving, ingest
@@ -289,8 +290,10 @@ def stream_ingest_incremental_job(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _land_years(spark: SparkSession, years: list[str], landing: str) -> None:
+    """The written folders of ``years`` move into ``landing``, as files arrive there: whole, by one rename each."""
     for y in years:
-        spark.read.parquet(y).write.mode("append").parquet(f"{landing}/{y.rsplit('/', 1)[1]}")
+        if not rename_new(spark, y, f"{landing}/{y.rsplit('/', 1)[1]}"):
+            raise FileExistsError(f"{landing} has {y.rsplit('/', 1)[1]} already")
 
 
 def stream_delivery_refresh_job(spark: SparkSession, sf: str) -> DataFrame:

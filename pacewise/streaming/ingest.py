@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacewise.config import AS_OF
-from pacewise.operators.clean import delivery_order, silver_delivery
+from pacewise.operators.clean import delivery_order, delivery_rows, named_delivery
 from pacewise.operators.dedup import dedup_latest
 from pacewise.session import scratch_path
 from pacewise.sources.sinks import read_if_present
@@ -47,6 +47,8 @@ def stream_files(spark: SparkSession, landing: str, schema: T.StructType, sink:
 
 
 ORDER_COLUMNS = ["_src_partkey", "_src_suppkey"]
+#: Tells a merge's new rows from those that silver had.
+ARRIVED = "_arrived"
 
 
 def key_days(spark: SparkSession, path: str) -> DataFrame:
@@ -61,13 +63,14 @@ def merge_delivery(spark: SparkSession, batch: DataFrame, silver: str, as_of: _d
     Touched are the batch's days and the days on which its keys have lived, which
     a table of keys beside silver tells (appended to by every merge; a folder per
     job). Their rows and the batch's are reduced to the newest version per key and
-    replace those days only; other days of silver are not read. A day that loses
-    its last row to another is removed. A merge that died is run again with the
-    same ``steps``: days, keys and merged rows come from its copies once they are
-    complete, so a half-replaced day is never read.
+    replace those days only; other days of silver are not read. All versions meet
+    in one dedup, so a batch is dealt out by its keys once. A day that loses its
+    last row to another is removed. A merge that died is run again with the same
+    ``batch`` and ``steps``: days, keys and merged rows come from its copies once
+    they are complete, so a half-replaced day is never read.
     """
     steps = steps or Steps(spark, scratch_path(spark, "merge"))
-    new = steps.table("batch", lambda: silver_delivery(batch, as_of, keep_order=True))
+    new = delivery_rows(named_delivery(batch), as_of, keep_order=True)
     keys = f"{silver.rstrip('/')}-keys"
 
     def touched_days() -> DataFrame:
@@ -83,11 +86,12 @@ def merge_delivery(spark: SparkSession, batch: DataFrame, silver: str, as_of: _d
         touched = F.col("delivery_date").isin([d for d in days if d is not None])
         if None in days:
             touched = touched | F.col("delivery_date").isNull()
-        return dedup_latest(old.where(touched).select(*new.columns).unionByName(new), "delivery_id", delivery_order())
+        versions = old.where(touched).select(*new.columns, F.lit(False).alias(ARRIVED)).unionByName(new.withColumn(ARRIVED, F.lit(True)))
+        return dedup_latest(versions, "delivery_id", delivery_order())
 
     merged = steps.table("merged", merged_rows)
-    new.select("delivery_id", "delivery_date").write.mode("overwrite").parquet(f"{keys}/_job={steps.folder.rsplit('/', 1)[1].replace('=', '-')}")
-    replace_partitions(merged, silver, "delivery_date", days)
+    merged.where(ARRIVED).select("delivery_id", "delivery_date").write.mode("overwrite").parquet(f"{keys}/_job={steps.folder.rsplit('/', 1)[1].replace('=', '-')}")
+    replace_partitions(merged.drop(ARRIVED), silver, "delivery_date", days)
     return days
 
 

@@ -142,3 +142,33 @@ def test_a_run_that_dies_while_it_replaces_partitions_is_finished_by_the_next(sp
         ("d0", "1999-06-02", 5), ("d3", "1999-06-09", 6), ("n1", "1999-06-05", 7), ("n2", "1999-06-28", 8)}
     same(delta_gold.read_performance(spark, f"{home}/gold"), rebuilt(spark, campaigns, home))
     assert run(spark, rows, campaigns, home, 1) == []  # done: a replay changes nothing
+
+
+def test_an_epoch_writes_rows_once_before_they_replace_and_deals_them_once_by_key(spark, campaigns, monkeypatch):
+    """No deduplicated copy of the batch, no copy of the new partials, one exchange for a campaign's changes; repeats in a batch count once."""
+    ids, home, names, plans, real = [r[0] for r in campaigns.select("campaign_id").collect()], scratch_path(spark, "t-once"), [], {}, st.Steps.table
+
+    def table(self, name, build):
+        names.append(name)
+        plans[name] = build()._jdf.queryExecution().sparkPlan().toString(), build()._jdf.queryExecution().executedPlan().toString()
+        return real(self, name, build)
+
+    monkeypatch.setattr(st.Steps, "table", table)
+    run(spark, [("a", ids[0], 3, 10, 1), ("a", ids[0], 4, 11, 2), ("a", ids[1], 5, 12, 0), ("b", ids[1], 5, 7, 1)], campaigns, home, 0)
+    assert set(names) == {"days", "merged", "partials", "changes", "totals"}
+    assert plans["changes"][1].count("Exchange ") == 1 and plans["merged"][1].count("Exchange ") == 1
+    assert {(r.delivery_id, str(r.delivery_date)) for r in ingest.key_days(spark, f"{home}/silver-keys").collect()} == {("a", "1999-06-04"), ("b", "1999-06-05")}
+    assert ingest.read_delivery(spark, f"{home}/silver").count() == 2 and ingest.ARRIVED not in spark.read.parquet(f"{home}/silver").columns
+    run(spark, [("b", ids[1], 6, 8, 2)], campaigns, home, 1)
+    same(delta_gold.read_performance(spark, f"{home}/gold"), rebuilt(spark, campaigns, home))
+
+
+def test_landed_years_move_and_are_not_written_again(spark):
+    from pacewise.plans import maintenance as mt
+
+    src, _ = mt._land_delivery(spark, SF0001, "t-move-src")
+    landing, years = scratch_path(spark, "t-move-landing"), mt._years(spark, src)
+    n, names = spark.read.parquet(src).count(), {p.split("/")[-1] for p in spark.read.parquet(src).inputFiles()}
+    mt._land_years(spark, years, landing)
+    assert spark.read.parquet(landing).count() == n
+    assert {p.split("/")[-1] for p in spark.read.parquet(landing).inputFiles()} == names
