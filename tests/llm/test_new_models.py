@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pacewise.llm import bloom_lm, collocations, spelling
 from tests.llm.fixtures import AWKWARD, SCHEMA, SF, docs, given, words, written
@@ -254,6 +255,37 @@ def test_many_segments_and_small_slices(spark, scored):
     assert routed == other
 
 
+def test_a_segment_hears_from_a_slice_once_and_merging_keeps_the_bits(spark, scored):
+    rows, _ = scored
+    slices = bloom_lm.stage(bloom_lm.encode(rows.select("doc_id", "text", bloom_lm.in_test(F.col("doc_id")).alias("held_out")).repartition(5)), "t-slices")
+    filters = bloom_lm.stage(bloom_lm.filter_segments(slices, 7), "t-filters")
+    alone = bloom_lm.filter_segments(slices, 7, merged=1)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, filters.collect()))
+    told = bloom_lm.routed_levels(slices, filters, 7)
+    pairs = told.select("slice", "segment").collect()
+    assert len(pairs) == len(set(pairs)) <= 7 * slices.count()
+    one_by_one = bloom_lm.routed_levels(slices, filters, 7, at_once=1)
+    assert sorted(map(tuple, one_by_one.collect())) == sorted(map(tuple, told.collect()))
+
+
+def test_remembered_levels_are_the_probed_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 1 << 63, 30_000, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1))
+    segment, residual = bloom_lm.split_hash(h, 3)
+    count = rng.integers(1, 200, len(h))
+    built = [bloom_lm.build_segment(residual[segment == k], count[segment == k]) for k in range(3)]
+    made = bloom_lm.LogFrequencyFilter(np.asarray([len(x) for x in built]))
+    for k, x in enumerate(built):
+        made.put(k, x.tobytes())
+    monkeypatch.setattr(bloom_lm, "REMEMBERED", 9_000)
+    expected = made.levels(segment, residual)
+    for part in (slice(None, 20_000), slice(10_000, None), slice(None), slice(0, 0)):
+        assert (made.levels_again(h[part]) == expected[part]).all()
+    assert 0 < len(made.known) <= 9_000 and (np.diff(made.known) > 0).all()
+    monkeypatch.setattr(made, "levels", lambda of, asked: np.zeros(0) if not len(asked) else pytest.fail("probed again"))
+    assert (made.levels_again(made.known) == made.known_levels).all()
+
+
 def test_trigram_order(spark, scored):
     rows, found = scored
     higher = bloom_lm.language_scores(rows, order=3)
