@@ -18,6 +18,7 @@ job's ``Steps`` keep, so a job that died is simply run again.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +48,14 @@ def bucket_of(campaign: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(campaign), F.lit(buckets)).cast("int")
 
 
-def day_partials(delivery: DataFrame) -> DataFrame:
-    """Exact sums per (campaign, day), in the stored table's columns and types; a sum of nothing is zero."""
-    by_day = gold.delivery_by_campaign_day(delivery)
+def row_sums(delivery: DataFrame) -> DataFrame:
+    """What each delivery row adds to its (campaign, day), in the stored table's columns and types; a missing value adds nothing."""
+    given = {"impressions": F.col("impressions"), "clicks": F.col("clicks"), "spend": F.col("spend_usd").cast(gold.MONEY), "vast_errors": F.col("vast_errors"),
+             "zero_rows": (F.col("impressions") == 0).cast("int"), "suspicious_rows": F.col("_suspicious_ctr").cast("int")}
+    for short, column in (("view", "viewability_rate"), ("cpm", "cpm"), ("cpc", "cpc")):
+        given |= {f"{short}_sum": F.col(column).cast(gold.DEC), f"{short}_n": F.col(column).isNotNull().cast("int")}
     kinds = dict(c.split(" ") for c in PARTIALS.split(", "))
-    return by_day.select("campaign_id", *[F.coalesce(F.col(c), F.lit(0)).cast(kinds[c]).alias(c) for c in SUMS], "delivery_date")
+    return delivery.select("campaign_id", *[F.coalesce(given[c].cast(kinds[c]), F.lit(0).cast(kinds[c])).alias(c) for c in SUMS], "delivery_date")
 
 
 def among(column: str, values: list) -> Column:
@@ -59,15 +63,34 @@ def among(column: str, values: list) -> Column:
     return F.coalesce(known, F.lit(None in values))
 
 
-def partial_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Per campaign: what its sums and its number of days change by, its first and last new day and first and last lost day."""
-    signed = (old.select("campaign_id", "delivery_date", F.lit(-1).alias("sign"), *[(-F.col(c)).alias(c) for c in SUMS])
-              .unionByName(new.select("campaign_id", "delivery_date", F.lit(1).alias("sign"), *SUMS)))
-    # A campaign's day is in old, in new, or in both: by day first, so a lost day is seen as such. Dealt out by campaign once,
-    # for both sums: a campaign has two rows a day at most.
-    by_day = signed.repartition("campaign_id").groupBy("campaign_id", "delivery_date").agg(F.sum("sign").alias("days"), F.max("sign").alias("there"), *[F.sum(c).alias(c) for c in SUMS])
-    here, lost = F.when(F.col("there") > 0, F.col("delivery_date")), F.when(F.col("there") < 0, F.col("delivery_date"))
-    return by_day.groupBy("campaign_id").agg(
+def day_changes(old: DataFrame, delivery: DataFrame) -> DataFrame:
+    """Per (campaign, day) of ``old`` partials or ``delivery`` rows: the new sums, whether it is there and was, and what changes in one that was (null: nothing).
+
+    Dealt out by range of day and campaign: old and new meet in the exchange that sums
+    the rows, and a task's days lie in few months, which the rows are written by next.
+    """
+    kinds = dict(c.split(" ") for c in PARTIALS.split(", "))
+    both = old.select("campaign_id", "delivery_date", F.lit(True).alias("_old"), *SUMS).unionByName(row_sums(delivery).withColumn("_old", F.lit(False)))
+    was = F.col("_old")
+    by_day = both.repartitionByRange("delivery_date", "campaign_id").groupBy("campaign_id", "delivery_date").agg(
+        F.bool_or(~was).alias("_there"), F.bool_or(was).alias("_held"),
+        *[F.coalesce(F.sum(F.when(~was, F.col(c))), F.lit(0)).cast(kinds[c]).alias(c) for c in SUMS],
+        *[F.sum(F.when(was, -F.col(c)).otherwise(F.col(c))).alias(f"_by_{c}") for c in SUMS])
+    changed = reduce(Column.__or__, [F.col(f"_by_{c}") != 0 for c in SUMS], ~F.col("_there"))
+    by = F.when(F.col("_held") & changed, F.struct(*[F.col(f"_by_{c}").alias(c) for c in SUMS])).alias("_by")
+    return by_day.select("campaign_id", *SUMS, "delivery_date", "_there", "_held", by)
+
+
+def partial_changes(by_day: DataFrame) -> DataFrame:
+    """Per campaign with a change: what its sums and its number of days change by, its first and last changed day that is there and that is lost.
+
+    Days without a change are in the totals already, so they move neither the sums nor the ends.
+    """
+    changed = by_day.where(~F.col("_held") | F.col("_by").isNotNull()).select(
+        "campaign_id", "delivery_date", "_there", (F.col("_there").cast("int") - F.col("_held").cast("int")).alias("days"),
+        *[F.when(F.col("_held"), F.col("_by")[c]).otherwise(F.col(c)).alias(c) for c in SUMS])
+    here, lost = F.when(F.col("_there"), F.col("delivery_date")), F.when(~F.col("_there"), F.col("delivery_date"))
+    return changed.groupBy("campaign_id").agg(
         F.sum("days").alias("days"), *[F.sum(c).alias(c) for c in SUMS], F.min(here).alias("first_new"), F.max(here).alias("last_new"),
         F.min(lost).alias("first_lost"), F.max(lost).alias("last_lost"))
 
@@ -119,11 +142,17 @@ def refresh_totals(spark: SparkSession, steps: Steps, days: list, base: str, buc
     merged = spark.read.parquet(f"{steps.folder}/merged")
     stored, months = f"{base}/partials", sorted({d and f"{d:%Y-%m}" for d in days}, key=str)
     held = read_if_present(spark, stored, STORED_PARTIALS).where(among("month", months))
-    kept = held.where(~among("delivery_date", days)).drop("month")
-    partials = steps.table("partials", lambda: kept.unionByName(day_partials(merged)).withColumn("month", F.date_format("delivery_date", "yyyy-MM")))
     of_days = among("delivery_date", days)
-    changes = steps.table("changes", lambda: partial_changes(held.where(of_days), partials.where(of_days)))
-    replace_partitions(partials, stored, "month", months)
+    kept = held.where(~of_days).drop("month").withColumns({"_there": F.lit(True), "_held": F.lit(True)})
+
+    def by_day() -> DataFrame:
+        made = day_changes(held.where(of_days), merged).unionByName(kept, allowMissingColumns=True)
+        return made.withColumn("month", F.date_format("delivery_date", "yyyy-MM"))
+
+    steps.layout["partials"] = "month"
+    made = steps.table("partials", by_day).withColumn("month", F.date_format("delivery_date", "yyyy-MM"))  # folder names alone could pass for dates
+    changes = steps.table("changes", lambda: partial_changes(made))
+    replace_partitions(made.where("_there").select("campaign_id", *SUMS, "delivery_date", "month"), stored, "month", months)
     changed = sorted(r[0] for r in changes.select(bucket_of("campaign_id", buckets)).distinct().collect())  # at most ``buckets``
     before = read_if_present(spark, f"{base}/totals", TOTALS).where(F.col("bucket").isin(changed))
     totals = steps.table("totals", lambda: changed_totals(before, changes, read_if_present(spark, stored, STORED_PARTIALS), buckets))

@@ -22,7 +22,7 @@ from pacewise.functions.columns import allowed_or_default
 from pacewise.functions.rules import DECLARATIVE_EXPECTATIONS
 from pacewise.operators.clean import CAMPAIGN_STATUSES
 from pacewise.plans import lookup
-from pacewise.session import scratch_path, written_once
+from pacewise.session import scratch_path, shuffles_dropped, written_once
 from pacewise.sources import bindings as b
 from pacewise.sources import csv as csvsrc
 from pacewise.sources import sinks
@@ -37,7 +37,8 @@ def _land_delivery(spark: SparkSession, sf: str, name: str) -> tuple[str, T.Stru
     """Bronze delivery landed as one folder of Parquet files per ship year (the stream's input)."""
     landing = scratch_path(spark, name)
     d = b.delivery_bronze(spark, sf)
-    (d.withColumn("ship_year", F.year("date")).write.mode("overwrite").partitionBy("ship_year").parquet(landing))
+    with shuffles_dropped(spark):
+        d.withColumn("ship_year", F.year("date")).write.mode("overwrite").partitionBy("ship_year").parquet(landing)
     return landing, d.schema
 
 

@@ -46,9 +46,9 @@ def write_append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, partition_col: str, mode: str = "overwrite") -> None:
-    """S-06: partitioned write; overwrite replaces only the partitions present in ``df``."""
-    (df.hint("rebalance", partition_col).write.mode(mode)
+def write_partitioned(df: DataFrame, path: str, partition_col: str, mode: str = "overwrite", dealt: bool = False) -> None:
+    """S-06: partitioned write; overwrite replaces only the partitions present in ``df``, which is ``dealt`` out by them already or not."""
+    ((df if dealt else df.hint("rebalance", partition_col)).write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path))
 
 

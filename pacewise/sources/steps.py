@@ -24,12 +24,14 @@ class Steps:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
+        #: The column that a step's table is partitioned by, of such as are next written by it.
+        self.layout: dict[str, str] = {}
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """What ``build`` gave when the step first came to its end."""
         path = f"{self.folder}/{name}"
         if not exists(self.spark, f"{path}/_SUCCESS"):
-            build().write.mode("overwrite").parquet(path)
+            build().write.mode("overwrite").partitionBy(*[self.layout[name]] if name in self.layout else []).parquet(path)
         return self.spark.read.parquet(path)
 
     def done(self) -> bool:
@@ -48,9 +50,10 @@ def replace_partitions(rows: DataFrame, path: str, column: str, values: Iterable
     """Make ``rows`` the content of the partitions ``values`` of ``column``; those without rows go.
 
     ``rows`` must be a written copy. May be repeated until it comes to its end.
+    A copy that is partitioned by ``column`` itself is not dealt out again.
     """
     spark = rows.sparkSession
-    write_partitioned(rows, path, column)
+    write_partitioned(rows, path, column, dealt=all(f"/{column}=" in f for f in rows.inputFiles()))
     filled = {r[0] for r in rows.select(column).distinct().collect()}  # partitions of a table
     for value in set(values) - filled:
         delete(spark, f"{path}/{column}={NO_VALUE if value is None else value}")

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pacewise.config import AS_OF
 from pacewise.operators.clean import delivery_order, delivery_rows, named_delivery
 from pacewise.operators.dedup import dedup_latest
-from pacewise.session import scratch_path
+from pacewise.session import scratch_path, shuffles_dropped
 from pacewise.sources.sinks import read_if_present
 from pacewise.sources.steps import Steps, replace_partitions
 
@@ -120,9 +120,10 @@ def refresh_delivery(spark: SparkSession, landing: str, schema: T.StructType, br
             then(steps, days)
         steps.finish()
 
-    q = (spark.readStream.format("parquet").schema(schema).load(landing).writeStream
-         .foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with shuffles_dropped(spark):
+        q = (spark.readStream.format("parquet").schema(schema).load(landing).writeStream
+             .foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def dedup_events(spark: SparkSession, landing: str, schema: T.StructType, sink: str, checkpoint: str,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pacewise.config import AS_OF
 from pacewise.operators import clean
 from pacewise.plans import delta_gold, gold
-from pacewise.session import scratch_path
+from pacewise.session import DROP_SHUFFLES, scratch_path, shuffles_dropped
 from pacewise.sources import bindings as b
 from pacewise.sources import steps as st
 from pacewise.streaming import ingest
@@ -172,3 +172,41 @@ def test_landed_years_move_and_are_not_written_again(spark):
     mt._land_years(spark, years, landing)
     assert spark.read.parquet(landing).count() == n
     assert {p.split("/")[-1] for p in spark.read.parquet(landing).inputFiles()} == names
+
+
+def test_partials_are_dealt_out_once_and_only_changed_campaigns_go_on(spark, campaigns, monkeypatch):
+    ids, home, told, plans, dealt = [r[0] for r in campaigns.select("campaign_id").collect()], scratch_path(spark, "t-changed"), {}, {}, {}
+    run(spark, [("a", ids[0], 3, 10, 1), ("b", ids[1], 3, 7, 1), ("c", ids[2], 9, 7, 1), ("d", ids[3], 3, 5, 1)], campaigns, home, 0)
+    table, write = st.Steps.table, st.write_partitioned
+
+    def noted(self, name, build):
+        plans[name], out = build()._jdf.queryExecution().executedPlan().toString(), table(self, name, build)
+        told[name] = out
+        if name == "changes":
+            told[name] = {r["campaign_id"]: (r["days"], r["impressions"], str(r["first_new"]), str(r["first_lost"])) for r in out.collect()}
+        return out
+
+    def written(rows, path, column, mode="overwrite", **more):
+        dealt[column] = more.get("dealt", False)
+        write(rows, path, column, mode, **more)
+
+    monkeypatch.setattr(st.Steps, "table", noted)
+    monkeypatch.setattr(st, "write_partitioned", written)
+    run(spark, [("a", ids[0], 3, 14, 2), ("d", ids[3], 5, 6, 2), ("e", ids[4], None, 8, 2)], campaigns, home, 1)
+    # On day 3, b is as it was: its campaign has nothing to carry into the totals.
+    assert told["changes"] == {ids[0]: (0, 4, "1999-06-03", "None"), ids[3]: (0, 1, "1999-06-05", "1999-06-03"), ids[4]: (1, 8, "None", "None")}
+    assert plans["partials"].count("Exchange ") == plans["partials"].count("Exchange rangepartitioning") == 1
+    assert dealt == {"delivery_date": False, "month": True, "bucket": False}
+    same(delta_gold.read_performance(spark, f"{home}/gold"), rebuilt(spark, campaigns, home))
+
+
+def test_shuffle_files_go_with_their_step_unless_the_session_says_otherwise(spark):
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.unset(DROP_SHUFFLES)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(DROP_SHUFFLES) == "true"
+    assert spark.conf.get(DROP_SHUFFLES, None) is None
+    spark.conf.set(DROP_SHUFFLES, "false")
+    with shuffles_dropped(spark):
+        assert spark.conf.get(DROP_SHUFFLES) == "false"
+    spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
