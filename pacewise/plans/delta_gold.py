@@ -48,14 +48,18 @@ def bucket_of(campaign: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(campaign), F.lit(buckets)).cast("int")
 
 
-def row_sums(delivery: DataFrame) -> DataFrame:
-    """What each delivery row adds to its (campaign, day), in the stored table's columns and types; a missing value adds nothing."""
-    given = {"impressions": F.col("impressions"), "clicks": F.col("clicks"), "spend": F.col("spend_usd").cast(gold.MONEY), "vast_errors": F.col("vast_errors"),
-             "zero_rows": (F.col("impressions") == 0).cast("int"), "suspicious_rows": F.col("_suspicious_ctr").cast("int")}
+#: The columns of a delivery row that its sums come from.
+MEASURES = ["impressions", "clicks", "spend_usd", "vast_errors", "viewability_rate", "cpm", "cpc", "_suspicious_ctr"]
+
+
+def row_sums(row: Column) -> dict[str, Column]:
+    """What a delivery row's MEASURES add to its (campaign, day), in the stored table's types; a missing value adds nothing."""
+    given = {"impressions": row["impressions"], "clicks": row["clicks"], "spend": row["spend_usd"].cast(gold.MONEY), "vast_errors": row["vast_errors"],
+             "zero_rows": (row["impressions"] == 0).cast("int"), "suspicious_rows": row["_suspicious_ctr"].cast("int")}
     for short, column in (("view", "viewability_rate"), ("cpm", "cpm"), ("cpc", "cpc")):
-        given |= {f"{short}_sum": F.col(column).cast(gold.DEC), f"{short}_n": F.col(column).isNotNull().cast("int")}
+        given |= {f"{short}_sum": row[column].cast(gold.DEC), f"{short}_n": row[column].isNotNull().cast("int")}
     kinds = dict(c.split(" ") for c in PARTIALS.split(", "))
-    return delivery.select("campaign_id", *[F.coalesce(given[c].cast(kinds[c]), F.lit(0).cast(kinds[c])).alias(c) for c in SUMS], "delivery_date")
+    return {c: F.coalesce(given[c].cast(kinds[c]), F.lit(0).cast(kinds[c])) for c in SUMS}
 
 
 def among(column: str, values: list) -> Column:
@@ -70,12 +74,13 @@ def day_changes(old: DataFrame, delivery: DataFrame) -> DataFrame:
     the rows, and a task's days lie in few months, which the rows are written by next.
     """
     kinds = dict(c.split(" ") for c in PARTIALS.split(", "))
-    both = old.select("campaign_id", "delivery_date", F.lit(True).alias("_old"), *SUMS).unionByName(row_sums(delivery).withColumn("_old", F.lit(False)))
-    was = F.col("_old")
+    both = old.select("campaign_id", "delivery_date", F.struct(*SUMS).alias("_was")).unionByName(
+        delivery.select("campaign_id", "delivery_date", F.struct(*MEASURES).alias("_row")), allowMissingColumns=True)
+    was, adds = F.col("_was").isNotNull(), row_sums(F.col("_row"))
     by_day = both.repartitionByRange("delivery_date", "campaign_id").groupBy("campaign_id", "delivery_date").agg(
         F.bool_or(~was).alias("_there"), F.bool_or(was).alias("_held"),
-        *[F.coalesce(F.sum(F.when(~was, F.col(c))), F.lit(0)).cast(kinds[c]).alias(c) for c in SUMS],
-        *[F.sum(F.when(was, -F.col(c)).otherwise(F.col(c))).alias(f"_by_{c}") for c in SUMS])
+        *[F.coalesce(F.sum(F.when(~was, adds[c])), F.lit(0)).cast(kinds[c]).alias(c) for c in SUMS],
+        *[F.sum(F.when(was, -F.col("_was")[c]).otherwise(adds[c])).alias(f"_by_{c}") for c in SUMS])
     changed = reduce(Column.__or__, [F.col(f"_by_{c}") != 0 for c in SUMS], ~F.col("_there"))
     by = F.when(F.col("_held") & changed, F.struct(*[F.col(f"_by_{c}").alias(c) for c in SUMS])).alias("_by")
     return by_day.select("campaign_id", *SUMS, "delivery_date", "_there", "_held", by)
